@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, substring_dedup, suffix_dedup
+from . import byte_bpe, chat, decontaminate, near_dedup, substring_dedup, suffix_dedup, toxicity, urls
 from .shared import table
 
 
@@ -30,11 +30,37 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotations(table(spark, sf_dir, "conversations")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_url_filters": op4_url_filters,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_chat_rotation": op10_chat_rotation,
 }
 
 #: DuckDB SQL where it can state an operator; the others are tested against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_chat_rotation": chat.ROTATIONS_SQL}
