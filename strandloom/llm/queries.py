@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, near_dedup, substring_dedup, suffix_dedup, toxicity, urls
+from . import byte_bpe, chat, decontaminate, near_dedup, permutation_index, substring_dedup, suffix_dedup, toxicity, urls
 from .shared import table
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.PermutationIndex().search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -52,6 +56,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_permutation_index": op1_permutation_index,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_byte_bpe": op5_byte_bpe,
