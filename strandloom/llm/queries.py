@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, near_dedup, permutation_index, substring_dedup, suffix_dedup, toxicity, urls
+from . import byte_bpe, chat, decontaminate, near_dedup, permutation_index, ppm, substring_dedup, suffix_dedup, toxicity, urls
 from .shared import table
 
 
@@ -34,6 +34,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -58,6 +62,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_ppm": op3_ppm,
     "op4_url_filters": op4_url_filters,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
