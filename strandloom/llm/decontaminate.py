@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,42 @@ def item_slices(items: DataFrame, n: int, containment: float, most_shingles: int
         yield keys, flags, owners, ids, sizes
 
 
+def lookup(keys, flags, owners, ids, sizes) -> tuple:
+    order = np.argsort(np.array(keys, U), kind="stable")
+    return np.array(keys, U)[order], np.array(flags)[order], np.array(owners)[order], ids, np.array(sizes)
+
+
+def finder(wanted: tuple, n: int, containment: float):
+    """text -> (number of the item, shingles found) for the items contained in it."""
+    keys, flags, owners, _, sizes = wanted
+    low, top = 20, U(44)
+    filled = np.zeros(1 << low, bool)
+    filled[(keys >> top).astype(np.int64)] = True
+    known = WordHashes()
+
+    def find(text: bytes | None) -> list[tuple[int, int]]:
+        nonlocal known
+        if not text:
+            return []
+        if len(known) > 1 << 19:
+            known = WordHashes()
+        h = shingle_hashes(known.of(text.lower().split()), n)
+        h = h[filled[(h >> top).astype(np.int64)]]
+        if not len(h):
+            return []
+        h = np.unique(h)
+        first, last = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+        at = np.concatenate([np.arange(a, z) for a, z in zip(first, last, strict=True)])
+        sketched = np.unique(owners[at[flags[at]]]) if len(at) else at  # candidates
+        if not len(sketched):
+            return []
+        hits = np.bincount(owners[at], minlength=len(sizes))
+        ok = sketched[hits[sketched] >= np.ceil(containment * sizes[sketched] - 1e-9)]
+        return [(i, int(hits[i])) for i in ok.tolist()]
+
+    return find
+
+
 def contained(docs: DataFrame, items: DataFrame, n: int = 5, containment: float = 0.8, most_shingles: int = 1 << 20) -> DataFrame:
     """Pairs (doc_id, item_id) where at least `containment` of the item's distinct shingles are in the document.
 
@@ -70,35 +107,16 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, containment: float
     schema = f"doc_id {kind}, item_id {of}, n_shingles long, hits long"
     out = spark.createDataFrame([], schema)
     for keys, flags, owners, ids, sizes in item_slices(items, n, containment, most_shingles):
-        order = np.argsort(np.array(keys, U), kind="stable")
-        wanted = spark.sparkContext.broadcast((np.array(keys, U)[order], np.array(flags)[order], np.array(owners)[order], ids, np.array(sizes)))
+        wanted = spark.sparkContext.broadcast(lookup(keys, flags, owners, ids, sizes))
 
         def search(batches, wanted=wanted):
-            keys, flags, owners, ids, sizes = wanted.value
-            low, top = 20, U(44)
-            filled = np.zeros(1 << low, bool)
-            filled[(keys >> top).astype(np.int64)] = True
-            known = WordHashes()
+            find = finder(wanted.value, n, containment)
+            sizes, ids = wanted.value[4], wanted.value[3]
             for b in batches:
                 out = {"doc_id": [], "item_id": [], "n_shingles": [], "hits": []}
                 for doc, text in zip(b["doc_id"].to_pylist(), shared.as_bytes(b["text"]), strict=True):
-                    if not text:
-                        continue
-                    if len(known) > 1 << 19:
-                        known = WordHashes()
-                    h = shingle_hashes(known.of(text.lower().split()), n)
-                    h = h[filled[(h >> top).astype(np.int64)]]
-                    if not len(h):
-                        continue
-                    h = np.unique(h)
-                    first, last = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-                    at = np.concatenate([np.arange(a, z) for a, z in zip(first, last, strict=True)] + [np.zeros(0, np.int64)])
-                    sketched = np.unique(owners[at[flags[at]]])  # candidates
-                    if not len(sketched):
-                        continue
-                    hits = np.bincount(owners[at], minlength=len(sizes))
-                    for i in sketched[hits[sketched] >= np.ceil(containment * sizes[sketched] - 1e-9)].tolist():
-                        for k, v in (("doc_id", doc), ("item_id", ids[i]), ("n_shingles", int(sizes[i])), ("hits", int(hits[i]))):
+                    for i, hits in find(text):
+                        for k, v in (("doc_id", doc), ("item_id", ids[i]), ("n_shingles", int(sizes[i])), ("hits", hits)):
                             out[k].append(v)
                 yield out
 
@@ -106,7 +124,20 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, containment: float
     return out.withColumn("containment", F.col("hits") / F.col("n_shingles"))
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose doc_id contains an item; rows with a null doc_id are kept only if they match none."""
-    hit = contained(docs, items, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, n: int = 5, containment: float = 0.8, most_shingles: int = 1 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, that contain no item; as contained() finds them."""
+    for found in item_slices(items, n, containment, most_shingles):
+        wanted = docs.sparkSession.sparkContext.broadcast(lookup(*found))
+        docs = shared.rewrite(docs, _without(wanted, n, containment))
+    return docs
+
+
+def _without(wanted, n: int, containment: float):
+    find = None
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nonlocal find
+        find = find or finder(wanted.value, n, containment)
+        return batch.filter(pa.array([not find(t) for t in shared.as_bytes(batch["text"])], pa.bool_()))
+
+    return run

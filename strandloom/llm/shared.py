@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,6 +30,12 @@ def use_shared_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for a table in the shared folder, unused so far."""
+    use_shared_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df in the shared folder: it outlives executors and cuts the lineage."""
     use_shared_folder(df.sparkSession)
@@ -68,6 +75,12 @@ def stream(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema
     return df.mapInArrow(run, schema)
 
 
+def rewrite(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Batches of df, all columns, changed or filtered by fn; the result has df's columns but those in drop."""
+    session.ship(df.sparkSession)
+    return df.mapInArrow(lambda batches: map(fn, batches), df.drop(*drop).schema)
+
+
 _KINDS = {
     "long": pa.int64(), "int": pa.int32(), "short": pa.int16(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
     "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary()), "array<double>": pa.list_(pa.float64()),

@@ -13,6 +13,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +114,30 @@ def fit_on(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clea
     return fit(rows["text"].tolist(), rows["toxic"].tolist())
 
 
+class _Known(dict):
+    """Telling features of each token seen."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[token] = found = tuple(f for f in features_of(token) if f in self.weights)
+        return found
+
+
+def scorer(model: SeverityModel):
+    """text -> P(severity >= k) for k from 1."""
+    known, base = _Known(model.weights), model.reach({})
+
+    def score(text: str | None) -> list[float]:
+        hits = [f for f in map(known.__getitem__, (text or "").split()) if f]
+        return model.reach(Counter(f for h in hits for f in h)) if hits else base
+
+    return score
+
+
 def severity(docs: DataFrame, model: SeverityModel, reject_from: float = 0.5) -> DataFrame:
     """One row per row of docs (doc_id, text): expected severity, P(severity >= 1) and whether that rejects it.
 
@@ -122,31 +147,26 @@ def severity(docs: DataFrame, model: SeverityModel, reject_from: float = 0.5) ->
     """
     model_ = docs.sparkSession.sparkContext.broadcast(model)
 
-    class Known(dict):
-        def __init__(self, weights):
-            self.weights = weights
-
-        def __missing__(self, token):
-            if len(self) > 1 << 18:
-                self.clear()
-            self[token] = found = tuple(f for f in features_of(token) if f in self.weights)
-            return found
-
-    def score(batches):
-        m = model_.value
-        known = Known(m.weights)
-        base = m.reach({})
+    def run(batches):
+        score = scorer(model_.value)
         for b in batches:
-            out = {"doc_id": b["doc_id"], "severity": [], "p_toxic": [], "grade": []}
-            for text in b["text"].to_pylist():
-                hits = [f for f in map(known.__getitem__, (text or "").split()) if f]
-                reach = m.reach(Counter(f for h in hits for f in h)) if hits else base
-                out["severity"].append(sum(reach))
-                out["p_toxic"].append(reach[0])
-                each = [a - z for a, z in zip([1.0, *reach], [*reach, 0.0], strict=True)]
-                out["grade"].append(each.index(max(each)))
-            yield out
+            reach = [score(t) for t in b["text"].to_pylist()]
+            each = [[a - z for a, z in zip([1.0, *r], [*r, 0.0], strict=True)] for r in reach]
+            yield {"doc_id": b["doc_id"], "severity": [sum(r) for r in reach], "p_toxic": [r[0] for r in reach], "grade": [e.index(max(e)) for e in each]}
 
     kind = dict(docs.dtypes)["doc_id"].replace("bigint", "long")
-    got = shared.stream(docs.select("doc_id", "text"), score, f"doc_id {kind}, severity double, p_toxic double, grade int")
+    got = shared.stream(docs.select("doc_id", "text"), run, f"doc_id {kind}, severity double, p_toxic double, grade int")
     return got.withColumn("toxic", F.col("p_toxic") >= reject_from)
+
+
+def without_toxic(docs: DataFrame, model: SeverityModel, reject_from: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that severity() doesn't reject."""
+    model_ = docs.sparkSession.sparkContext.broadcast(model)
+    score = None
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nonlocal score
+        score = score or scorer(model_.value)
+        return batch.filter(pa.array([score(t)[0] < reject_from for t in batch["text"].to_pylist()], pa.bool_()))
+
+    return shared.rewrite(docs, run)
