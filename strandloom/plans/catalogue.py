@@ -1,10 +1,874 @@
-"""Registered queries over the driver's tables and their DuckDB oracles."""
+"""Registered queries over the driver's tables and their DuckDB oracles. Floats are rounded to six places."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .. import session
+from ..functions.columns import bh, cap_text, round6
+from ..operators import consensus, correlate, counts, enrich, graph, gwas, intervals, markers, survival
+from . import views
+from .views import sql, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+W = 128  # bins for intervals of some 50 bases
+OVER = 'a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end"'
+
+
+def query(name: str, oracle: str | None = None):
+    def put(fn: Query) -> Query:
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            session.ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
+        if oracle is not None:
+            ORACLE[name] = oracle
+        return fn
+
+    return put
+
+
+def hits(df: DataFrame, *more: str) -> DataFrame:
+    return df.groupBy("chrom", "start", "end", "start_b", "end_b", *more).agg(F.count(F.lit(1)).alias("n"))
+
+
+PAIR = 'SELECT a.chrom, a.start, a."end", b.start AS start_b, b."end" AS end_b, count(*) AS n FROM peaks a JOIN catalog b ON {on} GROUP BY ALL'
+
+# --- intervals ---------------------------------------------------------------------------------------
+
+
+@query("iv_overlap_inner", sql(PAIR.format(on=OVER), "peaks", "catalog"))
+def _(s, d):
+    return hits(intervals.overlap_join(views.peaks(s, d), views.catalog(s, d), width=W))
+
+
+@query("iv_overlap_slack", sql(PAIR.format(on='a.chrom = b.chrom AND a.start < b."end" + 25 AND b.start - 25 < a."end"'), "peaks", "catalog"))
+def _(s, d):
+    return hits(intervals.overlap_join(views.peaks(s, d), views.catalog(s, d), slack=25, width=W))
+
+
+@query("iv_overlap_strand", sql(PAIR.format(on=OVER + " AND a.strand = b.strand"), "peaks", "catalog"))
+def _(s, d):
+    return hits(intervals.overlap_join(views.peaks(s, d), views.catalog(s, d), strand=True, width=W))
+
+
+@query("iv_contain", sql(PAIR.format(on=OVER + ' AND b.start <= a.start AND a."end" <= b."end"'), "peaks", "catalog"))
+def _(s, d):
+    return hits(intervals.overlap_join(views.peaks(s, d), views.catalog(s, d), within=True, width=W))
+
+
+EXISTS = f'SELECT chrom, start, "end", summit, experiment, strand FROM peaks a WHERE {{no}} EXISTS (SELECT 1 FROM genes b WHERE {OVER})'
+
+
+@query("iv_overlap_semi", sql(EXISTS.format(no=""), "peaks", "genes"))
+def _(s, d):
+    return intervals.overlapping(views.peaks(s, d), views.genes(s, d), width=512)
+
+
+@query("iv_overlap_anti", sql(EXISTS.format(no="NOT"), "peaks", "genes"))
+def _(s, d):
+    return intervals.not_overlapping(views.peaks(s, d), views.genes(s, d), width=512)
+
+
+@query("iv_subtract_any", sql(f"SELECT chrom, start, \"end\", entry FROM catalog a WHERE NOT EXISTS (SELECT 1 FROM peaks b WHERE {OVER})", "peaks", "catalog"))
+def _(s, d):
+    return intervals.not_overlapping(views.catalog(s, d).select("chrom", "start", "end", "entry"), views.peaks(s, d), width=W)
+
+
+@query("iv_fully_covered", sql("SELECT chrom, start, \"end\", summit, experiment, strand FROM peaks a WHERE EXISTS (SELECT 1 FROM genes b WHERE a.chrom = b.chrom AND b.start <= a.start AND a.\"end\" <= b.\"end\")", "peaks", "genes"))
+def _(s, d):
+    return intervals.overlapping(views.peaks(s, d), views.genes(s, d), within=True, width=512)
+
+
+@query("iv_intersect_clip", sql(f'SELECT a.chrom, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end", count(*) AS n FROM peaks a JOIN catalog b ON {OVER} GROUP BY ALL', "peaks", "catalog"))
+def _(s, d):
+    return intervals.intersect(views.peaks(s, d), views.catalog(s, d), width=W).groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+
+
+MERGED = """, o AS (SELECT chrom, start, "end", max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT DISTINCT chrom, start, "end" FROM {t})),
+g AS (SELECT *, sum(CASE WHEN m IS NULL OR start > m THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM o),
+merged AS (SELECT chrom, min(start) AS start, max("end") AS "end" FROM g GROUP BY chrom, run)
+"""
+
+
+@query("iv_merge", sql(MERGED.format(t="peaks") + 'SELECT chrom, start, "end" FROM merged', "peaks"))
+def _(s, d):
+    return intervals.merge(views.peaks(s, d))
+
+
+@query("iv_complement", sql(MERGED.format(t="peaks") + """, e AS (SELECT chrom, start, "end" FROM merged UNION ALL SELECT chrom, 0, 0 FROM chrom_sizes UNION ALL SELECT chrom, length, length FROM chrom_sizes),
+f AS (SELECT chrom, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS start, lead(start) OVER (PARTITION BY chrom ORDER BY start, "end") AS "end" FROM e)
+SELECT chrom, start, "end" FROM f WHERE "end" > start""", "peaks", "chrom_sizes"))
+def _(s, d):
+    return intervals.complement(views.peaks(s, d), views.chrom_sizes(s, d))
+
+
+@query("iv_promoter_windows", sql("SELECT gene, chrom, greatest(t - 1000, 0) AS start, t + 1000 AS \"end\" FROM (SELECT *, CASE WHEN strand = '+' THEN start ELSE \"end\" + 1 END AS t FROM genes)", "genes"))
+def _(s, d):
+    return intervals.promoters(views.genes(s, d)).select("gene", "chrom", "start", "end")
+
+
+@query("iv_tail_windows_explode", sql("SELECT gene, tail, greatest(CASE WHEN strand = '+' THEN \"end\" ELSE start - tail END, 0) AS start, CASE WHEN strand = '+' THEN \"end\" + tail ELSE start END AS \"end\" FROM genes, (SELECT CAST(unnest([5000, 7000, 9000]) AS BIGINT) AS tail)", "genes"))
+def _(s, d):
+    return intervals.tails(views.genes(s, d)).select("gene", "tail", "start", "end")
+
+
+@query("iv_shrink_stranded", sql("SELECT * FROM (SELECT gene, CASE WHEN strand = '+' THEN start + 50 ELSE start + 20 END AS start, CASE WHEN strand = '+' THEN \"end\" - 20 ELSE \"end\" - 50 END AS \"end\" FROM genes) WHERE start < \"end\"", "genes"))
+def _(s, d):
+    return intervals.shrink_stranded(views.genes(s, d), 50, 20).select("gene", "start", "end")
+
+
+@query("iv_extend", sql('SELECT gene, greatest(start - 1000, 0) AS start, "end" + 1000 AS "end" FROM genes', "genes"))
+def _(s, d):
+    return intervals.extend(views.genes(s, d), 1000).select("gene", "start", "end")
+
+
+BASAL = """, basal AS (SELECT gene, chrom, strand, CASE WHEN strand = '+' THEN start - 5000 ELSE "end" - 1000 END AS start, CASE WHEN strand = '+' THEN start + 1000 ELSE "end" + 5000 END AS "end" FROM genes)
+"""
+
+
+@query("iv_basal_domain", sql(BASAL + 'SELECT gene, start, "end" FROM basal', "genes"))
+def _(s, d):
+    return intervals.basal_domains(views.genes(s, d)).select("gene", "start", "end")
+
+
+@query("iv_distal_domain_laglead", sql(BASAL + """, n AS (SELECT b.*, c.length, lag("end", 1, 0) OVER w AS p, coalesce(lead(start) OVER w, c.length) AS q FROM basal b JOIN chrom_sizes c USING (chrom) WINDOW w AS (PARTITION BY chrom ORDER BY start, "end", gene))
+SELECT gene, greatest(least(start, greatest(start - 1000000, p)), 0) AS start, least(greatest("end", least("end" + 1000000, q)), length) AS "end" FROM n""", "genes", "chrom_sizes"))
+def _(s, d):
+    return intervals.distal_domains(intervals.basal_domains(views.genes(s, d)), views.chrom_sizes(s, d)).select("gene", "start", "end")
+
+
+@query("iv_unique_names", sql("SELECT gene, term FROM genes WHERE term IN (SELECT term FROM genes GROUP BY term HAVING count(*) = 1)", "genes"))
+def _(s, d):
+    return intervals.unique_names(views.genes(s, d), "term").select("gene", "term")
+
+
+@query("iv_centre_windows", sql('SELECT chrom, summit, count(*) AS n, greatest(CAST(floor((summit - 500) / 10.0) * 10 AS BIGINT), 0) AS start, CAST(floor((summit + 500) / 10.0) * 10 AS BIGINT) AS "end" FROM peaks GROUP BY chrom, summit', "peaks"))
+def _(s, d):
+    return intervals.centre_windows(views.peaks(s, d).groupBy("chrom", "summit").agg(F.count(F.lit(1)).alias("n")).withColumns({"start": F.lit(0), "end": F.lit(0)}), "summit")
+
+
+@query("iv_subbins", sql('SELECT gene, CAST(i AS INTEGER) AS sub, start + i * 10 AS start, start + i * 10 + 10 AS "end" FROM genes, range(100) t(i) WHERE start + i * 10 + 10 <= "end"', "genes"))
+def _(s, d):
+    return intervals.sub_bins(views.genes(s, d)).select("gene", "sub", "start", "end")
+
+
+TILES = ', tiles AS (SELECT chrom, i * 1000 AS start, i * 1000 + 1000 AS "end" FROM chrom_sizes, range(CAST((SELECT max(length) FROM chrom_sizes) AS BIGINT) // 1000) t(i) WHERE i * 1000 + 1000 <= length)\n'
+
+
+@query("iv_tiles_background", sql(TILES + f'SELECT chrom, start, "end" FROM tiles a WHERE NOT EXISTS (SELECT 1 FROM (SELECT chrom, start, "end" FROM catalog UNION ALL SELECT chrom, start, "end" FROM genes WHERE gene % 7 = 0) b WHERE {OVER})', "catalog", "genes", "chrom_sizes"))
+def _(s, d):
+    return intervals.background(views.chrom_sizes(s, d), views.catalog(s, d), views.genes(s, d).filter("gene % 7 = 0"))
+
+
+@query("iv_signed_distance", sql("""SELECT a.gene, b.start AS start_b, CASE WHEN b.strand = '+' THEN a.summit - b.start ELSE b."end" - a.summit END AS to_start, CASE WHEN b.strand = '+' THEN a.summit - b."end" ELSE b.start - a.summit END AS to_end, count(*) AS n
+FROM (SELECT experiment AS gene, chrom, summit FROM peaks) a JOIN genes b ON a.chrom = b.chrom AND a.summit < b."end" + 500 AND b.start - 500 < a.summit + 1 WHERE a.gene < 30 GROUP BY ALL""", "peaks", "genes"))
+def _(s, d):
+    p = views.peaks(s, d).filter("experiment < 30").select(F.col("experiment").alias("probe"), "chrom", "summit")
+    got = intervals.signed_distances(p, views.genes(s, d), 500)
+    return got.groupBy(F.col("probe").alias("gene"), "start_b", "to_start", "to_end").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("iv_coverage_fraction", sql("""SELECT name, sum(a."end" - a.start) AS bases, round(sum(a."end" - a.start) / (SELECT sum("end" - start) FROM genes), 6) AS fraction FROM catalog a WHERE EXISTS (SELECT 1 FROM genes b WHERE a.chrom = b.chrom AND b.start <= a.start AND a."end" <= b."end") GROUP BY name""", "catalog", "genes"))
+def _(s, d):
+    return intervals.coverage_fraction(views.catalog(s, d), views.genes(s, d), width=512).select("name", F.col("bases").cast("decimal(38,0)").cast("bigint").alias("bases"), round6(F.col("fraction")).alias("fraction"))
+
+
+ORACLE["iv_coverage_fraction"] = ORACLE["iv_coverage_fraction"].replace('SELECT name, sum(a."end" - a.start) AS bases', 'SELECT name, CAST(sum(a."end" - a.start) AS BIGINT) AS bases')
+
+
+@query("iv_last_annotation", sql(f"""SELECT gene, coalesce(arg_max(name, (s, e, name)), 'none') AS annotation FROM (SELECT a.gene, b.name, b.start AS s, b."end" AS e FROM genes a LEFT JOIN catalog b ON {OVER}) GROUP BY gene""", "genes", "catalog"))
+def _(s, d):
+    return intervals.annotate(views.genes(s, d), views.catalog(s, d), ["gene"], default="none", width=512).select("gene", "annotation")
+
+
+@query("iv_linear_position", sql("SELECT gene, CAST(g.start + idx * length AS BIGINT) AS x FROM genes g JOIN chrom_sizes USING (chrom)", "genes", "chrom_sizes"))
+def _(s, d):
+    return intervals.linear_position(views.genes(s, d), views.chrom_sizes(s, d), "start").select("gene", F.col("x").cast("bigint"))
+
+
+@query("iv_signal_profile", sql("""SELECT bin, round(sum(v) / (10.0 * (SELECT count(*) FROM pts)), 6) AS mean FROM (
+SELECT i AS bin, greatest(0, least(b."end", a.ref + i * 10 + 10) - greatest(b.start, a.ref + i * 10, 0)) * 1.0 * b.value AS v FROM pts a JOIN (SELECT chrom, start, "end", o.entry % 5 AS value FROM catalog o) b ON a.chrom = b.chrom AND b.start < a.ref + 200 AND b."end" > greatest(a.ref - 200, 0), range(-20, 20) t(i)
+WHERE least(b."end", a.ref + i * 10 + 10) > greatest(b.start, a.ref + i * 10, 0)) GROUP BY bin""", "genes", "catalog").replace("SELECT bin, round", ", pts AS (SELECT chrom, start AS ref FROM genes)\nSELECT bin, round"))
+def _(s, d):
+    track = views.catalog(s, d).withColumn("value", F.col("entry") % 5)
+    got = intervals.signal_profile(views.genes(s, d).select("chrom", "start"), track, reach=200)
+    return got.select("bin", round6(F.col("mean")).alias("mean"))
+
+
+# --- consensus ---------------------------------------------------------------------------------------
+
+
+@query("cs_pileup", sql("SELECT strand, chrom, summit, count(*) AS n FROM peaks GROUP BY ALL", "peaks"))
+def _(s, d):
+    return consensus.pile_up(views.peaks(s, d))
+
+
+@query("cs_islands", sql(""", o AS (SELECT chrom, summit, lag(summit) OVER (PARTITION BY chrom ORDER BY summit) AS p FROM peaks), g AS (SELECT chrom, summit, sum(CASE WHEN p IS NULL OR summit > p + 60 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY summit ROWS UNBOUNDED PRECEDING) AS run FROM o)
+SELECT chrom, CAST(run AS BIGINT) AS island, min(summit) AS first, max(summit) AS last, count(*) AS n FROM g GROUP BY chrom, run""", "peaks"))
+def _(s, d):
+    p = views.peaks(s, d).groupBy("chrom", "summit").agg(F.count(F.lit(1)).alias("k")).withColumn("to", F.col("summit"))
+    runs = intervals.with_runs(p, ["chrom"], "summit", "to", gap=60, tile=1 << 14, name="island")
+    return runs.groupBy("chrom", F.col("island").cast("bigint").alias("island")).agg(F.min("summit").alias("first"), F.max("summit").alias("last"), F.sum("k").alias("n"))
+
+
+@query("cs_experiment_filter", sql("SELECT experiment, count(*) AS n FROM peaks GROUP BY 1 HAVING count(*) > 100", "peaks"))
+def _(s, d):
+    return consensus.usable_experiments(views.peaks(s, d)).groupBy("experiment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cs_presence_matrix", sql("SELECT DISTINCT gene, experiment, 1.0::DOUBLE AS value FROM genes a JOIN peaks b ON a.chrom = b.chrom AND a.start <= b.summit AND b.summit < a.\"end\"", "genes", "peaks"))
+def _(s, d):
+    got = intervals.overlap_join(enrich.summits(views.peaks(s, d)), views.genes(s, d), width=512)
+    return got.select(F.col("gene_b").alias("gene"), "experiment").distinct().withColumn("value", F.lit(1.0))
+
+
+@query("cs_multiplicity_hist", sql(MERGED.format(t="peaks") + f""", k AS (SELECT a.chrom, a.start, count(*) AS n_peaks FROM merged a JOIN peaks b ON {OVER} GROUP BY ALL), c AS (SELECT CAST(trunc(quantile_cont(n_peaks, 0.95)) AS BIGINT) AS cap FROM k)
+SELECT least(n_peaks, cap) AS n_peaks, count(*) AS regions FROM k, c GROUP BY 1""", "peaks"))
+def _(s, d):
+    p = views.peaks(s, d)
+    k = intervals.overlap_join(intervals.merge(p), p, width=W).groupBy("chrom", "start").agg(F.count(F.lit(1)).alias("n_peaks"))
+    return consensus.multiplicities(k)
+
+
+@query("cs_sigma_auto", sql('SELECT round(avg("end" - start) / 8, 6) AS sigma FROM peaks', "peaks"))
+def _(s, d):
+    return s.createDataFrame([(round(consensus.sigma(views.peaks(s, d), views.chrom_sizes(s, d)), 6),)], "sigma double")
+
+
+@query("cs_consensus")
+def _(s, d):
+    regions, _ = consensus.ConsensusBuilder(views.chrom_sizes(s, d)).build(views.peaks(s, d), min_overlap=2, unstranded=True)
+    return regions
+
+
+# --- enrichment ---------------------------------------------------------------------------------------
+
+HITS = """, hits AS (SELECT b.name, a.experiment FROM peaks a JOIN catalog b ON a.chrom = b.chrom AND b.start <= a.summit AND a.summit < b."end")
+"""
+HYPER = """CASE WHEN k_hits > least(n_bg, n_query) THEN 1.0 ELSE least(1.0, (SELECT sum(exp(lgamma(n_bg + 1) - lgamma(x + 1) - lgamma(n_bg - x + 1) + lgamma(m_total - n_bg + 1) - lgamma(n_query - x + 1) - lgamma(m_total - n_bg - n_query + x + 1)
+ - lgamma(m_total + 1) + lgamma(n_query + 1) + lgamma(m_total - n_query + 1))) FROM range(k_hits, least(n_bg, n_query) + 1) t(x) WHERE m_total - n_bg - n_query + x >= 0)) END"""
+COUNTED = HITS + """, c AS (SELECT name, count(*) AS n_bg, count(*) FILTER (WHERE experiment < 20) AS k_hits, (SELECT count(*) FROM peaks) AS m_total, (SELECT count(*) FROM peaks WHERE experiment < 20) AS n_query FROM hits GROUP BY name)
+"""
+
+
+def _vs_background(s, d):
+    return enrich.vs_background(views.catalog(s, d), enrich.summits(views.peaks(s, d)), F.col("experiment") < 20, width=64)
+
+
+@query("en_category_counts", sql(HITS + "SELECT name, count(*) AS hits FROM hits GROUP BY name", "peaks", "catalog"))
+def _(s, d):
+    return enrich.category_counts(views.catalog(s, d), enrich.summits(views.peaks(s, d)), width=64)
+
+
+@query("en_fold_change", sql(COUNTED + "SELECT name, k_hits, n_bg, round((k_hits / greatest(n_query, 1e-7)) / greatest(n_bg / greatest(m_total, 1e-7), 1e-7), 6) AS fc FROM c", "peaks", "catalog"))
+def _(s, d):
+    return _vs_background(s, d).select("name", "k_hits", "n_bg", round6(F.col("fc")).alias("fc"))
+
+
+PS = COUNTED + f", p AS (SELECT *, {HYPER} AS p FROM c)\n"
+
+
+@query("en_hypergeom", sql(PS + "SELECT name, n_bg, k_hits, m_total, n_query, round(p, 6) AS p FROM p", "peaks", "catalog"))
+def _(s, d):
+    return _vs_background(s, d).select("name", "n_bg", "k_hits", "m_total", "n_query", round6(F.col("p")).alias("p"))
+
+
+BH = "least(1.0, min({p} * m / r) OVER (ORDER BY {p} DESC ROWS UNBOUNDED PRECEDING))"
+
+
+@query("en_bh_global", sql(""", v AS (SELECT gene, (gene * 7919 % 1000 + 1) / 1000.0 AS p FROM genes), r AS (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r FROM v)
+SELECT gene, round(p, 6) AS p, round(least(1.0, min(p * m / r) OVER (ORDER BY p DESC)), 6) AS q FROM r""", "genes"))
+def _(s, d):
+    v = views.genes(s, d).select("gene", ((F.col("gene") * 7919 % 1000 + 1) / 1000.0).alias("p"))
+    return bh(v, "p").select("gene", round6(F.col("p")).alias("p"), round6(F.col("q")).alias("q"))
+
+
+@query("en_by_label", sql(HITS + f""", l AS (SELECT experiment % 4 AS label, count(*) AS n_query FROM peaks GROUP BY 1), n AS (SELECT name, count(*) AS n_bg FROM hits GROUP BY 1), k AS (SELECT name, experiment % 4 AS label, count(*) AS k FROM hits GROUP BY ALL),
+c AS (SELECT l.label, n.name, n_query, n_bg, coalesce(k, 0) AS k_hits, (SELECT count(*) FROM peaks) AS m_total FROM l CROSS JOIN n LEFT JOIN k ON k.name = n.name AND k.label = l.label)
+SELECT label, name, n_bg, k_hits, round({HYPER}, 6) AS p FROM c""", "peaks", "catalog"))
+def _(s, d):
+    p = enrich.summits(views.peaks(s, d)).withColumn("label", F.col("experiment") % 4)
+    return enrich.vs_background(views.catalog(s, d), p, F.lit(True), by=["label"], width=64).select("label", "name", "n_bg", "k_hits", round6(F.col("p")).alias("p"))
+
+
+def _presence(s, d):
+    return views.peaks(s, d).select((F.expr("summit div 5000")).alias("consensus"), "experiment").distinct()
+
+
+PRESENCE = ", pr AS (SELECT DISTINCT summit // 5000 AS consensus, experiment FROM peaks), rows AS (SELECT consensus, label FROM pr JOIN tissues ON experiment = sample)\n"
+
+
+@query("en_top_peaks_per_annot", sql(PRESENCE + f""", c AS (SELECT consensus, label, count(*) AS k_hits, sum(count(*)) OVER (PARTITION BY consensus) AS n_bg, sum(count(*)) OVER (PARTITION BY label) AS n_query, sum(count(*)) OVER () AS m_total FROM rows GROUP BY consensus, label),
+c2 AS (SELECT consensus, label, k_hits, CAST(n_bg AS BIGINT) AS n_bg, CAST(n_query AS BIGINT) AS n_query, CAST(m_total AS BIGINT) AS m_total FROM c)
+SELECT consensus, label, k_hits AS k, n_bg AS n, round((k_hits / n_bg) / (n_query / m_total), 6) AS fc, round({HYPER}, 6) AS p FROM c2""", "peaks", "tissues"))
+def _(s, d):
+    got = enrich.top_per_annotation(_presence(s, d), views.tissues(s, d).withColumnRenamed("sample", "experiment"))
+    return got.select("consensus", "label", "k", "n", round6(F.col("fc")).alias("fc"), round6(F.col("p")).alias("p"))
+
+
+@query("en_binom_two_sided", sql(HITS + """, c AS (SELECT name, count(*) FILTER (WHERE experiment < 20) AS k, count(*) AS n, (SELECT count(*) FILTER (WHERE experiment < 20) / count(*) FROM peaks) AS p FROM hits GROUP BY name),
+u AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(p) + (n - x) * ln(1 - p))) FROM range(k, n + 1) t(x)) AS sf FROM c)
+SELECT name, k, n, round(2 * least(sf, 1 - sf), 6) AS p_value FROM u""", "peaks", "catalog"))
+def _(s, d):
+    p = enrich.summits(views.peaks(s, d))
+    share = p.agg((F.count_if(F.col("experiment") < 20) / F.count(F.lit(1))).alias("p"))
+    k = intervals.overlap_join(p, views.catalog(s, d), width=64).groupBy(F.col("name_b").alias("name")).agg(F.count_if(F.col("experiment") < 20).alias("k"), F.count(F.lit(1)).alias("n"))
+    got = enrich.two_sided_binomial(k.join(F.broadcast(share)), "k", "n", "p")
+    return got.select("name", "k", "n", round6(F.col("p_value")).alias("p_value"))
+
+
+COMP = """, k AS (SELECT consensus % 3 AS cluster, label, count(*) AS k FROM rows GROUP BY ALL), z AS (SELECT label, count(*) AS size FROM rows GROUP BY 1), p AS (SELECT cluster, label, (k / size) / sum(k / size) OVER (PARTITION BY cluster) AS share FROM k JOIN z USING (label))
+SELECT cluster, label, round(share, 6) AS share, round(share / ((sum(share) OVER (PARTITION BY cluster) - share) / (SELECT count(DISTINCT label) - 1 FROM rows)), 6) AS fc_vs_others FROM p"""
+
+
+@query("en_cluster_composition", sql(PRESENCE + COMP, "peaks", "tissues"))
+def _(s, d):
+    m = _presence(s, d).join(views.tissues(s, d).withColumnRenamed("sample", "experiment"), "experiment").select((F.col("consensus") % 3).alias("cluster"), "label")
+    return enrich.composition(m).select("cluster", "label", round6(F.col("share")).alias("share"), round6(F.col("fc_vs_others")).alias("fc_vs_others"))
+
+
+@query("en_entropy_gini", sql(PRESENCE + """, z AS (SELECT label, count(*) AS size FROM rows GROUP BY 1), w AS (SELECT consensus, label, count(*) / any_value(size) AS w FROM rows JOIN z USING (label) GROUP BY ALL), p AS (SELECT *, w / sum(w) OVER (PARTITION BY consensus) AS p FROM w)
+SELECT consensus, round(-sum(p * ln(p + 1e-15)) / -ln(1.0 / (SELECT count(DISTINCT label) FROM tissues) + 1e-15), 6) AS entropy, round(1 - sum(p * p), 6) AS gini FROM p GROUP BY consensus""", "peaks", "tissues"))
+def _(s, d):
+    got = enrich.diversity(_presence(s, d), views.tissues(s, d).withColumnRenamed("sample", "experiment"))
+    return got.select("consensus", round6(F.col("entropy")).alias("entropy"), round6(F.col("gini")).alias("gini"))
+
+
+@query("en_specificity", sql(""", m AS (SELECT feature % 4 AS cluster, label, cnt FROM counts JOIN tissues USING (sample)), e AS (SELECT cluster, label, sum(cnt) AS s, count(*) AS c FROM m GROUP BY ALL),
+f AS (SELECT cluster, label, (s / c) / ((sum(s) OVER (PARTITION BY label) - s) / (sum(c) OVER (PARTITION BY label) - c)) AS x FROM e), g AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(x, 12) DESC, label) AS r FROM f)
+SELECT cluster, label, round(x, 6) AS specificity FROM g""", "counts", "tissues"))
+def _(s, d):
+    m = views.counts(s, d).join(views.tissues(s, d), "sample").select((F.col("feature") % 4).alias("cluster"), "label", "cnt")
+    return enrich.specificity(m, "cnt", top=99).select("cluster", "label", round6(F.col("specificity")).alias("specificity"))
+
+
+@query("en_state_shares", sql(""", st AS (SELECT summit // 1000 AS consensus, CAST(experiment % 10 AS BIGINT) AS epigenome, l AS state, (summit // 1000) % 3 = 0 AS inside FROM (SELECT summit, experiment, summit % 4 AS l FROM peaks)),
+k0 AS (SELECT epigenome, inside, state, count(*) AS c FROM st GROUP BY epigenome, inside, state), k AS (SELECT epigenome, inside, state, c / sum(c) OVER (PARTITION BY epigenome, inside) AS share FROM k0), p AS (SELECT state, epigenome, sum(CASE WHEN inside THEN share ELSE 0 END) AS a, sum(CASE WHEN inside THEN 0 ELSE share END) AS b FROM k GROUP BY state, epigenome)
+SELECT state, count(*) AS n, round(avg(a - b), 6) AS d, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 4) AS t, round(log2(avg(a) / avg(b)), 6) AS log2_fc FROM p GROUP BY state""", "peaks"))
+def _(s, d):
+    st = views.peaks(s, d).select(F.expr("summit div 1000").alias("consensus"), (F.col("experiment") % 10).alias("epigenome"), (F.col("summit") % 4).alias("state"), (F.expr("(summit div 1000) % 3 = 0")).alias("in_cluster"))
+    return enrich.state_shares(st).select("state", "n", round6(F.col("d")).alias("d"), (F.round("t", 4) + 0.0).alias("t"), round6(F.col("log2_fc")).alias("log2_fc"))
+
+
+@query("en_concordance", sql(""", a AS (SELECT feature FROM (SELECT feature, (feature * 7919 % 1009) / 1009.0 AS p FROM (SELECT DISTINCT feature FROM counts)) ORDER BY p, feature LIMIT 60), b AS (SELECT feature FROM (SELECT feature, (feature * 104729 % 1013) / 1013.0 AS p FROM (SELECT DISTINCT feature FROM counts)) ORDER BY p, feature LIMIT 60)
+SELECT (SELECT count(*) FROM a JOIN b USING (feature)) AS "both", (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b""", "counts"))
+def _(s, d):
+    f = views.counts(s, d).select("feature").distinct()
+    a, b = f.withColumn("p", (F.col("feature") * 7919 % 1009) / 1009.0), f.withColumn("p", (F.col("feature") * 104729 % 1013) / 1013.0)
+    return enrich.concordance(a, b, 2000, 60).select("both", "n_a", "n_b")
+
+
+@query("en_gene_domains", sql(BASAL + """, h AS (SELECT b.gene, count(*) AS n_bg, count(*) FILTER (WHERE a.experiment < 20) AS k_hits FROM peaks a JOIN basal b ON a.chrom = b.chrom AND b.start < a.summit + 1 AND a.summit < b."end" GROUP BY 1)
+SELECT gene, n_bg, k_hits FROM h""", "peaks", "genes"))
+def _(s, d):
+    p = enrich.summits(views.peaks(s, d))
+    dom = intervals.basal_domains(views.genes(s, d)).select("gene", "chrom", "start", "end")
+    got = enrich.GeneSetEnricher(views.genes(s, d).select("term", F.col("term").alias("name"), "gene"), dom, views.chrom_sizes(s, d)).genes(p.filter("experiment < 20"), p)
+    return got.select("gene", "n_bg", "k_hits")
+
+
+@query("en_gene_sets")
+def _(s, d):
+    p = enrich.summits(views.peaks(s, d))
+    dom = intervals.basal_domains(views.genes(s, d)).select("gene", "chrom", "start", "end")
+    return enrich.GeneSetEnricher(views.genes(s, d).select("term", F.col("term").alias("name"), "gene"), dom, views.chrom_sizes(s, d)).find_enriched(p.filter("experiment < 20"), p)
+
+
+@query("en_cohort_null")
+def _(s, d):
+    sig = views.counts(s, d).join(views.tissues(s, d), "sample").filter("cnt > 40").select("feature", F.col("label").alias("cohort")).distinct()
+    return enrich.cohort_threshold(sig, 2000, reps=10)
+
+
+# --- counts --------------------------------------------------------------------------------------------
+
+
+@query("ct_detectable", sql("SELECT feature, count(*) FILTER (WHERE cnt >= 20) AS n_samples FROM counts GROUP BY feature HAVING count(*) FILTER (WHERE cnt >= 20) >= 3", "counts"))
+def _(s, d):
+    return counts.detectable(views.counts(s, d), 20, 3)
+
+
+MOST = """, e AS (SELECT feature, count(*) FILTER (WHERE cnt > 0) AS over0, count(*) FILTER (WHERE cnt > 1) AS over1, count(*) FILTER (WHERE cnt > 2) AS over2, count(*) FILTER (WHERE cnt > 3) AS over3, count(*) FILTER (WHERE cnt > 4) AS over4 FROM counts GROUP BY feature),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY over0 DESC, over1 DESC, over2 DESC, over3 DESC, over4 DESC, feature) AS r, count(*) OVER () AS f FROM e) WHERE r <= CAST(floor(0.05 * f + 1) AS BIGINT))
+"""
+
+
+@query("ct_most_detected", sql(MOST + "SELECT feature, over0, over1, over2, over3, over4 FROM top", "counts"))
+def _(s, d):
+    return counts.most_detected(views.counts(s, d))
+
+
+@query("sc_topk_lexsort", sql(MOST + "SELECT feature FROM top WHERE r <= 10", "counts"))
+def _(s, d):
+    return counts.most_detected(views.counts(s, d)).orderBy(*[F.desc(f"over{k}") for k in range(5)], "feature").limit(10).select("feature")
+
+
+TOPSF = MOST + ", z AS (SELECT sample, sum(cnt) AS s FROM counts WHERE feature IN (SELECT feature FROM top) GROUP BY sample), sf AS (SELECT sample, s / avg(s) OVER () AS sf FROM z)\n"
+
+
+@query("ct_size_factor_top", sql(TOPSF + "SELECT sample, round(sf, 6) AS sf FROM sf", "counts"))
+def _(s, d):
+    return counts.top_size_factors(views.counts(s, d)).select("sample", round6(F.col("sf")).alias("sf"))
+
+
+def _dense_small(s, d):
+    """Few samples and features without zeros: counts of label by p_size."""
+    c = views.counts(s, d).join(views.tissues(s, d), "sample")
+    return c.groupBy(F.col("label").alias("sample"), (F.col("feature") % 40).alias("feature")).agg(F.sum("cnt").alias("cnt"))
+
+
+SMALL = ", small AS (SELECT label AS sample, feature % 40 AS feature, CAST(sum(cnt) AS BIGINT) AS cnt FROM counts JOIN tissues USING (sample) GROUP BY ALL)\n"
+RATIO = ", fm AS (SELECT feature, avg(ln(cnt)) AS g FROM small WHERE cnt > 0 GROUP BY feature HAVING count(*) = (SELECT count(DISTINCT sample) FROM small)), sf AS (SELECT sample, quantile_cont(cnt / exp(g), 0.5) AS sf FROM small JOIN fm USING (feature) GROUP BY sample)\n"
+
+
+@query("ct_median_ratio", sql(SMALL + RATIO + "SELECT sample, round(sf, 6) AS sf FROM sf", "counts", "tissues"))
+def _(s, d):
+    return counts.median_ratio_factors(_dense_small(s, d)).select("sample", round6(F.col("sf")).alias("sf"))
+
+
+SCALED = ", scaled AS (SELECT sample, sf / avg(sf) OVER () AS sf FROM sf)\n"
+
+
+@query("ct_normed", sql(SMALL + RATIO + SCALED + "SELECT sample, feature, cnt, round(cnt / sf, 6) AS normed FROM small JOIN scaled USING (sample)", "counts", "tissues"))
+def _(s, d):
+    c = _dense_small(s, d)
+    return counts.normed(c, counts.median_ratio_factors(c)).select("sample", "feature", "cnt", round6(F.col("normed")).alias("normed"))
+
+
+@query("ct_pearson_resid", sql(SMALL + RATIO + """, m AS (SELECT s.sample, s.feature, cnt, avg(cnt / sf) OVER (PARTITION BY s.feature) * sf AS mu, count(*) OVER (PARTITION BY s.feature) AS n FROM small s JOIN sf USING (sample)),
+r AS (SELECT sample, feature, least(greatest((cnt - mu) / sqrt(mu + 0.1 * mu * mu), -sqrt(9 + n / 4)), sqrt(9 + n / 4)) AS r FROM m)
+SELECT sample, feature, round(r - avg(r) OVER (PARTITION BY feature), 6) AS residual FROM r""", "counts", "tissues"))
+def _(s, d):
+    c = _dense_small(s, d)
+    full, _ = counts.pearson_residuals(c.join(F.broadcast(counts.median_ratio_factors(c)), "sample"), 0.1)
+    return full.select("sample", "feature", round6(F.col("residual")).alias("residual"))
+
+
+@query("ct_deviance_resid", sql(SMALL + RATIO + """, m AS (SELECT s.sample, s.feature, cnt * 1.0 AS x, avg(cnt / sf) OVER (PARTITION BY s.feature) * sf AS mu FROM small s JOIN sf USING (sample)),
+r AS (SELECT sample, feature, sign(x - mu) * sqrt(greatest(2 * (CASE WHEN x > 0 THEN x * ln(x / mu) ELSE 0 END - (x + 10) * ln((1 + 0.1 * x) / (1 + 0.1 * mu))), 0)) AS r FROM m)
+SELECT sample, feature, round(r - avg(r) OVER (PARTITION BY feature), 5) AS residual FROM r""", "counts", "tissues"))
+def _(s, d):
+    c = _dense_small(s, d)
+    full, _ = counts.deviance_residuals(c.join(F.broadcast(counts.median_ratio_factors(c)), "sample"), 0.1)
+    return full.select("sample", "feature", (F.round("residual", 5) + 0.0).alias("residual"))
+
+
+TSTAT = """, v AS (SELECT feature % 50 AS feature, label, cnt FROM counts JOIN tissues USING (sample)), g AS (SELECT feature, label, count(*) AS n, sum(cnt) * 1.0 AS s, sum(cnt * cnt) * 1.0 AS ss FROM v GROUP BY ALL),
+h AS (SELECT *, sum(n) OVER w - n AS n0, sum(s) OVER w - s AS s0, sum(ss) OVER w - ss AS ss0 FROM g WINDOW w AS (PARTITION BY feature)), t AS (SELECT feature, label, n, CAST(n0 AS BIGINT) AS n0, s / n AS m1, s0 / n0 AS m0, CAST(n + n0 - 2 AS BIGINT) AS df, (ss - s * s / n + ss0 - s0 * s0 / n0) / (n + n0 - 2) AS v FROM h WHERE n0 > 0 AND n + n0 > 2)
+"""
+
+
+def _t(s, d):
+    v = views.counts(s, d).select("sample", (F.col("feature") % 50).alias("feature"), F.col("cnt").cast("double").alias("residual"))
+    return counts.t_statistics(v, views.tissues(s, d)).filter("df > 0")
+
+
+@query("ct_ttest_stats", sql(TSTAT + "SELECT feature, label, n, n0, df, round(m1 - m0, 6) AS diff, round((m1 - m0) / sqrt(v * (1.0 / n + 1.0 / n0)), 4) AS t FROM t", "counts", "tissues"))
+def _(s, d):
+    return _t(s, d).select("feature", "label", "n", "n0", "df", round6(F.col("mean_in") - F.col("mean_out")).alias("diff"), (F.round("t", 4) + 0.0).alias("t"))
+
+
+@query("ct_de_gates", sql(""", e AS (SELECT feature % 50 AS feature, label, sum(cnt) AS s, count(*) FILTER (WHERE cnt > 0) AS pos FROM counts JOIN tissues USING (sample) GROUP BY ALL), z AS (SELECT label, count(*) AS n_in FROM tissues GROUP BY 1), n AS (SELECT count(*) AS n FROM tissues)
+SELECT feature, label, n_in, round(log2((s / n_in + 0.001) / ((sum(s) OVER (PARTITION BY feature) - s) / (n - n_in) + 0.001)), 6) AS lfc, round(pos / n_in, 6) AS pct FROM e JOIN z USING (label), n""", "counts", "tissues"))
+def _(s, d):
+    c = views.counts(s, d).withColumn("feature", F.col("feature") % 50).withColumn("normed", F.col("cnt"))
+    v = c.withColumn("residual", F.col("cnt").cast("double"))
+    return counts.differential(v, views.tissues(s, d), c).select("feature", "label", "n_in", round6(F.col("lfc")).alias("lfc"), round6(F.col("pct")).alias("pct"))
+
+
+MWU = """, v AS (SELECT l_suppkey % 10 AS k, CAST(l_quantity AS BIGINT) AS value, l_returnflag = 'R' AS g FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY value) + (count(*) OVER (PARTITION BY k, value) - 1) / 2 AS r FROM v),
+t AS (SELECT k, sum(c * c * c - c) AS tie FROM (SELECT k, value, count(*) AS c FROM v GROUP BY ALL) GROUP BY k), s AS (SELECT k, count(*) FILTER (WHERE g) AS n0, count(*) FILTER (WHERE NOT g) AS n1, sum(r) FILTER (WHERE g) AS r0 FROM r GROUP BY k)
+SELECT k, n0, n1, round(r0 - n0 * (n0 + 1) / 2, 6) AS u0, round((greatest(r0 - n0 * (n0 + 1) / 2, n0 * n1 - r0 + n0 * (n0 + 1) / 2) - n0 * n1 / 2 - 0.5) / sqrt(n0 * n1 / 12.0 * ((n0 + n1 + 1) - tie / ((n0 + n1) * (n0 + n1 - 1)))), 6) AS z FROM s JOIN t USING (k)"""
+
+
+@query("ct_mwu_stats", MWU.replace(", v AS", "WITH v AS", 1))
+def _(s, d):
+    v = table(s, d, "lineitem").select((F.col("l_suppkey") % 10).alias("k"), F.col("l_quantity").cast("bigint").alias("value"), (F.col("l_returnflag") == "R").alias("in_group"))
+    return counts.mann_whitney(v, by=["k"]).select("k", "n0", "n1", round6(F.col("u0")).alias("u0"), round6(F.col("z")).alias("z"))
+
+
+@query("ct_wilcoxon_stats", """WITH p AS (SELECT l_suppkey % 10 AS k, CAST(l_quantity AS BIGINT) - l_linenumber * 5 AS d, CAST(l_quantity AS BIGINT) AS a, CAST(l_linenumber * 5 AS BIGINT) AS b FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY abs(d)) + (count(*) OVER (PARTITION BY k, abs(d)) - 1) / 2 AS r FROM p WHERE d <> 0)
+SELECT k, count(*) AS n, round(sum(CASE WHEN d > 0 THEN r ELSE 0 END), 6) AS w_plus, round(sum(CASE WHEN d < 0 THEN r ELSE 0 END), 6) AS w_minus, count(*) FILTER (WHERE d > 0) AS support, round(quantile_cont(a / b, 0.5), 6) AS median_fc FROM r GROUP BY k""")
+def _(s, d):
+    p = table(s, d, "lineitem").select((F.col("l_suppkey") % 10).alias("k"), F.col("l_quantity").cast("bigint").alias("a"), (F.col("l_linenumber") * 5).cast("bigint").alias("b"))
+    got = counts.wilcoxon(p, "a", "b", ["k"])
+    return got.select("k", "n", *[round6(F.col(c)).alias(c) for c in ("w_plus", "w_minus")], "support", round6(F.col("median_fc")).alias("median_fc"))
+
+
+@query("ct_sparsity", sql("SELECT sample, CAST(sum(cnt) AS BIGINT) AS reads, round((2000 - count(*) FILTER (WHERE cnt > 0)) / 2000, 6) AS at_most_0, round((2000 - count(*) FILTER (WHERE cnt > 20)) / 2000, 6) AS at_most_20 FROM counts GROUP BY sample", "counts"))
+def _(s, d):
+    got = counts.sparsity(views.counts(s, d), 2000, (0, 20))
+    return got.select("sample", "reads", *[round6(F.col(c)).alias(c) for c in ("at_most_0", "at_most_20")])
+
+
+@query("ct_category_norm", sql(""", x AS (SELECT feature % 20 AS feature, label, avg(cnt) AS x FROM counts JOIN tissues USING (sample) GROUP BY ALL), a AS (SELECT feature, label, x / sum(x) OVER (PARTITION BY label) AS x FROM x), b AS (SELECT feature, label, x / sum(x) OVER (PARTITION BY feature) AS x FROM a)
+SELECT feature, label, round(x / sum(x) OVER (PARTITION BY label), 6) AS x FROM b""", "counts", "tissues"))
+def _(s, d):
+    c = views.counts(s, d).withColumn("feature", F.col("feature") % 20)
+    return counts.category_profile(c, views.tissues(s, d)).select("feature", "label", round6(F.col("x")).alias("x"))
+
+
+@query("ct_profile_bins", sql(""", b AS (SELECT feature // 100 AS region, feature % 100 AS bin, sample % 5 AS sample, CAST(sum(cnt) AS BIGINT) AS cnt FROM counts GROUP BY ALL), m AS (SELECT sample, avg(cnt) AS mean FROM b GROUP BY 1), x AS (SELECT region, bin, sum(cnt / mean) / (SELECT sum(mean) FROM m) AS x FROM b JOIN m USING (sample) GROUP BY ALL)
+SELECT region, bin, round(x, 6) AS x, round(x / max(x) OVER (PARTITION BY region), 6) AS scaled FROM x""", "counts"))
+def _(s, d):
+    b = views.counts(s, d).groupBy(F.expr("feature div 100").alias("region"), (F.col("feature") % 100).alias("bin"), (F.col("sample") % 5).alias("sample")).agg(F.sum("cnt").alias("cnt"))
+    return counts.pooled_profile(b).select("region", "bin", round6(F.col("x")).alias("x"), round6(F.col("scaled")).alias("scaled"))
+
+
+@query("ct_log_z", sql("SELECT sample, feature, round((ln(1 + cnt) - avg(ln(1 + cnt)) OVER w) / nullif(stddev_pop(ln(1 + cnt)) OVER w, 0), 5) AS z FROM counts WHERE feature % 20 = 0 WINDOW w AS (PARTITION BY feature)", "counts"))
+def _(s, d):
+    return counts.log_z(views.counts(s, d).filter("feature % 20 = 0"), "cnt", ["feature"]).select("sample", "feature", (F.round("z", 5) + 0.0).alias("z"))
+
+
+@query("ct_fit_residuals")
+def _(s, d):
+    c = _dense_small(s, d)
+    _, features = counts.fit_residuals(c, counts.median_ratio_factors(c))
+    return features
+
+
+# --- correlation and graph --------------------------------------------------------------------------------
+
+SPEAR = """, a AS (SELECT feature % 8 AS probe, sample, sum(cnt) AS value FROM counts WHERE feature % 2 = 0 GROUP BY ALL), b AS (SELECT feature % 8 AS gene, sample, sum(cnt) AS value FROM counts WHERE feature % 2 = 1 GROUP BY ALL),
+ra AS (SELECT probe, sample, rank() OVER (PARTITION BY probe ORDER BY value) + (count(*) OVER (PARTITION BY probe, value) - 1) / 2 AS r FROM a), rb AS (SELECT gene, sample, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2 AS r FROM b)
+SELECT probe, gene, count(*) AS n, round(corr(ra.r, rb.r), 6) AS r FROM ra JOIN rb USING (sample) GROUP BY probe, gene"""
+
+
+@query("co_spearman_pairs", sql(SPEAR, "counts"))
+def _(s, d):
+    c = views.counts(s, d)
+    a = c.filter("feature % 2 = 0").groupBy((F.col("feature") % 8).alias("probe"), "sample").agg(F.sum("cnt").alias("value"))
+    b = c.filter("feature % 2 = 1").groupBy((F.col("feature") % 8).alias("gene"), "sample").agg(F.sum("cnt").alias("value"))
+    pairs = s.createDataFrame([(p, g) for p in range(0, 8, 2) for g in range(1, 8, 2)], "probe long, gene long")
+    return correlate.spearman(pairs, a, b).select("probe", "gene", "n", round6(F.col("r")).alias("r"))
+
+
+@query("co_link", sql(BASAL + 'SELECT DISTINCT p.experiment AS probe, b.gene FROM peaks p JOIN basal b ON p.chrom = b.chrom AND b.start < p.summit + 1 AND p.summit < b."end" WHERE p.experiment < 10', "peaks", "genes"))
+def _(s, d):
+    p = enrich.summits(views.peaks(s, d).filter("experiment < 10")).withColumnRenamed("experiment", "probe")
+    return correlate.link(p, intervals.basal_domains(views.genes(s, d)))
+
+
+KNN = """, e AS (SELECT a.id AS src, b.id AS dst, sqrt(list_sum(list_transform(list_zip(a.x, b.x), z -> (z[1] - z[2]) * (z[1] - z[2])))) AS distance, a.label AS la, b.label AS lb FROM vectors a JOIN vectors b ON a.id <> b.id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM e) WHERE rank <= 10)
+"""
+
+
+@query("gr_knn_exact", sql(KNN + "SELECT src, dst, rank, round(distance, 5) AS distance FROM nn", "vectors"))
+def _(s, d):
+    return graph.knn(views.vectors(s, d), 10).select("src", "dst", F.col("rank").cast("bigint").alias("rank"), (F.round("distance", 5) + 0.0).alias("distance"))
+
+
+@query("gr_snn_weights", sql(KNN + ", l AS (SELECT src, list(dst) AS nn FROM nn GROUP BY src) SELECT n.src, n.dst, CAST(len(list_intersect(a.nn, b.nn)) AS INTEGER) AS weight FROM nn n JOIN l a ON a.src = n.src JOIN l b ON b.src = n.dst", "vectors"))
+def _(s, d):
+    return graph.snn(graph.knn(views.vectors(s, d), 10))
+
+
+@query("gr_loo_knn_acc", sql(KNN + """, z AS (SELECT label, count(*) AS size FROM vectors GROUP BY 1), v AS (SELECT src, la, lb, count(*) / any_value(size) AS votes FROM nn JOIN z ON lb = label GROUP BY src, la, lb), w AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY votes DESC, lb) AS r FROM v)
+SELECT round(avg(recall), 6) AS balanced_accuracy FROM (SELECT la, avg(CASE WHEN la = lb THEN 1 ELSE 0 END) AS recall FROM w WHERE r = 1 GROUP BY la)""", "vectors"))
+def _(s, d):
+    v = views.vectors(s, d)
+    return graph.loo_knn(v.select("id", "x"), v.select("id", "label"), 10).select(round6(F.col("balanced_accuracy")).alias("balanced_accuracy"))
+
+
+DICE = """, pr AS (SELECT DISTINCT experiment AS item, summit // 2000 AS feature FROM peaks WHERE experiment < 40), f AS (SELECT count(DISTINCT feature) AS f FROM pr), z AS (SELECT item, count(*) AS n FROM pr GROUP BY 1),
+p AS (SELECT a.item AS a, b.item AS b, count(*) AS n11 FROM pr a JOIN pr b ON a.feature = b.feature AND a.item < b.item GROUP BY ALL), q AS (SELECT a, b, n11, x.n - n11 AS n10, y.n - n11 AS n01, f - x.n - y.n + n11 AS n00 FROM p JOIN z x ON x.item = a JOIN z y ON y.item = b, f)
+"""
+
+
+def _pairs(s, d):
+    pr = views.peaks(s, d).filter("experiment < 40").select(F.col("experiment").alias("item"), F.expr("summit div 2000").alias("feature")).distinct()
+    return graph.pair_counts(pr, pr.select("feature").distinct().count())
+
+
+@query("gr_dice", sql(DICE + "SELECT a, b, n11, round((n10 + n01) / (2 * n11 + n10 + n01), 6) AS dice FROM q", "peaks"))
+def _(s, d):
+    return _pairs(s, d).select("a", "b", "n11", round6(F.col("dice")).alias("dice"))
+
+
+@query("gr_yule", sql(DICE + "SELECT a, b, n00, round(CASE WHEN n10 * n01 = 0 THEN 0.0 ELSE 2.0 * n10 * n01 / (n11 * n00 + n10 * n01) END, 6) AS yule FROM q", "peaks"))
+def _(s, d):
+    return _pairs(s, d).select("a", "b", "n00", round6(F.col("yule")).alias("yule"))
+
+
+@query("gr_ari", """WITH t AS (SELECT l_returnflag AS a, l_linenumber % 3 AS b, count(*) AS n FROM lineitem GROUP BY ALL), x AS (SELECT sum(n * (n - 1) / 2) AS i, sum(n) * (sum(n) - 1) / 2 AS al FROM t), ra AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY a)), rb AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY b))
+SELECT round((i - ra.s * rb.s / al) / ((ra.s + rb.s) / 2 - ra.s * rb.s / al), 6) + 0.0 AS ari FROM x, ra, rb""")
+def _(s, d):
+    got = graph.rand_index(table(s, d, "lineitem").select(F.col("l_returnflag").alias("a"), (F.col("l_linenumber") % 3).alias("b")), "a", "b")
+    return got.select(round6(F.col("ari")).alias("ari"))
+
+
+@query("gr_tf_idf", sql("""SELECT item, feature, round(n / sum(n) OVER (PARTITION BY item) * ln((SELECT count(DISTINCT sample) FROM counts) / count(*) OVER (PARTITION BY feature)), 6) + 0.0 AS weight FROM (SELECT sample AS item, feature % 30 AS feature, sum(cnt) AS n FROM counts GROUP BY ALL)""", "counts"))
+def _(s, d):
+    p = views.counts(s, d).groupBy(F.col("sample").alias("item"), (F.col("feature") % 30).alias("feature")).agg(F.sum("cnt").alias("n"))
+    return graph.tf_idf(p).select("item", "feature", round6(F.col("weight")).alias("weight"))
+
+
+@query("gr_clusters")
+def _(s, d):
+    return graph.cluster(views.vectors(s, d).select("id", "x"), k=10)
+
+
+# --- survival -------------------------------------------------------------------------------------------
+
+TTE = ", t AS (SELECT cohort, treated, dead, days - min(days) OVER () + 1 AS tte FROM follow_up)\n"
+
+
+def _times(s, d):
+    f = views.follow_up(s, d)
+    return survival.follow_up(f.withColumn("alive", ~F.col("dead")), "alive", "days", "days")
+
+
+@query("sv_tte", sql(TTE + "SELECT cohort, count(*) AS n, count(*) FILTER (WHERE dead) AS deaths, round(avg(tte), 6) AS mean_tte, CAST(min(tte) AS DOUBLE) AS low FROM t GROUP BY cohort", "follow_up"))
+def _(s, d):
+    return _times(s, d).groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.count_if("dead").alias("deaths"), round6(F.avg("tte")).alias("mean_tte"), F.min("tte").alias("low"))
+
+
+@query("sv_km_curve", sql(TTE + """, d AS (SELECT cohort, tte, count(*) FILTER (WHERE dead) AS d, count(*) AS k FROM t GROUP BY ALL), r AS (SELECT *, CAST(sum(k) OVER (PARTITION BY cohort ORDER BY tte DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n FROM d)
+SELECT cohort, CAST(tte AS DOUBLE) AS tte, CAST(d AS BIGINT) AS d, n, round(CASE WHEN max(CASE WHEN d = n THEN 1 ELSE 0 END) OVER w = 1 THEN 0.0 ELSE exp(sum(CASE WHEN d < n THEN ln(1 - d / n) ELSE 0 END) OVER w) END, 6) AS survival FROM r WHERE d > 0 WINDOW w AS (PARTITION BY cohort ORDER BY tte ROWS UNBOUNDED PRECEDING)""", "follow_up"))
+def _(s, d):
+    return survival.kaplan_meier(_times(s, d), ["cohort"]).select("cohort", "tte", F.col("d").cast("bigint").alias("d"), "n", round6(F.col("survival")).alias("survival"))
+
+
+@query("sv_logrank_stats", sql(TTE + """, x AS (SELECT tte, count(*) FILTER (WHERE dead) AS d, count(*) AS k, count(*) FILTER (WHERE dead AND treated) AS d1, count(*) FILTER (WHERE treated) AS k1 FROM t GROUP BY tte),
+r AS (SELECT *, sum(k) OVER w AS n, sum(k1) OVER w AS n1 FROM x WINDOW w AS (ORDER BY tte DESC ROWS UNBOUNDED PRECEDING)), e AS (SELECT d1, d * n1 / n AS e, CASE WHEN n > 1 THEN d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END AS v FROM r WHERE d > 0)
+SELECT CAST(sum(d1) AS BIGINT) AS observed, round(sum(e), 4) AS expected, round(sum(v), 4) AS variance FROM e""", "follow_up"))
+def _(s, d):
+    got = survival.log_rank(_times(s, d), "treated")
+    return got.select(F.col("observed").cast("bigint").alias("observed"), *[(F.round(c, 4) + 0.0).alias(c) for c in ("expected", "variance")])
+
+
+@query("sv_cox")
+def _(s, d):
+    t = _times(s, d).filter("patient % 4 = 0").select(F.col("patient").alias("sample"), "tte", "dead")
+    li = table(s, d, "lineitem")
+    v = li.groupBy((F.col("l_linenumber")).alias("feature"), F.col("l_orderkey").alias("sample")).agg(F.sum("l_quantity").alias("value"))
+    return survival.cox_univariate(v, t)
+
+
+# --- association statistics ------------------------------------------------------------------------------
+
+GOOD = "(A1 || A2) IN ('AC','AG','CA','CT','GA','GT','TC','TG')"
+REASON = f"CASE WHEN P <= 0 OR P > 1 THEN 'p' WHEN round(INFO, 6) < 0.9 THEN 'info' WHEN FRQ < 0 OR FRQ > 1 OR round(least(FRQ, 1 - FRQ), 6) <= 0.01 THEN 'frq' WHEN NOT {GOOD} THEN 'alleles' ELSE 'kept' END"
+
+
+def _raw(s, d):
+    return views.sumstats(s, d).withColumns({"INFO": F.round("INFO", 6), "FRQ": F.round("FRQ", 6)})
+
+
+@query("gw_filters_counters", sql(f"SELECT {REASON} AS reason, count(*) AS n FROM sumstats GROUP BY 1", "sumstats"))
+def _(s, d):
+    raw = _raw(s, d)
+    _, reason = gwas.clean(raw, maf_min=0.010001)
+    return gwas.drop_counts(raw, reason)
+
+
+@query("gw_dedupe", sql('SELECT "SNP", min(row) AS row, count(*) AS n FROM sumstats GROUP BY 1', "sumstats").replace(", count(*) AS n", ""))
+def _(s, d):
+    return gwas.first_of_each(views.sumstats(s, d).select("SNP", "row", "Z"), "SNP", "row").select("SNP", "row")
+
+
+@query("gw_effective_n", sql(""", m AS (SELECT max(N_CAS + N_CON) AS t FROM sumstats), mp AS (SELECT avg(N_CAS / (N_CAS + N_CON)) AS mean_p FROM sumstats, m WHERE N_CAS + N_CON = t), e AS (SELECT row, N_CAS / mean_p AS n FROM sumstats, mp), q AS (SELECT quantile_cont(n, 0.9) / 1.5 AS q FROM e)
+SELECT row, round(n, 6) AS n FROM e, q WHERE n >= q - 1e-9""", "sumstats"))
+def _(s, d):
+    return gwas.enough_n(gwas.effective_n(views.sumstats(s, d))).select("row", round6(F.col("N")).alias("n"))
+
+
+ALLELES = """, t AS (SELECT x.p || y.p AS k, false AS flip FROM g x JOIN g y ON y.p = x.p OR y.p = translate(x.p, 'ACGT', 'TGCA') UNION ALL SELECT x.p || y.p, true FROM g x JOIN g y ON reverse(y.p) = x.p OR reverse(y.p) = translate(x.p, 'ACGT', 'TGCA'))
+"""
+PAIRS = ", g AS (SELECT unnest(['AC','AG','CA','CT','GA','GT','TC','TG']) AS p)" + ALLELES
+SECOND = ", b AS (SELECT 'rs' || (p_partkey % 1900) AS snp, min(p_partkey) AS r FROM part GROUP BY 1), ref AS (SELECT snp AS \"SNP\", substr('ACGT', CAST((r // 2) % 4 + 1 AS INTEGER), 1) AS b1, substr('ACGT', CAST((r // 3) % 4 + 1 AS INTEGER), 1) AS b2, (r % 50 - 25) / 10.0 AS z FROM b)\n"
+
+
+def _second(s, d):
+    base = F.array(*[F.lit(x) for x in "ACGT"])
+    r = table(s, d, "part").groupBy(F.concat(F.lit("rs"), (F.col("p_partkey") % 1900).cast("string")).alias("SNP")).agg(F.min("p_partkey").alias("r"))
+    return r.select("SNP", F.get(base, (F.expr("r div 2") % 4).cast("int")).alias("A1"), F.get(base, (F.expr("r div 3") % 4).cast("int")).alias("A2"), ((F.col("r") % 50 - 25) / 10.0).alias("Z"), F.lit(1000.0).alias("N"))
+
+
+@query("gw_allele_merge", sql(PAIRS + SECOND + 'SELECT ref."SNP", s.row, CASE WHEN t.k IS NOT NULL THEN round(s."Z", 6) END AS z FROM ref LEFT JOIN sumstats s ON s."SNP" = ref."SNP" LEFT JOIN t ON t.k = s."A1" || s."A2" || b1 || b2', "sumstats"))
+def _(s, d):
+    stats = views.sumstats(s, d).select("SNP", "A1", "A2", "Z", "row")
+    got = gwas.merge_alleles(_second(s, d), stats.withColumn("r2", F.col("row")))
+    keep = views.sumstats(s, d).select("SNP", F.col("row").alias("row_"))
+    del keep
+    ref = _second(s, d).select("SNP", gwas.alleles(F.col("A1"), F.col("A2")).alias("ma"))
+    all_ = ref.join(stats, "SNP", "left").select("SNP", "row")
+    matched = got.filter("r2 is not null").select(F.col("SNP").alias("s2"), "r2", "Z")
+    out = all_.join(matched, (F.col("SNP") == F.col("s2")) & (F.col("row") == F.col("r2")), "left")
+    return out.select("SNP", "row", round6(F.col("Z")).alias("z"))
+
+
+@query("gw_allele_flip", sql(PAIRS + SECOND + 'SELECT s.row, round(CASE WHEN t.flip THEN -ref.z ELSE ref.z END, 6) + 0.0 AS z2 FROM sumstats s JOIN ref ON s."SNP" = ref."SNP" JOIN t ON t.k = s."A1" || s."A2" || b1 || b2', "sumstats"))
+def _(s, d):
+    return gwas.align(views.sumstats(s, d), _second(s, d)).select("row", round6(F.col("Z2")).alias("z2"))
+
+
+@query("gw_lambda_gc", sql('SELECT round(avg("Z" * "Z"), 6) AS mean_chi2, round(quantile_cont("Z" * "Z", 0.5) / 0.4549, 6) AS lambda_gc, round(max("Z" * "Z"), 6) AS max_chi2, count(*) FILTER (WHERE "Z" * "Z" > 5) AS n_over FROM sumstats', "sumstats"))
+def _(s, d):
+    st = views.sumstats(s, d)
+    n = st.agg(F.count_if(F.col("Z") * F.col("Z") > 5).alias("n_over"))
+    got = gwas.summary(st).select(*[round6(F.col(c)).alias(c) for c in ("mean_chi2", "lambda_gc", "max_chi2")])
+    return got.join(F.broadcast(n))
+
+
+@query("gw_block_sums", sql(""", o AS (SELECT *, row_number() OVER (ORDER BY "CHR", "BP") - 1 AS i, count(*) OVER () AS n FROM sumstats), b AS (SELECT *, CAST(((i + 1) * 20 - 1) // n AS INTEGER) AS block FROM o)
+SELECT block, count(*) AS n, round(CAST(sum(ld * ld) AS DOUBLE), 4) AS xx_0_0, round(CAST(sum(ld * annot) AS DOUBLE), 4) AS xx_0_1, round(CAST(sum(annot * annot) AS DOUBLE), 4) AS xx_1_1, round(CAST(sum(ld * "Z") AS DOUBLE), 4) AS xy_0, round(CAST(sum(annot * "Z") AS DOUBLE), 4) AS xy_1 FROM b GROUP BY block""", "sumstats"))
+def _(s, d):
+    b = gwas.with_blocks(views.sumstats(s, d), ["CHR", "BP"], 20)
+    got = gwas.block_sums(b, "Z", ["ld", "annot"])
+    return got.select("block", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in got.columns if c[0] == "x"])
+
+
+@query("gw_quantile_annot_sums", sql(""", o AS (SELECT annot, ld, "Z" FROM sumstats), n AS (SELECT count(*) AS n FROM o), r AS (SELECT annot, row_number() OVER (ORDER BY annot) - 1 AS i FROM o), c AS (SELECT q, min(annot) AS cut FROM r, n, range(6) t(q) WHERE i = CAST(floor(q * (n - 1) / 5 + 0.5) AS BIGINT) GROUP BY q),
+d AS (SELECT q, CASE WHEN q = 0 THEN cut - 1e-10 ELSE cut END AS lo, lead(cut) OVER (ORDER BY q) AS hi FROM c)
+SELECT CAST(q AS INTEGER) AS q, count(*) AS n, round(CAST(sum(ld) AS DOUBLE), 4) AS ld FROM o JOIN d ON annot > lo AND annot <= hi GROUP BY q""", "sumstats"))
+def _(s, d):
+    return gwas.quantile_sums(views.sumstats(s, d), "annot", ["ld"], 5).select("q", "n", (F.round("ld", 4) + 0.0).alias("ld"))
+
+
+@query("gw_ld_window_neighbors", sql('SELECT a.row, count(*) AS n, CAST(sum(b.row) AS BIGINT) AS s FROM sumstats a JOIN sumstats b ON a."CHR" = b."CHR" AND abs(a."BP" - b."BP") <= 5000 GROUP BY a.row', "sumstats"))
+def _(s, d):
+    w = Window.partitionBy("CHR").orderBy("BP").rangeBetween(-5000, 5000)
+    return views.sumstats(s, d).select("row", F.count(F.lit(1)).over(w).alias("n"), F.sum("row").over(w).alias("s"))
+
+
+@query("gw_continuous_bins", sql('SELECT row, CAST(ld > 10 AND ld <= 30 AND "Z" <= 0 AS INTEGER) AS cell_1_0, CAST(ld > 30 AND "Z" > 0 AS INTEGER) AS cell_2_1 FROM sumstats', "sumstats"))
+def _(s, d):
+    return gwas.continuous_bins(views.sumstats(s, d), {"ld": [10.0, 30.0], "Z": [0.0]}).select("row", "cell_1_0", "cell_2_1")
+
+
+@query("gw_snp_annotation", sql("SELECT s.row, CAST(EXISTS (SELECT 1 FROM genes g WHERE g.chrom = 'chr' || s.\"CHR\" AND g.start <= s.\"BP\" - 1 AND s.\"BP\" - 1 < g.\"end\") AS INTEGER) AS annot FROM sumstats s", "sumstats", "genes"))
+def _(s, d):
+    st = views.sumstats(s, d).select(F.col("row").cast("string").alias("SNP"), "row", "CHR", "BP")
+    return gwas.snp_annotation(st, views.genes(s, d)).select("row", "annot")
+
+
+@query("gw_heritability")
+def _(s, d):
+    st = views.sumstats(s, d).withColumns({"N": F.col("N_CAS") + F.col("N_CON"), "w_ld": F.col("ld")}).select("CHR", "BP", "SNP", "Z", "N", "ld", "w_ld")
+    r = gwas.heritability(st.withColumnRenamed("ld", "L2"), ["L2"], [1e6], blocks=50)
+    return s.createDataFrame([(r["total"], r["total_se"], r["intercept"], r["intercept_se"])], "h2 double, h2_se double, intercept double, intercept_se double")
+
+
+# --- markers and sets --------------------------------------------------------------------------------------
+
+MARK = ", mk AS (SELECT DISTINCT 'set ' || sample AS \"set\", feature AS consensus FROM counts WHERE cnt > 45)\n"
+
+
+def _markers(s, d):
+    return markers.marker_sets({"set": views.counts(s, d).filter("cnt > 45").select(F.col("sample").alias("set"), F.col("feature").alias("consensus"))})
+
+
+@query("mk_specificity_trim", sql(MARK + 'SELECT "set", consensus FROM mk WHERE consensus IN (SELECT consensus FROM mk GROUP BY 1 HAVING count(*) <= greatest(CAST(floor((SELECT count(DISTINCT "set") FROM mk) * 0.1 + 0.5) AS BIGINT), 1))', "counts"))
+def _(s, d):
+    return markers.trim(_markers(s, d))
+
+
+@query("mk_half_datasets", sql(MARK + """, ts AS (SELECT 'set ' || sample AS "set", label AS tissue FROM tissues), z AS (SELECT tissue, count(*) AS sets FROM ts GROUP BY 1)
+SELECT tissue, consensus, count(*) AS k, count(*) / any_value(sets) > 0.99 AS in_all, count(*) / any_value(sets) >= 0.5 AS in_half, count(*) >= 2 AS min2 FROM mk JOIN ts USING ("set") JOIN z USING (tissue) GROUP BY ALL""", "counts", "tissues"))
+def _(s, d):
+    t = views.tissues(s, d).select(F.concat(F.lit("set "), F.col("sample").cast("string")).alias("set"), F.col("label").alias("tissue"))
+    return markers.by_tissue(_markers(s, d), t).select("tissue", "consensus", "k", "in_all", "in_half", "min2")
+
+
+@query("mk_label_list", sql(MARK + "SELECT consensus, string_agg(\"set\", ';' ORDER BY \"set\") AS labels FROM mk GROUP BY consensus", "counts"))
+def _(s, d):
+    return markers.label_list(_markers(s, d))
+
+
+FLAGS = "SELECT c_custkey, c_mktsegment = 'BUILDING' AS a, c_nationkey < 12 AS b, c_acctbal > 0 AS c FROM customer"
+
+
+def _flags(s, d):
+    return table(s, d, "customer").select("c_custkey", (F.col("c_mktsegment") == "BUILDING").alias("a"), (F.col("c_nationkey") < 12).alias("b"), (F.col("c_acctbal") > 0).alias("c"))
+
+
+@query("mk_venn3", f"SELECT a, b, c, count(*) AS size FROM ({FLAGS}) WHERE a OR b OR c GROUP BY ALL")
+def _(s, d):
+    return markers.partition(_flags(s, d), ["a", "b", "c"])
+
+
+@query("mk_upset", f"SELECT a, b, c, count(*) AS size FROM ({FLAGS}) GROUP BY ALL HAVING count(*) >= 20")
+def _(s, d):
+    return markers.upset(_flags(s, d), ["a", "b", "c"], 20)
+
+
+@query("mk_venn_multiset", """WITH k AS (SELECT l_partkey % 100 AS k, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'R') AS b FROM lineitem GROUP BY 1)
+SELECT CAST(sum(greatest(a - b, 0)) AS BIGINT) AS "10", CAST(sum(greatest(b - a, 0)) AS BIGINT) AS "01", CAST(sum(least(a, b)) AS BIGINT) AS "11" FROM k""")
+def _(s, d):
+    li = table(s, d, "lineitem").select((F.col("l_partkey") % 100).alias("k"), (F.col("l_returnflag") == "A").cast("bigint").alias("a"), (F.col("l_returnflag") == "R").cast("bigint").alias("b"))
+    return markers.multiset_partition(li, "k", ["a", "b"]).select("10", "01", "11")
+
+
+@query("mk_exclusive_hierarchy", f"SELECT CASE WHEN a THEN 'promoter' WHEN b THEN 'enhancer' WHEN c THEN 'regulatory' ELSE 'none' END AS level, count(*) AS n FROM ({FLAGS}) GROUP BY 1")
+def _(s, d):
+    level = markers.hierarchy([("promoter", F.col("a")), ("enhancer", F.col("b")), ("regulatory", F.col("c"))])
+    return _flags(s, d).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("mk_any_share", f"SELECT round(avg(CASE WHEN a OR b THEN 1 ELSE 0 END), 6) AS share FROM ({FLAGS})")
+def _(s, d):
+    return markers.any_share(_flags(s, d), ["a", "b"]).select(round6(F.col("share")).alias("share"))
+
+
+@query("mk_pivot", """SELECT c_nationkey, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building, count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS machinery FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1""")
+def _(s, d):
+    c = table(s, d, "customer").select(F.col("c_nationkey").alias("consensus"), F.col("c_mktsegment").alias("set")).filter("set in ('BUILDING', 'MACHINERY')")
+    got = markers.wide_table(c, ["BUILDING", "MACHINERY"], 1)
+    return got.select(F.col("consensus").alias("c_nationkey"), F.col("BUILDING").alias("building"), F.col("MACHINERY").alias("machinery"))
+
+
+@query("mk_crosstab_full", "SELECT a.s AS c_mktsegment, b.n AS c_nationkey, count(c_custkey) AS n FROM (SELECT DISTINCT c_mktsegment AS s FROM customer) a CROSS JOIN (SELECT DISTINCT c_nationkey AS n FROM customer) b LEFT JOIN customer ON c_mktsegment = s AND c_nationkey = n GROUP BY 1, 2")
+def _(s, d):
+    return markers.crosstab(table(s, d, "customer"), "c_mktsegment", "c_nationkey")
+
+
+@query("mk_category_remainder", """WITH k AS (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' ELSE o_orderpriority END AS category, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT * FROM k UNION ALL SELECT 'No overlap', CAST((SELECT count(*) FROM orders) - (SELECT sum(n) FROM k) AS BIGINT)""")
+def _(s, d):
+    o = table(s, d, "orders")
+    return markers.category_counts(o.filter("o_orderstatus = 'F'"), "o_orderpriority", {"1-URGENT": "high", "2-HIGH": "high"}, o.count())
+
+
+@query("mk_detected_in", sql(PRESENCE.replace("rows AS (SELECT consensus, label", "rows AS (SELECT consensus, experiment, label") + "SELECT label AS category, consensus, count(DISTINCT experiment) AS experiments FROM rows GROUP BY ALL", "peaks", "tissues"))
+def _(s, d):
+    return markers.detected_in(_presence(s, d), views.tissues(s, d).select(F.col("sample").alias("experiment"), F.col("label").alias("category")))
+
+
+@query("mk_latest", "SELECT o_custkey, o_orderkey FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS r FROM orders) WHERE r = 1")
+def _(s, d):
+    return markers.latest(table(s, d, "orders"), "o_custkey", F.col("o_orderdate")).select("o_custkey", "o_orderkey")
+
+
+# --- scalars ------------------------------------------------------------------------------------------------
+
+
+@query("sc_split_lookup", "SELECT p_partkey, split_part(p_type, ' ', 2) AS second, replace(upper(p_name), ' ', '_') AS name FROM part")
+def _(s, d):
+    return table(s, d, "part").select("p_partkey", F.coalesce(F.get(F.split("p_type", " "), F.lit(1)), F.lit("")).alias("second"), F.replace(F.upper("p_name"), F.lit(" "), F.lit("_")).alias("name"))
+
+
+@query("sc_barcode_truncate", "SELECT doc_id, array_to_string(list_slice(string_split(lang || '-' || source || '-' || doc_id || '-x-y', '-'), 1, 4), '-') AS code FROM documents")
+def _(s, d):
+    c = F.concat_ws("-", "lang", "source", F.col("doc_id").cast("string"), F.lit("x"), F.lit("y"))
+    return table(s, d, "documents").select("doc_id", F.substring_index(c, "-", 4).alias("code"))
+
+
+@query("sc_cap_text", "SELECT item_id, CASE WHEN length(text) < 40 THEN text ELSE substr(text, 1, 40) || '...' END AS text FROM benchmark")
+def _(s, d):
+    return table(s, d, "benchmark").select("item_id", cap_text(F.col("text"), 40).alias("text"))
+
+
+@query("sc_percentile_cutpoints", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
+def _(s, d):
+    return table(s, d, "lineitem").groupBy("l_returnflag").agg(*[F.round(F.percentile("l_extendedprice", F.lit(p)), 4).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))])
