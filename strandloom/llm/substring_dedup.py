@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import shared, windows
 
@@ -70,7 +71,7 @@ def repeated_words(docs: DataFrame, window: int = 35, shingle: int = 4, width: i
         yield {"anchor": windows._long(g.anchor[ok]), "content": windows._long(g.content[ok]), "hashes": pa.ListArray.from_arrays(pa.array(cut), pa.array(windows._long(hashes)))}
 
     docs = shared.keyed_documents(docs)
-    found = windows.repeated(docs, plan, lambda parts, _: windows.by_window_hash(parts), detail, "anchor long, content long, hashes array<long>")
+    found = windows.repeated(docs, plan, lambda parts, _: windows.by_window_hash(parts.select("anchor", "content", "n", F.posexplode("hashes").alias("off", "h"))), detail, "anchor long, content long, hashes array<long>")
     joined = docs.join(found, shared.same_row(docs, found), "left").select(docs["doc_id"], docs["text"], found["found"])
 
     def cut(batches):

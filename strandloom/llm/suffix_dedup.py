@@ -37,15 +37,15 @@ class RunLengthIndex:
         padded = np.concatenate([t, np.zeros(8, np.uint8)])
         for j in range(8):
             key = (key << U(8)) | padded[j : j + n].astype(U)
-        levels = [(1, key >> U(56)), (2, key >> U(48)), (4, key >> U(32))]
+        levels = [(1, (key >> U(56)).astype(np.uint8)), (2, (key >> U(48)).astype(np.uint16)), (4, (key >> U(32)).astype(np.uint32))]
         rank, span = self._ranks(key), 8
-        levels.append((8, rank))
+        levels.append((8, rank.astype(np.int32)))
         while span < reach and rank.max() + 1 < n:
             behind = np.zeros(n, np.int64)
             behind[: n - span] = rank[span:] + 1
             rank = self._ranks(rank * (n + 1) + behind)
             span *= 2
-            levels.append((span, rank))
+            levels.append((span, rank.astype(np.int32)))
         order = np.argsort(rank, kind="stable")
         bwt = t[order - 1].astype(np.int16)
         bwt[order == 0] = -1
@@ -107,26 +107,21 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     return out
 
 
+def window_hashes(text: bytes, length: int) -> np.ndarray:
+    """Of every string of `length` bytes in a text that has at least one."""
+    s = TABLE[np.frombuffer(text, np.uint8)]
+    up, down = windows.powers(len(s) + 1)
+    prefix = np.concatenate([np.zeros(1, U), np.cumsum(s * up[: len(s)], dtype=U)])
+    return windows.mix((prefix[length:] - prefix[:-length]) * down[: len(s) - length + 1])
+
+
 def byte_symbols(batches):
     for b in batches:
         yield b, ((row, TABLE[np.frombuffer(text, np.uint8)]) for row, text in enumerate(shared.as_bytes(b["text"])))
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200, shingle: int = 16, width: int = 26, most_kinds: int = 1000) -> DataFrame:
-    """One row per row of docs (doc_id, text): what is left without bytes of repeated strings.
-
-    Texts are UTF-8 bytes. Each byte that lies in a string of `length` bytes which also starts anywhere
-    else - in the same document or another; equal rows count as two documents - goes. Overlaps count,
-    strings are judged on the input, and no match crosses documents. Null and empty texts have no bytes;
-    texts shorter than `length` lose nothing; an empty table gives no rows; null ids are judged as any
-    other. Other columns of docs are ignored.
-
-    Returns doc_id, n_bytes, n_removed, n_spans, starts and stops of the removed spans, kept (bytes),
-    kept_sha256.
-
-    most_kinds: an anchor with more different segments than this isn't laid into an index, whose text must
-    stay in memory; its windows are grouped exactly by content, which spreads over all tasks.
-    """
+def repeats(docs: DataFrame, length: int, shingle: int, width: int, most_kinds: int) -> DataFrame:
+    """Of keyed documents, those with repeated strings: doc_id, rk and where, as windows.repeated() gives it."""
     plan = windows.Plan(byte_symbols, length, min(shingle, length), most=1 << 18, width=width)
 
     def detail(b, g, ok, doc, pos):
@@ -163,26 +158,58 @@ def repeated_bytes(docs: DataFrame, length: int = 200, shingle: int = 16, width:
         if hold:
             yield from found()
 
-    def hashes(batches):
+    def windows_of(batches, keep=None):
         for b in batches:
-            out = []
-            for text in shared.as_bytes(b["bytes"]):
-                s = TABLE[np.frombuffer(text, np.uint8)]
-                up, down = windows.powers(len(s) + 1)
-                prefix = np.concatenate([np.zeros(1, U), np.cumsum(s * up[: len(s)], dtype=U)])
-                out.append(windows._long(windows.mix((prefix[length:] - prefix[:-length]) * down[: len(s) - length + 1])))
-            cut = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            yield {"anchor": b["anchor"], "content": b["content"], "n": b["n"], "hashes": pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*out, np.zeros(0, np.int64)])))}
+            hashes = [window_hashes(text, length) for text in shared.as_bytes(b["bytes"])]
+            each = [len(h) for h in hashes]
+            out = {c: np.repeat(np.asarray(b[c]), each) for c in ("anchor", "content", "n")}
+            out["off"] = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in each]])
+            out["h"] = windows._long(np.concatenate([np.zeros(0, U), *hashes]))
+            ok = slice(None) if keep is None else keep(window_keys(out))
+            yield {c: v[ok] for c, v in out.items()}
+
+    def window_keys(x):
+        return windows.mix(x["h"].view(U) ^ x["anchor"].view(U))
+
+    def hot_windows(many: DataFrame) -> DataFrame:
+        """Rows for an exact group-by: of segments with too many kinds, the windows that a sketch can't rule out."""
+
+        def keys(batches):
+            for x in windows_of(batches):
+                k = window_keys(x)
+                yield np.concatenate([k, k[x["n"] > 1]])
+
+        seen = many.sparkSession.sparkContext.broadcast(windows.merged_sketch(many, keys, 2, width, 2))
+        return shared.stream(many, lambda batches: windows_of(batches, seen.value.passes), "anchor long, content long, n long, off int, h long")
 
     def resolve(parts: DataFrame, _: DataFrame) -> DataFrame:
         parts = parts.select("anchor", "content", "n", "kinds", "bytes")
         few = parts.filter(F.col("kinds") <= most_kinds).drop("kinds")
         few = few.repartition("anchor").sortWithinPartitions("anchor", "content")
-        many = shared.stream(parts.filter(F.col("kinds") > most_kinds).drop("kinds"), hashes, "anchor long, content long, n long, hashes array<long>")
-        return shared.stream(few, by_index, "anchor long, content long, offs array<int>").unionByName(windows.by_window_hash(many))
+        many = shared.saved(parts.filter(F.col("kinds") > most_kinds).drop("kinds"))
+        return shared.stream(few, by_index, "anchor long, content long, offs array<int>").unionByName(windows.by_window_hash(hot_windows(many)))
 
+    return windows.repeated(docs, plan, resolve, detail, "anchor long, content long, bytes binary")
+
+
+def repeated_bytes(docs: DataFrame, length: int = 200, shingle: int = 64, width: int = 26, most_kinds: int = 8192) -> DataFrame:
+    """One row per row of docs (doc_id, text): what is left without bytes of repeated strings.
+
+    Texts are UTF-8 bytes. Each byte that lies in a string of `length` bytes which also starts anywhere
+    else - in the same document or another; equal rows count as two documents - goes. Overlaps count,
+    strings are judged on the input, and no match crosses documents. Null and empty texts have no bytes;
+    texts shorter than `length` lose nothing; an empty table gives no rows; null ids are judged as any
+    other. Other columns of docs are ignored.
+
+    Returns doc_id, n_bytes, n_removed, n_spans, starts and stops of the removed spans, kept (bytes),
+    kept_sha256.
+
+    most_kinds: an anchor with more different segments than this isn't laid into an index, whose text must
+    stay in memory (3 MB of text at the default); its windows are grouped exactly by content, which spreads
+    over all tasks, after a second sketch has ruled out those that occur once.
+    """
     docs = shared.keyed_documents(docs)
-    found = windows.repeated(docs, plan, resolve, detail, "anchor long, content long, bytes binary")
+    found = repeats(docs, length, shingle, width, most_kinds)
     joined = docs.join(found, shared.same_row(docs, found), "left").select(docs["doc_id"], docs["text"], found["found"])
 
     def cut(batches):
@@ -202,3 +229,27 @@ def repeated_bytes(docs: DataFrame, length: int = 200, shingle: int = 16, width:
 
     kind = dict(docs.dtypes)["doc_id"].replace("bigint", "long")
     return shared.stream(joined, cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, starts array<int>, stops array<int>, kept binary, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, length: int = 200, shingle: int = 64, width: int = 26, most_kinds: int = 8192) -> DataFrame:
+    """The rows of docs, all columns, with text cut as by repeated_bytes() and n_chars, if there, counted anew.
+
+    A character of which a cut has left only some bytes goes too.
+    """
+    keys = shared.keyed_documents(docs)
+    found = repeats(keys, length, shingle, width, most_kinds).withColumnsRenamed({"doc_id": "_id", "rk": "_rk", "found": "_found"})
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
+    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_key"] == found["_rk"]), "left").drop("_key", "_id", "_rk")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for text, f in zip(shared.as_bytes(batch["text"]), batch["_found"].to_pylist(), strict=True):
+            if f:
+                text = np.frombuffer(text, np.uint8)[~windows.covered(len(text), length, f)].tobytes()
+            texts.append(None if text is None else text.decode("utf-8", "ignore"))
+        at = batch.schema.get_field_index("text")
+        out = batch.set_column(at, "text", pa.array(texts, batch.schema.field("text").type))
+        return out.drop_columns(["_found"])
+
+    out = shared.rewrite(joined, cut, ("_found",))
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

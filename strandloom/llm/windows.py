@@ -283,13 +283,12 @@ def repeated(docs: DataFrame, plan: Plan, resolve: Callable[[DataFrame, DataFram
     )
 
 
-def by_window_hash(windows: DataFrame) -> DataFrame:
-    """(anchor, content, n, hashes of the windows in order) -> offsets of repeats, for segments that occur once.
+def by_window_hash(each: DataFrame) -> DataFrame:
+    """Windows (anchor, content, n, off, h: hash) -> offsets of repeats, for segments that occur once.
 
     An exact group-by on (anchor, window hash), 128 bits together. Counts are summed before the shuffle, so
     that a frequent window is no hot key.
     """
-    each = windows.select("anchor", "content", "n", F.posexplode("hashes").alias("off", "h"))
     twice = each.groupBy("anchor", "h").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor", "h")
     return each.filter("n = 1").join(twice, ["anchor", "h"], "left_semi").groupBy("anchor", "content").agg(F.sort_array(F.collect_set("off")).alias("offs"))
 
