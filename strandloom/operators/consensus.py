@@ -78,29 +78,37 @@ class ConsensusBuilder:
         size = int(8 * width) + 1
         islands = with_runs(peaks.withColumn("_to", F.col("summit")), ["strand", "chrom"], "summit", "_to", gap=size, name="island").drop("_to")
 
-        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["summit", "start", "end"], kind="stable")
-            s = pdf["summit"].to_numpy(np.int64)
+        def cuts_of(s: np.ndarray, reach: np.ndarray) -> np.ndarray:
             if per_peak is None:
                 lo, heads = separators(s, np.ones(len(s)), width, size)
-            else:
-                lo, hi = int(s[0]) - size, int(s[-1]) + size
-                x, density = np.arange(lo, hi + 1), np.zeros(hi - lo + 1)
-                for c, w in zip(s, (pdf["end"] - pdf["start"]).to_numpy() * per_peak, strict=True):
-                    density += np.exp(-((x - c) ** 2) / (2 * max(w, 1e-3) ** 2))
-                density[density < 1e-12] = 0
-                padded = np.concatenate([[density[0]], density, [density[-1]]])
-                low = (density <= padded[:-2]) & (density <= padded[2:])
-                heads = np.flatnonzero(low & ~np.concatenate([[False], low[:-1]]))
-                heads = heads[heads > 0]
-            cuts = heads + lo
-            at = np.searchsorted(cuts, s, side="right")
+                return heads + lo
+            lo, hi = int(s[0]) - size, int(s[-1]) + size
+            x, density = np.arange(lo, hi + 1), np.zeros(hi - lo + 1)
+            for c, w in zip(s, reach, strict=True):
+                density += np.exp(-((x - c) ** 2) / (2 * max(w, 1e-3) ** 2))
+            density[density < 1e-12] = 0
+            padded = np.concatenate([[density[0]], density, [density[-1]]])
+            low = (density <= padded[:-2]) & (density <= padded[2:])
+            heads = np.flatnonzero(low & ~np.concatenate([[False], low[:-1]]))
+            return heads[heads > 0] + lo
+
+        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["island", "summit", "start", "end"], kind="stable")
+            summit, island = pdf["summit"].to_numpy(np.int64), pdf["island"].to_numpy()
+            reach = (pdf["end"] - pdf["start"]).to_numpy() * (per_peak or 0)
             length = int(pdf["length"].iloc[0])
-            edges = np.concatenate([[0], np.clip(cuts, 0, length), [length]])
-            return pdf.assign(sep_l=edges[at], sep_r=edges[at + 1])
+            first = np.flatnonzero(np.concatenate([[True], island[1:] != island[:-1]]))
+            left, right = np.zeros(len(summit), np.int64), np.zeros(len(summit), np.int64)
+            for i, j in zip(first, np.append(first[1:], len(summit)), strict=True):
+                cuts = cuts_of(summit[i:j], reach[i:j])
+                edges = np.concatenate([[0], np.clip(cuts, 0, length), [length]])
+                at = np.searchsorted(cuts, summit[i:j], side="right")
+                left[i:j], right[i:j] = edges[at], edges[at + 1]
+            return pdf.drop(columns="_lot").assign(sep_l=left, sep_r=right)
 
         schema = islands.schema.simpleString()[7:-1].replace(":", " ") + ",sep_l bigint,sep_r bigint"
-        return islands.groupBy("strand", "chrom", "island").applyInPandas(cut, schema)
+        lots = islands.withColumn("_lot", F.floor(F.col("island") / 256))  # islands are small; a task call takes many
+        return lots.groupBy("strand", "chrom", "_lot").applyInPandas(cut, schema)
 
     def build(self, peaks: DataFrame, sigma_: str | float = "auto_1", min_overlap: int = 2, per_peak: float | None = None, unstranded: bool = False) -> tuple[DataFrame, DataFrame]:
         """(consensus, presence): regions with at least min_overlap peaks, and which experiment has which."""

@@ -316,7 +316,7 @@ def _(s, d):
 
 
 @query("en_binom_two_sided", sql(HITS + """, c AS (SELECT name, count(*) FILTER (WHERE experiment < 20) AS k, count(*) AS n, (SELECT count(*) FILTER (WHERE experiment < 20) / count(*) FROM peaks) AS p FROM hits GROUP BY name),
-u AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(p) + (n - x) * ln(1 - p))) FROM range(k, n + 1) t(x)) AS sf FROM c)
+u AS (SELECT *, CASE WHEN p >= 1 THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(p) + (n - x) * ln(1 - p))) FROM range(k, n + 1) t(x)) END AS sf FROM c)
 SELECT name, k, n, round(2 * least(sf, 1 - sf), 6) AS p_value FROM u""", "peaks", "catalog"))
 def _(s, d):
     p = enrich.summits(views.peaks(s, d))
@@ -558,7 +558,7 @@ def _(s, d):
     return correlate.link(p, intervals.basal_domains(views.genes(s, d)))
 
 
-KNN = """, e AS (SELECT a.id AS src, b.id AS dst, sqrt(list_sum(list_transform(list_zip(a.x, b.x), z -> (z[1] - z[2]) * (z[1] - z[2])))) AS distance, a.label AS la, b.label AS lb FROM vectors a JOIN vectors b ON a.id <> b.id),
+KNN = """, e AS (SELECT a.id AS src, b.id AS dst, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance, a.label AS la, b.label AS lb FROM vectors a JOIN vectors b ON a.id <> b.id),
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM e) WHERE rank <= 10)
 """
 
@@ -699,9 +699,7 @@ def _second(s, d):
 def _(s, d):
     stats = views.sumstats(s, d).select("SNP", "A1", "A2", "Z", "row")
     got = gwas.merge_alleles(_second(s, d), stats.withColumn("r2", F.col("row")))
-    keep = views.sumstats(s, d).select("SNP", F.col("row").alias("row_"))
-    del keep
-    ref = _second(s, d).select("SNP", gwas.alleles(F.col("A1"), F.col("A2")).alias("ma"))
+    ref = _second(s, d).select("SNP")
     all_ = ref.join(stats, "SNP", "left").select("SNP", "row")
     matched = got.filter("r2 is not null").select(F.col("SNP").alias("s2"), "r2", "Z")
     out = all_.join(matched, (F.col("SNP") == F.col("s2")) & (F.col("row") == F.col("r2")), "left")
