@@ -46,10 +46,10 @@ class SeverityModel:
 
 
 def fit(texts: list[str], toxic: list[int], most_features: int = 2048, grades: int = 2, steps: int = 400) -> SeverityModel:
-    """Fits w and the thresholds; severities of toxic texts are equal shares of their density of telling words.
+    """Fits w and the thresholds; severities of toxic texts are equal shares by how much telling they hold.
 
-    A feature is telling if it occurs in at least 3 toxic texts and its share of toxic texts is 10 times that
-    of clean ones (with one added to the clean count). Without toxic or without clean texts nothing is toxic.
+    A feature is telling if it occurs in at least 3 toxic texts and 2 % of them, and its share of toxic texts is 10 times
+    that of clean ones (with one added to the clean count). Without toxic or without clean texts nothing is toxic.
     """
     labels = np.array(toxic, bool)
     none = SeverityModel({}, tuple(20.0 + k for k in range(grades)))
@@ -60,7 +60,7 @@ def fit(texts: list[str], toxic: list[int], most_features: int = 2048, grades: i
     for b, y in zip(bags, labels.tolist(), strict=True):
         seen[y].update(b.keys())
     n1, n0 = int(labels.sum()), int((~labels).sum())
-    rate = {f: (k / n1) / ((seen[0][f] + 1) / n0) for f, k in seen[1].items() if k >= 3}
+    rate = {f: (k / n1) / ((seen[0][f] + 1) / n0) for f, k in seen[1].items() if k >= max(3, 0.02 * n1)}
     chosen = sorted((f for f, r in rate.items() if r >= 10 or seen[0][f] == 0), key=lambda f: (-rate[f], f))[:most_features]
     if not chosen:
         return none
@@ -74,10 +74,9 @@ def fit(texts: list[str], toxic: list[int], most_features: int = 2048, grades: i
                 vals.append(math.log1p(k))
     rows, cols, vals = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals)
     hits = np.bincount(rows, vals, len(bags))
-    density = hits / np.array([max(1, sum(b.values())) for b in bags])
     grade = np.zeros(len(bags), np.int64)
-    cuts = np.quantile(density[labels], [k / grades for k in range(1, grades)]) if grades > 1 else np.zeros(0)
-    grade[labels] = 1 + np.searchsorted(cuts, density[labels], side="right")
+    cuts = np.quantile(hits[labels], [k / grades for k in range(1, grades)]) if grades > 1 else np.zeros(0)
+    grade[labels] = 1 + np.searchsorted(cuts, hits[labels], side="right")
     w, first, gaps = np.zeros(len(chosen)), 1.0, np.zeros(grades - 1)
     m, v = np.zeros(len(chosen) + grades), np.zeros(len(chosen) + grades)
     weight = np.where(labels, 0.5 / n1, 0.5 / n0)
