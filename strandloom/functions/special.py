@@ -7,11 +7,25 @@ from statistics import NormalDist
 
 import numpy as np
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """ln gamma of positive numbers: the recurrence up to 10, then Stirling's series."""
+    x = np.array(x, float)
+    shift = np.zeros_like(x)
+    for _ in range(10):
+        low = x < 10
+        if not low.any():
+            break
+        shift = shift + np.where(low, np.log(np.where(low, x, 1.0)), 0.0)
+        x = np.where(low, x + 1, x)
+    r = 1 / (x * x)
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - shift
 
 
 def log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
-    return _lgamma(n + 1.0) - _lgamma(k + 1.0) - _lgamma(n - k + 1.0)
+    return lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0)
 
 
 def log_sum(x: np.ndarray) -> float:

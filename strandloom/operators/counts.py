@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..functions import special
 
 
 def detectable(counts: DataFrame, read_min: int = 1, exp_min: int = 2) -> DataFrame:
@@ -115,7 +116,7 @@ def dispersion(full: DataFrame, most: int = 5000, seed: int = 42) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, sf = pdf["cnt"].to_numpy(float), pdf["sf"].to_numpy(float)
         mu = max((x / sf).mean(), 1e-12) * sf
-        lg = np.vectorize(math.lgamma, otypes=[float])
+        lg = special.lgamma
 
         def nll(log_a: float) -> float:
             r = math.exp(-log_a)

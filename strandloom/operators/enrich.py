@@ -160,12 +160,13 @@ def nb1_glm(hits: np.ndarray, expected: np.ndarray, member: np.ndarray) -> tuple
     y, e, x = hits[keep].astype(float), expected[keep], member[keep].astype(float)
     if not len(y) or x.sum() == 0 or x.sum() == len(x) or y.sum() == 0:
         return math.nan, math.nan
-    lg = np.vectorize(math.lgamma, otypes=[float])
+    lg = special.lgamma
+    fixed = lg(y + 1)
 
     def nll(t: np.ndarray) -> float:
         mu, a = e * np.exp(np.clip(t[0] * x + t[1], -50, 50)), math.exp(min(30.0, max(-30.0, t[2])))
         r = mu / a
-        return -float(np.sum(lg(y + r) - lg(r) - lg(y + 1) - r * math.log1p(a) + y * (t[2] - math.log1p(a))))
+        return -float(np.sum(lg(y + r) - lg(r) - fixed - r * math.log1p(a) + y * (t[2] - math.log1p(a))))
 
     def slope(t: np.ndarray, h: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
         g, m, f0 = np.zeros(3), np.zeros((3, 3)), nll(t)
