@@ -96,3 +96,34 @@ def cap_text(c: Column, n: int) -> Column:
 
 def clip(c: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(c, low), high)
+
+
+def motif_name(c: Column) -> Column:
+    """The name of a motif before its first slash and bracket."""
+    return F.regexp_extract(c, r"^([^/(]*)", 1)
+
+
+def histogram(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
+    """(bin, n): values in [edge_i, edge_i+1), the last bin closed; values outside and nulls are left out."""
+    x = F.col(column)
+    at = sum((F.when(x >= e, 1).otherwise(0) for e in edges[:-1]), F.lit(0)) - 1
+    inside = df.filter((x >= edges[0]) & (x <= edges[-1]))
+    return inside.groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def density_grid(df: DataFrame, x: str, y: str, pixels: int, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """(px, py, n) of points in a grid of pixels over (low x, high x, low y, high y)."""
+    x0, x1, y0, y1 = bounds
+
+    def cell(c: str, low: float, high: float) -> Column:
+        return F.least(F.floor((F.col(c) - low) / (high - low) * pixels), F.lit(pixels - 1)).cast("int")
+
+    rows = df.filter(F.col(x).between(x0, x1) & F.col(y).between(y0, y1))
+    return rows.groupBy(cell(x, x0, x1).alias("px"), cell(y, y0, y1).alias("py")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def palette(n: int) -> list[tuple[float, float, float]]:
+    """n distinct colours: hues along the golden ratio at full enough saturation."""
+    import colorsys
+
+    return [colorsys.hsv_to_rgb(i * 0.6180339887498949 % 1, 0.65 + 0.3 * (i % 2), 0.95 - 0.25 * (i // 2 % 2)) for i in range(n)]

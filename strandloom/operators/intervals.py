@@ -248,6 +248,15 @@ def linear_position(df: DataFrame, chrom_sizes: DataFrame, position: str) -> Dat
     return df.join(F.broadcast(offsets), "chrom").withColumn("x", F.col("offset") + F.col(position)).drop("offset")
 
 
+def count_reads(reads: DataFrame, regions: DataFrame, width: int = 1 << 10) -> DataFrame:
+    """(sample, region, cnt) of reads (sample, name, chrom, start, end) in regions (id): a read counts once in every region it touches.
+
+    The parts of a read (its mates) share its name.
+    """
+    hits = overlap_join(reads, regions.select("chrom", "start", "end", "id"), width=width).select("sample", "name", F.col("id_b").alias("region")).distinct()
+    return hits.groupBy("sample", "region").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def signal_profile(points: DataFrame, track: DataFrame, reach: int = 5000, size: int = 10) -> DataFrame:
     """Mean signal (track: value) by offset bin around points (start), over all points; missing counts as zero."""
     n = points.count()

@@ -127,3 +127,17 @@ def test_trend_falls():
     mean = rng.uniform(1, 100, 800)
     _, y = counts.trend(mean, 1 / mean + rng.uniform(0, 0.01, 800))
     assert (np.diff(y) <= 1e-12).all() and math.isfinite(y[0])
+
+
+def test_small_columns(spark):
+    from strandloom.functions import columns as fc
+    from strandloom.operators import intervals
+
+    df = spark.createDataFrame([("Sox2(HMG)/mES", 0.0, 1.0), ("p53/x", 2.5, 0.0), ("n", 4.0, 1.0), ("o", 9.0, 0.5)], "m string, x double, y double")
+    assert [r[0] for r in df.select(fc.motif_name(df["m"])).collect()] == ["Sox2", "p53", "n", "o"]
+    assert {r["bin"]: r["n"] for r in fc.histogram(df, "x", [0, 1, 3, 4]).collect()} == {0: 1, 1: 1, 2: 1}
+    assert sorted(map(tuple, fc.density_grid(df, "x", "y", 2, (0, 4, 0, 1)).collect())) == [(0, 1, 1), (1, 0, 1), (1, 1, 1)]
+    assert len(set(fc.palette(12))) == 12
+    reads = spark.createDataFrame([("s", "r1", "a", 0, 10), ("s", "r1", "a", 12, 20), ("s", "r2", "a", 5, 30)], "sample string, name string, chrom string, start long, end long")
+    regions = spark.createDataFrame([("a", 8, 15, 1), ("a", 25, 40, 2)], "chrom string, start long, end long, id long")
+    assert sorted(map(tuple, intervals.count_reads(reads, regions).collect())) == [("s", 1, 2), ("s", 2, 1)]
