@@ -50,7 +50,7 @@ def word_symbols(batches):
         yield b, each()
 
 
-def repeated_words(docs: DataFrame, window: int = 35, shingle: int = 4, width: int = 26) -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 35, shingle: int = 8, width: int = 26) -> DataFrame:
     """One row per row of docs (doc_id, text): what is left without words of repeated windows.
 
     Words are maximal runs of bytes other than ASCII white space, unchanged. A window is `window`
@@ -72,12 +72,13 @@ def repeated_words(docs: DataFrame, window: int = 35, shingle: int = 4, width: i
 
     docs = shared.keyed_documents(docs)
     found = windows.repeated(docs, plan, lambda parts, _: windows.by_window_hash(parts.select("anchor", "content", "n", F.posexplode("hashes").alias("off", "h"))), detail, "anchor long, content long, hashes array<long>")
-    joined = docs.join(found, shared.same_row(docs, found), "left").select(docs["doc_id"], docs["text"], found["found"])
+    texts = shared.packed(docs)
+    joined = texts.join(found, shared.same_row(texts, found), "left").select(texts["doc_id"], texts["text"], found["found"])
 
     def cut(batches):
         for b in batches:
             out = {"doc_id": b["doc_id"], "n_words": [], "n_removed": [], "kept": [], "kept_sha256": []}
-            for text, f in zip(shared.as_bytes(b["text"]), b["found"].to_pylist(), strict=True):
+            for text, f in zip(shared.unpacked(b["text"]), b["found"].to_pylist(), strict=True):
                 words = text.split()
                 n = 0
                 if f:

@@ -210,12 +210,13 @@ def repeated_bytes(docs: DataFrame, length: int = 200, shingle: int = 64, width:
     """
     docs = shared.keyed_documents(docs)
     found = repeats(docs, length, shingle, width, most_kinds)
-    joined = docs.join(found, shared.same_row(docs, found), "left").select(docs["doc_id"], docs["text"], found["found"])
+    texts = shared.packed(docs)
+    joined = texts.join(found, shared.same_row(texts, found), "left").select(texts["doc_id"], texts["text"], found["found"])
 
     def cut(batches):
         for b in batches:
             out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "starts", "stops", "kept", "kept_sha256")}
-            for text, f in zip(shared.as_bytes(b["text"]), b["found"].to_pylist(), strict=True):
+            for text, f in zip(shared.unpacked(b["text"]), b["found"].to_pylist(), strict=True):
                 starts = stops = np.zeros(0, np.int64)
                 kept = text
                 if f:
