@@ -45,6 +45,10 @@ class SeverityModel:
         return [1 / (1 + math.exp(min(700.0, max(-700.0, t - z)))) for t in self.thresholds]
 
 
+def _counts(text: str | None, wanted: dict[str, int]) -> Counter[str]:
+    return Counter(f for t in (text or "").split() for f in features_of(t) if f in wanted)
+
+
 def fit(texts: list[str], toxic: list[int], most_features: int = 2048, grades: int = 2, steps: int = 400) -> SeverityModel:
     """Fits w and the thresholds; severities of toxic texts are equal shares by how much telling they hold.
 
@@ -55,12 +59,18 @@ def fit(texts: list[str], toxic: list[int], most_features: int = 2048, grades: i
     none = SeverityModel({}, tuple(20.0 + k for k in range(grades)))
     if labels.all() or not labels.any():
         return none
-    bags = [Counter(f for t in (x or "").split() for f in features_of(t)) for x in texts]
-    seen = (Counter(), Counter())
-    for b, y in zip(bags, labels.tolist(), strict=True):
-        seen[y].update(b.keys())
     n1, n0 = int(labels.sum()), int((~labels).sum())
-    rate = {f: (k / n1) / ((seen[0][f] + 1) / n0) for f, k in seen[1].items() if k >= max(3, 0.02 * n1)}
+    support: Counter[str] = Counter()  # of toxic texts first: few features are worth counting anywhere else
+    for x, y in zip(texts, labels.tolist(), strict=True):
+        if y:
+            support.update({f for t in set((x or "").split()) for f in features_of(t)})
+    support = {f: k for f, k in support.items() if k >= max(3, 0.02 * n1)}
+    bags = [_counts(x, support) for x in texts]
+    seen = (Counter(), support)
+    for b, y in zip(bags, labels.tolist(), strict=True):
+        if not y:
+            seen[0].update(b.keys())
+    rate = {f: (k / n1) / ((seen[0][f] + 1) / n0) for f, k in support.items()}
     chosen = sorted((f for f, r in rate.items() if r >= 10 or seen[0][f] == 0), key=lambda f: (-rate[f], f))[:most_features]
     if not chosen:
         return none
@@ -99,7 +109,7 @@ def fit(texts: list[str], toxic: list[int], most_features: int = 2048, grades: i
     return SeverityModel({f: float(w[i]) for f, i in at.items() if w[i] != 0}, tuple(map(float, t)))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 5000) -> SeverityModel:
+def fit_on(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000) -> SeverityModel:
     """Fits on at most most_toxic and most_clean labelled rows, those of least hash of the id.
 
     labels: doc_id, toxic (0 or 1; null and other values are left out).
