@@ -22,7 +22,6 @@ from .substring_dedup import WordHashes
 U = np.uint64
 SKETCH = 64
 MAYBE = 32  # equal sketch bytes of 64; at a similarity of 0.8 fewer are 6 standard deviations away
-DENSE = 50  # in a long run of neighbours that each agree so much, one with the next is enough
 ROW = "tree int, key long, sketch binary, n long, c long"
 
 
@@ -72,14 +71,9 @@ def _pairs(rows: dict[str, np.ndarray], lags: int, n_old: int, share: float) ->
     k, n = len(rows["c"]), rows["n"].astype(np.float64)
     sk = rows["sketch"]
     a, b = [], []
-    same1 = (rows["tree"][1:] == rows["tree"][:-1]) & (rows["key"][1:] == rows["key"][:-1])
-    run = np.concatenate([[0], np.cumsum(~(same1 & ((sk[1:] == sk[:-1]).sum(1) >= DENSE) & (np.minimum(n[1:], n[:-1]) >= share * np.maximum(n[1:], n[:-1]))))])
-    long_run = np.bincount(run)[run] > lags + 1 if k else run
     for lag in range(1, min(lags, k - 1) + 1):
         i = np.flatnonzero((rows["tree"][lag:] == rows["tree"][:-lag]) & (rows["key"][lag:] == rows["key"][:-lag]))
         i = i[i + lag >= n_old]
-        if lag > 1:
-            i = i[(run[i] != run[i + lag]) | ~long_run[i]]
         if not len(i):
             continue
         i = i[np.minimum(n[i], n[i + lag]) >= share * np.maximum(n[i], n[i + lag])]

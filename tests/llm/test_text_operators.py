@@ -159,6 +159,30 @@ def test_large_group_in_blocks(spark):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+def star(members=300, words=300, changed=20, seed=5):
+    """A text and copies that each differ from it in their own places: about 0.87 to it, 0.77 to each other."""
+    r = random.Random(seed)
+    base = [f"v{i}" for i in range(words)]
+    texts = [" ".join(base)]
+    for i in range(members):
+        w = list(base)
+        for at in r.sample(range(words), changed):
+            w[at] = f"n{i}x{at}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_long_runs_of_look_alikes_keep_all_pairs_of_the_window():
+    r = np.random.default_rng(1)
+    base = r.integers(0, 256, 64, dtype=np.uint8)
+    sketch = np.tile(base, (40, 1))
+    for i in range(40):
+        sketch[i, r.choice(64, 4, replace=False)] = i
+    rows = {"tree": np.zeros(40, int), "key": np.zeros(40, int), "n": np.full(40, 300), "c": np.arange(40), "sketch": sketch}
+    got = near_dedup._pairs(rows, 16, 0, 0.8)
+    assert set(zip(got["a"].tolist(), got["b"].tolist(), strict=True)) == {(a, b) for b in range(40) for a in range(max(0, b - 16), b)}
+
+
 def test_contained(spark, docs, rows, nothing):
     items = [(0, " ".join((rows[8][1]).split(" ")[2:30])), (1, "never seen anywhere at all in it"), (2, None), (3, "One"), (4, ""), (0, "two words")]
     frame = spark.createDataFrame(items, "item_id long, text string")
