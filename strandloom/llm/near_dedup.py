@@ -2,14 +2,14 @@
 
 Documents with equal shingle sets form a class. Each tree of the forest sorts the classes by its own order of
 signature values; neighbours in that order that share at least a prefix of `depth` values, nearest first by the
-longest common prefix, are candidates, so that the depth adapts itself to how dense a region is. Candidates that
-the signature cannot rule out are confirmed on full sets, and confirmed links give components.
+longest common prefix, are candidates. Candidates that the signature cannot rule out are confirmed on full sets, and
+confirmed links give components. Where more rows share a prefix than the window of neighbours spans, all of them that
+are not in one component by then are compared with each other on full sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -92,18 +92,29 @@ def _columns(b: dict) -> dict[str, np.ndarray]:
     return {c: np.asarray(b[c]) for c in ("tree", "key", "n", "c")} | {"sketch": flat}
 
 
+def _rows(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """A row for each class with a signature and each tree: tree, key (its prefix), sketch, n, c."""
+    width = depth * 4
+    t = F.col("tree")
+    sketch = F.expr(f"substring(sig, {trees * width + 1}, {SKETCH})")
+    turn = (t * 13) % SKETCH
+    rows = classes.filter("sig is not null").select("c", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    return rows.select("tree", F.xxhash64(t, F.substring("sig", t * width + 1, F.lit(width))).alias("key"), F.concat(F.substring(sketch, turn + 1, F.lit(SKETCH)), F.substring(sketch, F.lit(1), turn)).alias("sketch"), "n", "c")
+
+
+def crowds(classes: DataFrame, trees: int, depth: int, lags: int) -> DataFrame:
+    """(tree, key, c) of the classes under a key that more rows share than the window spans."""
+    rows = _rows(classes, trees, depth).select("tree", "key", "c")
+    return rows.join(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > lags + 1).drop("rows"), ["tree", "key"])
+
+
 def candidates(classes: DataFrame, trees: int, depth: int, lags: int, share: float) -> DataFrame:
     """(a, b): classes that some tree holds near each other and whose sketches agree enough; a < b.
 
     Rows are dealt by ranges of each tree's order, in which a large group of look-alikes is spread by its
     deeper values. What lies at the ends of a partition is compared with its neighbour's in a second, small step.
     """
-    width = depth * 4
-    t = F.col("tree")
-    sketch = F.expr(f"substring(sig, {trees * width + 1}, {SKETCH})")
-    turn = (t * 13) % SKETCH
-    rows = classes.filter("sig is not null").select("c", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = rows.select("tree", F.xxhash64(t, F.substring("sig", t * width + 1, F.lit(width))).alias("key"), F.concat(F.substring(sketch, turn + 1, F.lit(SKETCH)), F.substring(sketch, F.lit(1), turn)).alias("sketch"), "n", "c")
+    rows = _rows(classes, trees, depth)
     order = ["tree", "key", "sketch", "c"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -161,8 +172,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
     in the component: true), and rk, a key of id and text.
 
     trees, depth: a pair at the threshold escapes all trees with probability (1 - 0.8**depth)**trees, 3e-5 at the
-    defaults. block: candidates that hang together in more classes than this are confirmed in blocks against the group's
-    first class, and what that leaves open pair by pair.
+    defaults; in no tree does the size of a group matter, as what shares a key is compared in full: pairs of at most lags
+    rows apart as candidates, the others unless these have linked them already. block: where candidates hang together in more classes than this, blocks of the group, each
+    with its first class, are compared in full, and then what that leaves open with the whole group.
     """
     share = percent / 100
     docs = shared.keyed_documents(docs)
@@ -177,7 +189,11 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
     member = groups.join(sizes, "label").withColumn("block", F.when(F.col("size") > block, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block))).otherwise(0).cast("long"))
     member = shared.saved(member)
 
-    wanted = classes.join(groups.select(F.col("node").alias("c")), "c", "left_semi").select("hi")
+    crowd = shared.saved(crowds(classes, trees, depth, lags))
+    alone = crowd.select(F.col("c").alias("node")).distinct().join(member, "node", "left_anti")
+    every = member.unionByName(alone, allowMissingColumns=True)
+
+    wanted = classes.join(every.select(F.col("node").alias("c")), "c", "left_semi").select("hi")
 
     def numbers(batches):
         for b in batches:
@@ -202,45 +218,41 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
                 ok = sketch.value.passes(np.array(out["hi"], np.int64).view(U))
                 yield {c: [x for x, k in zip(v, ok.tolist(), strict=True) if k] for c, v in out.items()}
 
-    ids = classes.select("hi", "lo", "c").join(member.withColumnRenamed("node", "c"), "c")
+    ids = classes.select("hi", "lo", "c").join(every.withColumnRenamed("node", "c"), "c")
     sets = shared.stream(docs.select("text"), full, "hi long, lo long, items binary").groupBy("hi", "lo").agg(F.first("items").alias("items"))
     sets = shared.saved(sets.join(ids, ["hi", "lo"]).select("label", "block", "c", "size", "items"))
-    own = sets.select("label", "block", "c", "items")
-    first = sets.filter((F.col("c") == F.col("label")) & (F.col("size") > block)).select("label", "c", "items", F.col("block").alias("home"))
-    leaders = first.join(member.select("label", "block").distinct(), "label").filter("block <> home").select("label", "block", "c", "items")
-    side_a = member.select(F.col("node").alias("a"), "label", "block")
-    side_b = member.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
-    placed = shared.saved(pairs.join(side_a, "a").join(side_b, "b"))
-    inside = placed.filter("block = block_b").groupBy("label", "block").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    own = sets.filter("label is not null").select("label", "block", "c", "size", "items")
+    first = sets.filter((F.col("c") == F.col("label")) & (F.col("size") > block)).select("label", "c", "size", "items", F.col("block").alias("home"))
+    leaders = first.join(member.select("label", "block").distinct(), "label").filter("block <> home").select("label", "block", "c", "size", "items")
+    small = member.filter(F.col("size") <= block).select(F.col("node").alias("a"), "label", "block")
+    inside = pairs.join(small, "a").groupBy("label", "block").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
 
     def confirm(key, left, right):
         import pandas as pd
 
+        if len(left) and left["size"].iloc[0] > block:
+            left = left.sort_values("c")
+            return _linked(left["c"], left["items"], left["c"], left["items"], percent)
         have = {int(c): np.frombuffer(x, U) for c, x in zip(left["c"], left["items"], strict=True)}
-        leader = int(key[0])
         root = {c: c for c in have}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        todo = [(int(p["a"]), int(p["b"])) for ps in right["pairs"] for p in ps]
-        if leader in have and len(have) > block // 2:
-            todo = [(leader, c) for c in have if c != leader] + todo
-        for a, b in todo:
-            x, y = find(a), find(b)
+        out: dict[str, list[int]] = {"u": [], "v": []}
+        for a, b in ((int(p["a"]), int(p["b"])) for ps in right["pairs"] for p in ps):
+            x, y = _find(root, a), _find(root, b)
             if x != y and similar(have[a], have[b], percent):
                 root[max(x, y)] = min(x, y)
-        return pd.DataFrame({"u": list(have), "v": [find(c) for c in have]}, columns=["u", "v"]).astype("int64")
+                out["u"].append(x)
+                out["v"].append(y)
+        return pd.DataFrame(out).astype("int64")
 
     of = own.unionByName(leaders).withColumnsRenamed({"label": "of_label", "block": "of_block"})
     links = of.groupBy("of_label", "of_block").cogroup(inside.groupBy("label", "block")).applyInPandas(confirm, "u long, v long")
     links = shared.saved(links.filter("u <> v").distinct())
-    split = placed.filter("block <> block_b").select("a", "b")
-    if not split.isEmpty():
-        links = _rest(links, split, sets, percent)
+    large = member.filter(F.col("size") > block).select(F.lit(-1).alias("tree"), F.col("label").alias("key"), F.col("node").alias("c"))
+    crowd = crowd.unionByName(large)
     label = components.components(links)
+    more = _crowded(label, crowd, sets, percent, block)
+    if not more.isEmpty():
+        label = components.components(links.unionByName(more))
     best = label.join(classes.select(F.col("c").alias("node"), "least"), "node")
     best = label.join(best.groupBy("label").agg(F.min("least").alias("component")), "label").select(F.col("node").alias("c"), "component")
     judged = classes.join(best, "c", "left").select("hi", "lo", F.coalesce("component", "least").alias("component"))
@@ -258,17 +270,73 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
-def _rest(links: DataFrame, split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Adds the links between blocks of one large group that are not connected yet, confirmed pair by pair."""
-    label = components.components(links)
-    a, b = (label.select(F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
-    open_ = split.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    x, y = (sets.select(F.col("c").alias(s), F.col("items").alias(f"i{s}")) for s in "ab")
+def _find(root: dict[int, int], x: int) -> int:
+    while root[x] != x:
+        root[x] = x = root[root[x]]
+    return x
+
+
+def _linked(labels, sets, of, its, percent: int):
+    """Links (u, v) that join the components (labels) of sets and those (of) of its, all compared with each other."""
+    import pandas as pd
+
+    root = {x: x for x in {*labels.tolist(), *of.tolist()}}
+    left = len(root)
+    out: dict[str, list[int]] = {"u": [], "v": []}
+    have = [np.frombuffer(x, U) for x in sets]
+    size = np.array([len(x) for x in have])
+    flat, owner = np.concatenate(have), np.repeat(np.arange(len(have)), size)
+    by = np.argsort(flat, kind="stable")
+    flat, owner, labels = flat[by], owner[by], labels.to_numpy()
+    for mine, raw in zip(of.tolist(), its, strict=True):
+        if left == 1:
+            break
+        x = np.frombuffer(raw, U)
+        first = np.searchsorted(flat, x, "left")
+        n = np.searchsorted(flat, x, "right") - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(have))
+        for other in np.unique(labels[100 * both >= percent * (len(x) + size - both)]).tolist():
+            a, b = _find(root, mine), _find(root, other)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                left -= 1
+                out["u"].append(mine)
+                out["v"].append(other)
+    return pd.DataFrame(out).astype("int64")
+
+
+def _crowded(label: DataFrame, crowd: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (u, v) between components that meet under one key of crowd (tree, key, c): one that more rows share than the
+    window spans, or a large group of candidates.
+
+    Keys that share a class form a region. All its classes that are not in its largest component are compared with all
+    of the region on full sets, blocks of the former with blocks of the latter; what is in one component needs no more. So
+    the work grows with the open classes times the region, which is the price of leaving out no pair.
+    """
+    placed = crowd.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    mixed = placed.groupBy("tree", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("c").alias("v")).filter("low < high").select("tree", "key", "v")
+    within = shared.saved(placed.join(mixed, ["tree", "key"]).select("c", "label", "v").distinct())
+    if within.isEmpty():
+        return label.select(F.col("node").alias("u"), F.col("label").alias("v")).limit(0)
+    region = components.components(within.select(F.col("c").alias("u"), "v"))
+    rows = within.select("c", "label").distinct().join(region.select(F.col("node").alias("c"), F.col("label").alias("region")), "c")
+    rows = shared.saved(rows.join(sets.select("c", "items"), "c"))
+    sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"))
+    sizes = sizes.select("region", F.col("main.label").alias("main"), F.ceil(F.col("n") / block).alias("lists"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("asks"))
+    rows = rows.join(sizes, "region")
+    salt = F.xxhash64("c")
+    listed = rows.withColumn("list", F.pmod(salt, F.col("lists"))).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
+    asked = rows.filter("label <> main").withColumn("ask", F.pmod(salt, F.col("asks"))).withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists") - 1)))
+
+    def compare(left, right):
+        import pandas as pd
 
-    def check(batches):
-        for batch in batches:
-            ok = [similar(np.frombuffer(p, U), np.frombuffer(q, U), percent) for p, q in zip(shared.as_bytes(batch["ia"]), shared.as_bytes(batch["ib"]), strict=True)]
-            yield {c: batch[c].filter(pa.array(ok, pa.bool_())) for c in "ab"}
+        if not len(left) or not len(right):
+            return pd.DataFrame({"u": [], "v": []}).astype("int64")
+        return _linked(left["label"], left["items"], right["of"], right["its"], percent)
 
-    more = shared.stream(open_.join(x, "a").join(y, "b"), check, "a long, b long")
-    return shared.saved(links.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    key = ("region", "list", "ask")
+    asked = asked.select(*[F.col(k).alias(f"of_{k}") for k in key], F.col("label").alias("of"), F.col("items").alias("its"))
+    both = listed.select(*key, "label", "items").groupBy(*key).cogroup(asked.groupBy(*[f"of_{k}" for k in key]))
+    return shared.saved(both.applyInPandas(compare, "u long, v long").distinct())

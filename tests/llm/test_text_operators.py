@@ -183,6 +183,13 @@ def test_long_runs_of_look_alikes_keep_all_pairs_of_the_window():
     assert set(zip(got["a"].tolist(), got["b"].tolist(), strict=True)) == {(a, b) for b in range(40) for a in range(max(0, b - 16), b)}
 
 
+def test_group_larger_than_the_window_is_whole(spark):
+    frame = spark.createDataFrame(list(enumerate(star())), "doc_id long, text string")
+    for block in (1024, 64):
+        got = near_dedup.near_duplicates(frame, words=1, block=block)
+        assert {r["component_id"] for r in got.collect()} == {0}
+
+
 def test_contained(spark, docs, rows, nothing):
     items = [(0, " ".join((rows[8][1]).split(" ")[2:30])), (1, "never seen anywhere at all in it"), (2, None), (3, "One"), (4, ""), (0, "two words")]
     frame = spark.createDataFrame(items, "item_id long, text string")
