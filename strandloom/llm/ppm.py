@@ -132,36 +132,36 @@ def _within(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(level >= least) if least is not None else counts.limit(0)
 
 
-def train(texts: DataFrame, order: int = 5, most_nodes: int = 1 << 21) -> Trie:
-    """The trie of a table of texts (text), A-Z lower-cased; null texts count as empty.
-
-    All bytes of all texts are counted. Each of the three longest context lengths keeps at most most_nodes nodes, those with
-    the highest counts, which bounds what the driver and the executors hold; what falls away is coded by escapes.
-    """
+def count(docs: DataFrame, order: int) -> DataFrame:
+    """(code, n, times): how often each code occurs in the training texts and in all texts (text, held_out)."""
 
     def counted(batches):
-        hold: dict[str, list[np.ndarray]] = {"code": [], "n": []}
+        hold: dict[str, list[np.ndarray]] = {"code": [], "n": [], "times": []}
 
         def flush():
             if hold["code"]:
                 at, codes = pd.factorize(np.concatenate(hold["code"]))
-                n = np.bincount(at, np.concatenate(hold["n"])).astype(np.int64)
-                hold["code"], hold["n"] = [codes], [n]
+                for c in ("n", "times"):
+                    hold[c] = [np.bincount(at, np.concatenate(hold[c])).astype(np.int64)]
+                hold["code"] = [codes]
 
         def out():
             flush()
             if hold["code"]:
-                codes, n = hold["code"][0].view(np.int64), hold["n"][0]
+                codes = hold["code"][0].view(np.int64)
                 for i in range(0, len(codes), 1 << 18):
-                    yield {"code": codes[i : i + (1 << 18)], "n": n[i : i + (1 << 18)]}
-            hold["code"], hold["n"] = [], []
+                    yield {"code": codes[i : i + (1 << 18)]} | {c: hold[c][0][i : i + (1 << 18)] for c in ("n", "times")}
+            hold.update(code=[], n=[], times=[])
 
         held = 0
         for b in batches:
-            for codes, _, _ in pieces([(t or b"").lower() for t in shared.as_bytes(b["text"])], order):
+            own = ~np.array(b["held_out"].to_pylist(), bool)
+            for codes, first, doc in pieces([(t or b"").lower() for t in shared.as_bytes(b["text"])], order):
+                training = np.repeat(own[doc], np.diff(np.append(first, len(codes))))
                 at, codes = pd.factorize(codes)
                 hold["code"].append(codes)
-                hold["n"].append(np.bincount(at))
+                hold["n"].append(np.bincount(at, training))
+                hold["times"].append(np.bincount(at))
                 held += len(codes)
                 if held > 1 << 21:
                     flush()
@@ -171,18 +171,52 @@ def train(texts: DataFrame, order: int = 5, most_nodes: int = 1 << 21) -> Trie:
                         held = 0
         yield from out()
 
-    full = shared.saved(shared.stream(texts.select("text"), counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    levels = {}
-    for k in range(order, max(order - 3, -1), -1):
-        some = full if k == order else full.groupBy(F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("code")).agg(F.sum("n").alias("n"))
-        got = _within(some if k == order else shared.saved(some), most_nodes).toArrow()
-        codes, n = got["code"].to_numpy().view(U), got["n"].to_numpy()
-        by = np.argsort(codes)
-        levels[k] = codes[by], n[by]
-    for k in range(min(levels) - 1, -1, -1):
-        codes, of = np.unique(levels[k + 1][0] & U((1 << 8 * (k + 1)) - 1), return_inverse=True)
-        levels[k] = codes, np.bincount(of, levels[k + 1][1], len(codes)).astype(np.int64)
-    return Trie([levels[k] for k in range(order + 1)])
+    return shared.saved(shared.stream(docs.select("text", "held_out"), counted, "code long, n long, times long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("times").alias("times")))
+
+
+def _shorter(codes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of k context bytes from those of longer contexts."""
+    short, of = np.unique(codes & U((1 << 8 * (k + 1)) - 1), return_inverse=True)
+    return short, np.bincount(of, counts, len(short)).astype(np.int64)
+
+
+def coded(counts: DataFrame, order: int) -> DataFrame:
+    """(code, times, cost): the logarithm of the probability of each code of count(), from all training counts.
+
+    Levels of up to two context bytes have at most 2**24 codes and go to every task. Those of more share the last three context
+    bytes with the codes that ask for them, and are built where all codes of such an ending lie together.
+    """
+    low = min(order, 2)
+    seen = counts.filter("n > 0").groupBy(F.col("code").bitwiseAND((1 << 8 * (low + 1)) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    codes, n = seen["code"].to_numpy().view(U), seen["n"].to_numpy()
+    lowest = counts.sparkSession.sparkContext.broadcast([_shorter(codes, n, k) for k in range(low + 1)])
+    ending = F.shiftrightunsigned("code", 8).bitwiseAND((1 << 24) - 1)
+    rows = counts.withColumn("ending", ending).repartition("ending").sortWithinPartitions("ending")
+
+    def run(batches):
+        hold: list[np.ndarray] = []  # code, n, times, ending
+        held = 0
+
+        def out(part):
+            codes, n = part[0].view(U), part[1]
+            full, counts = codes[n > 0], n[n > 0]
+            trie = Trie(lowest.value + [_shorter(full, counts, k) for k in range(low + 1, order + 1)])
+            return {"code": part[0], "times": part[2], "cost": trie.log10(codes)}
+
+        for b in batches:
+            hold.append(np.array([np.asarray(b[c]) for c in ("code", "n", "times", "ending")], np.int64))
+            held += hold[-1].shape[1]
+            if held >= 1 << 19:
+                part = np.concatenate(hold, 1)
+                end = int(np.searchsorted(part[3], part[3][-1]))  # the last ending may go on
+                if end:
+                    yield out(part[:, :end])
+                hold = [part[:, end:]]
+                held = part.shape[1] - end
+        if held:
+            yield out(np.concatenate(hold, 1))
+
+    return shared.saved(shared.stream(rows, run, "code long, times long, cost double"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -200,12 +234,16 @@ def score(docs: DataFrame, order: int = 5, most_nodes: int = 1 << 21, most_frequ
     Returns doc_id, held_out, n_tokens, n_known, train_tokens (N), base_score (sum over tokens of
     log10((c+1)/(N+V+1))), score (log10 of the text's probability), bits (the code length).
 
-    most_frequent: word counts sent to the executors; other words are joined with their counts.
+    most_nodes, most_frequent: codes with their costs and word counts sent to the executors; other codes and words are
+    joined with theirs, so that neither bound changes a result.
     """
     spark = docs.sparkSession
     docs = shared.keyed_documents(docs).withColumn("held_out", held_out(F.col("doc_id")))
     training = docs.filter("not held_out").select("text")
-    trie = spark.sparkContext.broadcast(train(training, order, most_nodes))
+    costs = coded(count(docs, order), order)
+    often = _within(costs.withColumnRenamed("times", "n"), most_nodes).toArrow()
+    by = np.argsort(often["code"].to_numpy())
+    model = spark.sparkContext.broadcast((often["code"].to_numpy()[by], often["cost"].to_numpy()[by]))
 
     def counted(batches):
         c: Counter[bytes] = Counter()
@@ -232,7 +270,7 @@ def score(docs: DataFrame, order: int = 5, most_nodes: int = 1 << 21, most_frequ
     end, per_token = math.log10(ends + 1), math.log10(total + kinds + 1)
 
     def scored(batches):
-        known, model = frequent.value, trie.value
+        known, (code_keys, code_costs) = frequent.value, model.value
         for b in batches:
             for at in range(0, len(b["text"]), 512):
                 texts = [t.lower() for t in shared.as_bytes(b["text"].slice(at, 512))]
@@ -248,13 +286,19 @@ def score(docs: DataFrame, order: int = 5, most_nodes: int = 1 << 21, most_frequ
                     out["rare"].append(list(rare.keys()))
                     out["times"].append(list(rare.values()))
                 sums = np.zeros(len(texts))
+                far: list[list[int]] = [[] for _ in texts]
                 for codes, first, doc in pieces(texts, order):
-                    place, distinct = pd.factorize(codes)
-                    np.add.at(sums, doc, np.add.reduceat(model.log10(distinct)[place], first))
-                yield out | {"score": sums}
+                    place, distinct = pd.factorize(codes.view(np.int64))
+                    at, hit = _spots(code_keys, distinct)
+                    cost = np.where(hit, code_costs[at], 0.0) if len(code_costs) else np.zeros(len(at))
+                    np.add.at(sums, doc, np.add.reduceat(cost[place], first))
+                    miss = np.flatnonzero(~hit[place])
+                    for d, code in zip(doc[np.searchsorted(first, miss, "right") - 1].tolist(), codes[miss].tolist(), strict=True):
+                        far[d].append(code)
+                yield out | {"score": sums, "far": far}
 
     kind = dict(docs.dtypes)["doc_id"].replace("bigint", "long")
-    rows = shared.saved(shared.stream(docs, scored, f"doc_id {kind}, rk long, held_out boolean, n_tokens long, n_known long, base double, rare array<binary>, times array<long>, score double"))
+    rows = shared.saved(shared.stream(docs, scored, f"doc_id {kind}, rk long, held_out boolean, n_tokens long, n_known long, base double, rare array<binary>, times array<long>, score double, far array<long>"))
     # One row marked -1 for each document stands for its copies, so that equal rows don't count twice.
     rare = rows.select("doc_id", "rk", F.explode(F.concat(F.arrays_zip("rare", "times"), F.array(F.struct(F.lit(None).cast("binary").alias("rare"), F.lit(-1).cast("long").alias("times"))))).alias("x"))
     rare = rare.select("doc_id", "rk", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
@@ -264,7 +308,12 @@ def score(docs: DataFrame, order: int = 5, most_nodes: int = 1 << 21, most_frequ
         F.sum(F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).otherwise(0.0)).alias("more"),
         F.sum(F.when((F.col("times") > 0) & F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
     )
-    out = rows.drop("rare", "times").join(rare.withColumnsRenamed({"doc_id": "_id", "rk": "_rk"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk")))
+    # Equal rows have equal codes: what all copies find together is divided by their number, as for words.
+    far = rows.select("doc_id", "rk", F.explode("far").alias("code")).join(costs.select("code", "cost"), "code")
+    far = far.groupBy("doc_id", "rk").agg(F.sum("cost").alias("more_score")).withColumnsRenamed({"doc_id": "_far_id", "rk": "_far_rk"})
+    out = rows.drop("rare", "times", "far").join(rare.withColumnsRenamed({"doc_id": "_id", "rk": "_rk"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk")))
+    out = out.join(far, F.col("doc_id").eqNullSafe(F.col("_far_id")) & (F.col("rk") == F.col("_far_rk")), "left")
+    score = F.col("score") + F.coalesce(F.col("more_score") / F.col("copies"), F.lit(0.0))
     base = F.col("base") + F.col("more") / F.col("copies") - F.col("n_tokens") * F.lit(per_token)
     return out.select(
         "doc_id",
@@ -273,6 +322,6 @@ def score(docs: DataFrame, order: int = 5, most_nodes: int = 1 << 21, most_frequ
         (F.col("n_known") + (F.col("more_known") / F.col("copies")).cast("long")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
-        (-F.col("score") / math.log10(2)).alias("bits"),
+        score.alias("score"),
+        (-score / math.log10(2)).alias("bits"),
     )

@@ -249,6 +249,12 @@ def test_ppm(docs, rows, nothing):
     assert ppm.score(nothing, order=2).count() == 0
 
 
+def test_ppm_bound_of_nodes_changes_nothing(docs, rows):
+    model = brute_ppm([(t or "").encode().lower() for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2], 5)
+    want = Counter((i, round(model((t or "").encode().lower()), 6)) for i, t, *_ in rows)
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in ppm.score(docs, most_nodes=200).collect()) == want
+
+
 def test_ppm_cuts_long_texts_alike():
     text = ("ab" * 300_000).encode()
     whole = sum(len(codes) for codes, _, _ in ppm.pieces([text], 3))
