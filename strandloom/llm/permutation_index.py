@@ -49,8 +49,26 @@ def cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum()))
 
 
+def spread_out(v: np.ndarray, most: int) -> np.ndarray:
+    """Of unit vectors in random order, at most `most`: one in eight as they come, the others each the farthest from those chosen.
+
+    The former follow the density, so that crowded places are told apart; the latter can't be used up by them.
+    """
+    if len(v) <= most:
+        return v
+    chosen = list(range(max(1, most // 8)))
+    near = (v @ v[chosen].T).max(1)
+    near[chosen] = np.inf
+    while len(chosen) < most:
+        at = int(np.argmin(near))
+        chosen.append(at)
+        near = np.maximum(near, v @ v[at])
+        near[at] = np.inf
+    return v[chosen]
+
+
 class PermutationIndex:
-    """Pivots are fitted on a bounded sample; every vector is posted.
+    """Pivots are fitted on a bounded sample, most of them far from each other; every vector is posted.
 
     pivots: how many; post, probe: in how many files a vector is posted and a query looks; share, least: of a
     file's vectors, how many are reranked; list_block, query_block: a file of more vectors, or with more queries, is split,
@@ -86,11 +104,12 @@ class PermutationIndex:
 
         rows = shared.saved(shared.stream(table, parsed, "id long, q boolean, hi long, lo long, v binary"))
         classes = rows.groupBy("hi", "lo").agg(F.first("v").alias("v"))
-        sample = classes.orderBy("hi", "lo").limit(self.pivots).collect()
+        sample = classes.orderBy("hi", "lo").limit(16 * self.pivots).collect()
         if not sample:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        pivots = spark.sparkContext.broadcast(unit(np.array([np.frombuffer(r["v"]) for r in sample])))
-        post, probe = min(self.post, len(sample)), min(self.probe, len(sample))
+        chosen = spread_out(unit(np.array([np.frombuffer(r["v"]) for r in sample])), self.pivots)
+        pivots = spark.sparkContext.broadcast(chosen)
+        post, probe = min(self.post, len(chosen)), min(self.probe, len(chosen))
 
         def files(most: int, keep: tuple[str, ...]):
             def run(batches):
@@ -112,7 +131,7 @@ class PermutationIndex:
         lists, asked = blocks(posted, self.list_block), blocks(probes, self.query_block)
 
         def of(parts: dict[int, int]) -> Column:
-            return F.element_at(F.create_map(*[F.lit(x) for p in range(len(sample)) for x in (p, parts.get(p, 1))]), F.col("pivot"))
+            return F.element_at(F.create_map(*[F.lit(x) for p in range(len(chosen)) for x in (p, parts.get(p, 1))]), F.col("pivot"))
 
         # Each part of a file meets each part of its queries.
         posted = posted.withColumn("list", F.pmod(F.col("hi"), of(lists)).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), of(asked) - 1)))
