@@ -649,7 +649,7 @@ def _(s, d):
 
 @query("sv_cox")
 def _(s, d):
-    t = _times(s, d).filter("patient % 4 = 0").select(F.col("patient").alias("sample"), "tte", "dead")
+    t = _times(s, d).select(F.col("patient").alias("sample"), "tte", "dead")
     li = table(s, d, "lineitem")
     v = li.groupBy((F.col("l_linenumber")).alias("feature"), F.col("l_orderkey").alias("sample")).agg(F.sum("l_quantity").alias("value"))
     return survival.cox_univariate(v, t)
