@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,7 +272,7 @@ def test_byte_bpe(docs, rows, nothing, bpe):
     tiktoken = pytest.importorskip("tiktoken")
     enc = tiktoken.Encoding("own", pat_str=bpe.pattern, mergeable_ranks=bpe.ranks, special_tokens={})
     want = Counter((i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, *_ in rows)
-    got = bpe.encode_documents(docs, most_frequent=50).collect()
+    got = bpe.encode_documents(docs, chunk_bytes=700).collect()
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == want
     assert bpe.encode_documents(nothing).count() == 0
 
@@ -289,9 +290,12 @@ def test_units_join_and_are_independent(bpe):
     tiktoken = pytest.importorskip("tiktoken")
     enc = tiktoken.Encoding("own", pat_str=bpe.pattern, mergeable_ranks=bpe.ranks, special_tokens={})
     r = random.Random(5)
-    for _ in range(300):
-        t = "".join(r.choice([" ", " ", "\n", "\t", "a", "B", "7", "!", "'s", "é", "\u3000", "\x1c"]) for _ in range(r.randint(0, 14)))
-        u = byte_bpe.units(t)
+    signs = [" ", " ", "\n", "\t", "a", "B", "7", "!", "'s", "é", "\u3000", "\x1c"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(3000)] + ["", " ", " a", "a ", "  "]
+    units, codes, ends = byte_bpe.split_units(pa.array(texts))
+    assert len(ends) == len(texts)
+    for t, a, z in zip(texts, [0, *ends.tolist()], ends.tolist(), strict=False):
+        u = [units[c] for c in codes[a:z]]
         assert "".join(u) == t and [i for x in u for i in enc.encode_ordinary(x)] == enc.encode_ordinary(t)
         assert [w for x in u for w in bpe.words.findall(x)] == bpe.words.findall(t)
 
