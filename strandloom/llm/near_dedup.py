@@ -2,9 +2,9 @@
 
 Documents with equal shingle sets form a class. Each tree of the forest sorts the classes by its own order of
 signature values; neighbours in that order that share at least a prefix of `depth` values, nearest first by the
-longest common prefix, are candidates. Candidates that the signature cannot rule out are confirmed on full sets, and
-confirmed links give components. Where more rows share a prefix than the window of neighbours spans, all of them that
-are not in one component by then are compared with each other on full sets.
+longest common prefix, are candidates if the signature cannot rule them out, and so are all that share a prefix with
+more rows than the window of neighbours spans. Candidates hang together in groups; each group is compared in full, on
+full sets, as far as confirmed links have not joined it by then, and confirmed links give components.
 """
 
 from __future__ import annotations
@@ -67,23 +67,28 @@ def _documents(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
 
 
 def _pairs(rows: dict[str, np.ndarray], lags: int, n_old: int, share: float) -> dict[str, np.ndarray]:
-    """Candidates among sorted rows; those of the first n_old rows with each other are left out."""
-    k, n = len(rows["c"]), rows["n"].astype(np.float64)
-    sk = rows["sketch"]
+    """Candidates among sorted rows; those of the first n_old rows with each other are left out.
+
+    Next neighbours that may be alike chain up; pairs further apart are given only if no chain joins them already.
+    """
+    k, n, sk = len(rows["c"]), rows["n"].astype(np.float64), rows["sketch"]
     a, b = [], []
+    chain = np.arange(k)
     for lag in range(1, min(lags, k - 1) + 1):
-        i = np.flatnonzero((rows["tree"][lag:] == rows["tree"][:-lag]) & (rows["key"][lag:] == rows["key"][:-lag]))
-        i = i[i + lag >= n_old]
-        if not len(i):
-            continue
+        i = np.flatnonzero((rows["tree"][lag:] == rows["tree"][:-lag]) & (rows["key"][lag:] == rows["key"][:-lag]) & (chain[lag:] != chain[:-lag]))
         i = i[np.minimum(n[i], n[i + lag]) >= share * np.maximum(n[i], n[i + lag])]
-        for at in range(0, len(i), 1 << 16):
-            j = i[at : at + (1 << 16)]
-            j = j[(sk[j] == sk[j + lag]).sum(1) >= MAYBE]
-            a.append(rows["c"][j])
-            b.append(rows["c"][j + lag])
+        same = rows["c"][i] == rows["c"][i + lag]
+        ok = [j[same[at : at + len(j)] | ((sk[j] == sk[j + lag]).sum(1) >= MAYBE)] for at in range(0, len(i), 1 << 16) for j in (i[at : at + (1 << 16)],)]
+        i = np.concatenate([np.zeros(0, np.int64), *ok])
+        if lag == 1:
+            new = np.ones(k, bool)
+            new[i + 1] = False
+            chain = np.cumsum(new)
+        i = i[(i + lag >= n_old) & (rows["c"][i] != rows["c"][i + lag])]
+        a.append(rows["c"][i])
+        b.append(rows["c"][i + lag])
     none = np.zeros(0, np.int64)
-    a, b = np.concatenate([*a, none]), np.concatenate([*b, none])
+    a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
     return {"a": np.minimum(a, b), "b": np.maximum(a, b)}
 
 
@@ -92,29 +97,30 @@ def _columns(b: dict) -> dict[str, np.ndarray]:
     return {c: np.asarray(b[c]) for c in ("tree", "key", "n", "c")} | {"sketch": flat}
 
 
-def _rows(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """A row for each class with a signature and each tree: tree, key (its prefix), sketch, n, c."""
+def _rows(classes: DataFrame, some: range, trees: int, depth: int) -> DataFrame:
+    """A row for each class with a signature and each of some trees: tree, key (its prefix), sketch, n, c."""
     width = depth * 4
     t = F.col("tree")
     sketch = F.expr(f"substring(sig, {trees * width + 1}, {SKETCH})")
     turn = (t * 13) % SKETCH
-    rows = classes.filter("sig is not null").select("c", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    rows = classes.filter("sig is not null").select("c", "n", "sig", F.explode(F.array(*map(F.lit, some))).alias("tree"))
     return rows.select("tree", F.xxhash64(t, F.substring("sig", t * width + 1, F.lit(width))).alias("key"), F.concat(F.substring(sketch, turn + 1, F.lit(SKETCH)), F.substring(sketch, F.lit(1), turn)).alias("sketch"), "n", "c")
 
 
-def crowds(classes: DataFrame, trees: int, depth: int, lags: int) -> DataFrame:
-    """(tree, key, c) of the classes under a key that more rows share than the window spans."""
-    rows = _rows(classes, trees, depth).select("tree", "key", "c")
-    return rows.join(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > lags + 1).drop("rows"), ["tree", "key"])
+def crowds(rows: DataFrame, lags: int) -> DataFrame:
+    """(a, b): what the window can't span: links between all the c under a key that more rows share."""
+    each = rows.groupBy("tree", "key", "c").agg(F.count(F.lit(1)).alias("rows"))
+    mixed = each.groupBy("tree", "key").agg(F.sum("rows").alias("rows"), F.min("c").alias("a"), F.max("c").alias("b"))
+    mixed = mixed.filter((F.col("rows") > lags + 1) & (F.col("a") < F.col("b"))).select("tree", "key", "a")
+    return each.join(mixed, ["tree", "key"]).filter("c > a").select("a", F.col("c").alias("b"))
 
 
-def candidates(classes: DataFrame, trees: int, depth: int, lags: int, share: float) -> DataFrame:
-    """(a, b): classes that some tree holds near each other and whose sketches agree enough; a < b.
+def candidates(rows: DataFrame, lags: int, share: float) -> DataFrame:
+    """(a, b): the c of rows that a tree holds near each other and whose sketches agree enough, a < b; as many as join them.
 
     Rows are dealt by ranges of each tree's order, in which a large group of look-alikes is spread by its
     deeper values. What lies at the ends of a partition is compared with its neighbour's in a second, small step.
     """
-    rows = _rows(classes, trees, depth)
     order = ["tree", "key", "sketch", "c"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -142,7 +148,7 @@ def candidates(classes: DataFrame, trees: int, depth: int, lags: int, share: flo
     found = shared.saved(shared.stream(rows, run, f"a long, b long, edge int, {ROW}"))
 
     def across(pdf):
-        pdf = pdf.drop_duplicates(["tree", "c"]).sort_values(["tree", "key", "sketch", "c"])
+        pdf = pdf.drop_duplicates(["tree", "key", "sketch", "c"]).sort_values(["tree", "key", "sketch", "c"])
         rows = {c: pdf[c].to_numpy(np.int64) for c in ("tree", "key", "n", "c")}
         rows["sketch"] = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
         import pandas as pd
@@ -153,11 +159,6 @@ def candidates(classes: DataFrame, trees: int, depth: int, lags: int, share: flo
     return found.filter("a is not null").select("a", "b").unionByName(edges).distinct()
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: int = 20, depth: int = 4, lags: int = 16, block: int = 1024) -> DataFrame:
     """One row per row of docs (doc_id, text): its component of near-duplicates.
 
@@ -172,9 +173,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
     in the component: true), and rk, a key of id and text.
 
     trees, depth: a pair at the threshold escapes all trees with probability (1 - 0.8**depth)**trees, 3e-5 at the
-    defaults; in no tree does the size of a group matter, as what shares a key is compared in full: pairs of at most lags
-    rows apart as candidates, the others unless these have linked them already. block: where candidates hang together in more classes than this, blocks of the group, each
-    with its first class, are compared in full, and then what that leaves open with the whole group.
+    defaults; what shares a key with more than lags + 1 rows is one group. block: where a group has more classes than this,
+    blocks of it, each with its first class, are compared in full, and then what that leaves open with the whole group.
     """
     share = percent / 100
     docs = shared.keyed_documents(docs)
@@ -183,17 +183,11 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
     rows = shared.saved(_documents(docs, words, trees, depth))
     classes = rows.groupBy("hi", "lo").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
     classes = shared.saved(classes.withColumn("c", F.monotonically_increasing_id()))
-    pairs = shared.saved(candidates(classes, trees, depth, lags, share))
-    groups = shared.saved(components.components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    member = groups.join(sizes, "label").withColumn("block", F.when(F.col("size") > block, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block))).otherwise(0).cast("long"))
+    group = _grouped(classes, trees, depth, lags, share)
+    sizes = group.groupBy("label").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    member = group.join(sizes, "label").withColumn("block", F.when(F.col("size") > block, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block))).otherwise(0).cast("long"))
     member = shared.saved(member)
-
-    crowd = shared.saved(crowds(classes, trees, depth, lags))
-    alone = crowd.select(F.col("c").alias("node")).distinct().join(member, "node", "left_anti")
-    every = member.unionByName(alone, allowMissingColumns=True)
-
-    wanted = classes.join(every.select(F.col("node").alias("c")), "c", "left_semi").select("hi")
+    wanted = classes.join(member.select(F.col("node").alias("c")), "c", "left_semi").select("hi")
 
     def numbers(batches):
         for b in batches:
@@ -218,39 +212,20 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
                 ok = sketch.value.passes(np.array(out["hi"], np.int64).view(U))
                 yield {c: [x for x, k in zip(v, ok.tolist(), strict=True) if k] for c, v in out.items()}
 
-    ids = classes.select("hi", "lo", "c").join(every.withColumnRenamed("node", "c"), "c")
+    ids = classes.select("hi", "lo", "c").join(member.withColumnRenamed("node", "c"), "c")
     sets = shared.stream(docs.select("text"), full, "hi long, lo long, items binary").groupBy("hi", "lo").agg(F.first("items").alias("items"))
     sets = shared.saved(sets.join(ids, ["hi", "lo"]).select("label", "block", "c", "size", "items"))
-    own = sets.filter("label is not null").select("label", "block", "c", "size", "items")
-    first = sets.filter((F.col("c") == F.col("label")) & (F.col("size") > block)).select("label", "c", "size", "items", F.col("block").alias("home"))
-    leaders = first.join(member.select("label", "block").distinct(), "label").filter("block <> home").select("label", "block", "c", "size", "items")
-    small = member.filter(F.col("size") <= block).select(F.col("node").alias("a"), "label", "block")
-    inside = pairs.join(small, "a").groupBy("label", "block").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    first = sets.filter((F.col("c") == F.col("label")) & (F.col("size") > block)).select("label", "c", "items", F.col("block").alias("home"))
+    leaders = first.join(member.select("label", "block").distinct(), "label").filter("block <> home").select("label", "block", "c", "items")
 
-    def confirm(key, left, right):
-        import pandas as pd
+    def confirm(pdf):
+        pdf = pdf.sort_values("c")
+        return _linked(pdf["c"], pdf["items"], pdf["c"], pdf["items"], percent)
 
-        if len(left) and left["size"].iloc[0] > block:
-            left = left.sort_values("c")
-            return _linked(left["c"], left["items"], left["c"], left["items"], percent)
-        have = {int(c): np.frombuffer(x, U) for c, x in zip(left["c"], left["items"], strict=True)}
-        root = {c: c for c in have}
-        out: dict[str, list[int]] = {"u": [], "v": []}
-        for a, b in ((int(p["a"]), int(p["b"])) for ps in right["pairs"] for p in ps):
-            x, y = _find(root, a), _find(root, b)
-            if x != y and similar(have[a], have[b], percent):
-                root[max(x, y)] = min(x, y)
-                out["u"].append(x)
-                out["v"].append(y)
-        return pd.DataFrame(out).astype("int64")
-
-    of = own.unionByName(leaders).withColumnsRenamed({"label": "of_label", "block": "of_block"})
-    links = of.groupBy("of_label", "of_block").cogroup(inside.groupBy("label", "block")).applyInPandas(confirm, "u long, v long")
-    links = shared.saved(links.filter("u <> v").distinct())
-    large = member.filter(F.col("size") > block).select(F.lit(-1).alias("tree"), F.col("label").alias("key"), F.col("node").alias("c"))
-    crowd = crowd.unionByName(large)
+    links = sets.select("label", "block", "c", "items").unionByName(leaders).groupBy("label", "block").applyInPandas(confirm, "u long, v long")
+    links = shared.saved(links.distinct())
     label = components.components(links)
-    more = _crowded(label, crowd, sets, percent, block)
+    more = _open(label, member.filter(F.col("size") > block).select("label", F.col("node").alias("c")), sets, percent, block)
     if not more.isEmpty():
         label = components.components(links.unionByName(more))
     best = label.join(classes.select(F.col("c").alias("node"), "least"), "node")
@@ -306,25 +281,34 @@ def _linked(labels, sets, of, its, percent: int):
     return pd.DataFrame(out).astype("int64")
 
 
-def _crowded(label: DataFrame, crowd: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (u, v) between components that meet under one key of crowd (tree, key, c): one that more rows share than the
-    window spans, or a large group of candidates.
+def _grouped(classes: DataFrame, trees: int, depth: int, lags: int, share: float) -> DataFrame:
+    """(node, label): groups of classes that candidates join.
 
-    Keys that share a class form a region. All its classes that are not in its largest component are compared with all
-    of the region on full sets, blocks of the former with blocks of the latter; what is in one component needs no more. So
-    the work grows with the open classes times the region, which is the price of leaving out no pair.
+    The first trees join most of a large group; for the others it is one node, so that it is no longer a
+    multitude of links.
+    """
+    few = range(min(4, trees))
+    first = components.components(shared.saved(candidates(_rows(classes, few, trees, depth), lags, share)).toDF("u", "v"))
+    joined = classes.join(first.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("label", "c").alias("g"), "n", "sig")
+    joined = shared.saved(joined)
+    nodes = joined.select(F.col("g").alias("c"), "n", "sig")
+    pairs = candidates(_rows(nodes, range(len(few), trees), trees, depth), lags, share)
+    pairs = pairs.unionByName(crowds(_rows(nodes, range(trees), trees, depth), lags)).distinct()
+    second = components.components(shared.saved(pairs).toDF("u", "v")).withColumnRenamed("node", "g")
+    return joined.filter("sig is not null").join(second, "g", "left").select(F.col("c").alias("node"), F.coalesce("label", "g").alias("label"))
+
+
+def _open(label: DataFrame, large: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (u, v) that blocks have left out in large groups (label, c); label: of the components so far.
+
+    All classes of a group that are not in its largest component are compared with all of the group on full sets, blocks
+    of the former with blocks of the latter; what is in one component needs no more. So the work grows with the open
+    classes times the group, which is the price of leaving out no pair.
     """
-    placed = crowd.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    mixed = placed.groupBy("tree", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("c").alias("v")).filter("low < high").select("tree", "key", "v")
-    within = shared.saved(placed.join(mixed, ["tree", "key"]).select("c", "label", "v").distinct())
-    if within.isEmpty():
-        return label.select(F.col("node").alias("u"), F.col("label").alias("v")).limit(0)
-    region = components.components(within.select(F.col("c").alias("u"), "v"))
-    rows = within.select("c", "label").distinct().join(region.select(F.col("node").alias("c"), F.col("label").alias("region")), "c")
-    rows = shared.saved(rows.join(sets.select("c", "items"), "c"))
+    rows = large.withColumnRenamed("label", "region").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"))
-    sizes = sizes.select("region", F.col("main.label").alias("main"), F.ceil(F.col("n") / block).alias("lists"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("asks"))
-    rows = rows.join(sizes, "region")
+    sizes = sizes.select("region", F.col("main.label").alias("main"), F.ceil(F.col("n") / block).alias("lists"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("asks")).filter("asks > 0")
+    rows = shared.saved(rows.join(sizes, "region").join(sets.select("c", "items"), "c"))
     salt = F.xxhash64("c")
     listed = rows.withColumn("list", F.pmod(salt, F.col("lists"))).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
     asked = rows.filter("label <> main").withColumn("ask", F.pmod(salt, F.col("asks"))).withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists") - 1)))

@@ -173,15 +173,46 @@ def star(members=300, words=300, changed=20, seed=5):
     return texts
 
 
-def test_long_runs_of_look_alikes_keep_all_pairs_of_the_window():
+def joined(n, pairs):
+    """The least member that links reach, of each of n."""
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_pairs_join_what_the_window_holds():
     r = np.random.default_rng(1)
-    base = r.integers(0, 256, 64, dtype=np.uint8)
-    sketch = np.tile(base, (40, 1))
-    for i in range(40):
-        sketch[i, r.choice(64, 4, replace=False)] = i
-    rows = {"tree": np.zeros(40, int), "key": np.zeros(40, int), "n": np.full(40, 300), "c": np.arange(40), "sketch": sketch}
-    got = near_dedup._pairs(rows, 16, 0, 0.8)
-    assert set(zip(got["a"].tolist(), got["b"].tolist(), strict=True)) == {(a, b) for b in range(40) for a in range(max(0, b - 16), b)}
+    for agree in (64, 40, 33, 31):
+        sketch = np.tile(r.integers(0, 256, 64, dtype=np.uint8), (60, 1))
+        for i in range(60):
+            sketch[i, r.choice(64, (64 - agree) // 2 + 1, replace=False)] = i
+        rows = {"tree": np.zeros(60, int), "key": np.repeat([0, 1], 30), "n": r.integers(240, 330, 60), "c": np.arange(60), "sketch": sketch}
+        want = [(a, b) for b in range(60) for a in range(max(0, b - 16), b) if rows["key"][a] == rows["key"][b] and min(rows["n"][[a, b]]) >= 0.8 * max(rows["n"][[a, b]]) and (sketch[a] == sketch[b]).sum() >= near_dedup.MAYBE]
+        got = near_dedup._pairs(rows, 16, 0, 0.8)
+        got = list(zip(got["a"].tolist(), got["b"].tolist(), strict=True))
+        assert set(got) <= set(want) and joined(60, got) == joined(60, want)
+
+
+def test_components_of_the_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = dict(sets_of(rows, 2))
+    holds, pairs = {}, Counter()
+    for d, s in sets.items():
+        for g in s:
+            holds.setdefault(g, []).append(d)
+    for ds in holds.values():
+        if len(ds) < 200:
+            pairs.update((a, b) for i, b in enumerate(ds) for a in ds[:i])
+    want = {d: d for d in sets}
+    linked = [p for p in pairs if 100 * len(sets[p[0]] & sets[p[1]]) >= 80 * len(sets[p[0]] | sets[p[1]])]
+    for _ in range(50):
+        for a, b in linked:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert sum(v == got[k] for k, v in want.items()) >= 0.99 * len(want)
 
 
 def test_group_larger_than_the_window_is_whole(spark):
