@@ -33,6 +33,12 @@ def log_sum(x: np.ndarray) -> float:
     return float(m + math.log(np.exp(x - m).sum())) if np.isfinite(m) else -math.inf
 
 
+def _telling(k: int, hi: int, mode: int, sd: float) -> np.ndarray:
+    """Of the values k to hi, those whose terms show in a sum of doubles: the terms fall off on both sides of the mode."""
+    reach = int(12 * sd) + 60
+    return np.arange(max(k, mode - reach), min(hi, max(k, mode) + reach) + 1, dtype=float)
+
+
 def log_hypergeom_tail(k: int, total: int, marked: int, drawn: int) -> float:
     """ln P(X >= k) for X marked items among `drawn` of `total`."""
     lo, hi = max(0, drawn - (total - marked)), min(marked, drawn)
@@ -40,7 +46,8 @@ def log_hypergeom_tail(k: int, total: int, marked: int, drawn: int) -> float:
         return 0.0
     if k > hi:
         return -math.inf
-    x = np.arange(k, hi + 1, dtype=float)
+    share = marked / total
+    x = _telling(k, hi, (drawn + 1) * (marked + 1) // (total + 2), math.sqrt(drawn * share * (1 - share) * (total - drawn) / max(1, total - 1)))
     return min(0.0, log_sum(log_choose(np.float64(marked), x) + log_choose(np.float64(total - marked), drawn - x) - log_choose(np.float64(total), np.float64(drawn))))
 
 
@@ -59,7 +66,7 @@ def binom_sf(k: int, n: int, p: float) -> float:
         return 0.0
     if p >= 1:
         return 1.0
-    x = np.arange(k, n + 1, dtype=float)
+    x = _telling(k, n, int((n + 1) * p), math.sqrt(n * p * (1 - p)))
     return min(1.0, math.exp(log_sum(log_choose(np.float64(n), x) + x * math.log(p) + (n - x) * math.log1p(-p))))
 
 

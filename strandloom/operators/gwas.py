@@ -21,7 +21,7 @@ ALIASES = {
     "N": "N", "WEIGHT": "N", "NCASE": "N_CAS", "CASES_N": "N_CAS", "N_CASE": "N_CAS", "N_CASES": "N_CAS", "N_CAS": "N_CAS",
     "N_CONTROLS": "N_CON", "N_CON": "N_CON", "NCONTROL": "N_CON", "CONTROLS_N": "N_CON", "N_CONTROL": "N_CON",
     "ZSCORE": "Z", "Z_SCORE": "Z", "GC_ZSCORE": "Z", "Z": "Z", "OR": "OR", "B": "BETA", "BETA": "BETA", "EFFECTS": "BETA", "EFFECT": "BETA",
-    "LOG_ODDS": "LOG_ODDS", "SIGNED_SUMSTATS": "SIGNED_SUMSTAT", "INFO": "INFO",
+    "LOG_ODDS": "LOG_ODDS", "SIGNED_SUMSTAT": "SIGNED_SUMSTAT", "INFO": "INFO",
     "EAF": "FRQ", "FRQ": "FRQ", "MAF": "FRQ", "FRQ_U": "FRQ", "F_U": "FRQ",
 }
 NULL_EFFECT = {"Z": 0.0, "OR": 1.0, "BETA": 0.0, "LOG_ODDS": 0.0, "SIGNED_SUMSTAT": 0.0}
@@ -249,10 +249,12 @@ def heritability(snps: DataFrame, ld_columns: list[str], m: list[float], blocks:
         cols = xs if inter is not None else [*xs, "_one"]
         rows = rows.withColumn("_one", F.lit(1.0)).withColumn("_y", F.col("chi2") - (0.0 if inter is None else inter))
         for k in range(rounds + 1):
-            sums = block_sums(rows, "_y", cols, _h2_weight(h2_, a, total_m)).orderBy("block").toPandas()
-            xx, xy = _matrices(sums, len(cols))
+            sums = block_sums(rows, "_y", [*xs, "_one"], _h2_weight(h2_, a, total_m)).orderBy("block").toPandas()
+            whole, xy = _matrices(sums, len(xs) + 1)
+            xx, xy = whole[:, : len(cols), : len(cols)], xy[:, : len(cols)]
             if k == rounds:
-                return jackknife(xx, xy)
+                one = whole.sum(0)[: len(xs), -1]
+                return (*jackknife(xx, xy), np.linalg.solve(whole.sum(0)[: len(xs), : len(xs)], one))
             est = np.linalg.solve(xx.sum(0), xy.sum(0))
             h2_ = float((est[: len(xs)] * np.array(m)).sum() / n_bar)
             a = est[-1] if inter is None else inter
@@ -261,10 +263,14 @@ def heritability(snps: DataFrame, ld_columns: list[str], m: list[float], blocks:
     if two_step is not None and fixed is None:
         first = fit(df.filter(F.col("chi2") < two_step), None, h2)
         step = first[0][-1]
-        est, cov, deleted = fit(df, float(step), h2)
+        est, _, deleted, shift = fit(df, float(step), h2)
+        if len(first[2]) != len(deleted):
+            raise ValueError("a block holds no statistic below two_step; take fewer blocks")
+        # A block's absence moves the intercept of the first step, and that the slopes of the second.
+        cov, deleted = _jackknifed(est, deleted - np.outer(first[2][:, -1] - step, shift))
         inter, inter_se = float(step), float(math.sqrt(first[1][-1, -1]))
     else:
-        est, cov, deleted = fit(df, fixed, h2)
+        est, cov, deleted, _ = fit(df, fixed, h2)
         inter, inter_se = (float(est[-1]), float(math.sqrt(cov[-1, -1]))) if fixed is None else (fixed, math.nan)
     k = len(xs)
     coef, mm = est[:k] / n_bar, np.array(m, float)

@@ -146,9 +146,9 @@ def _(s, d):
     return intervals.distal_domains(intervals.basal_domains(views.genes(s, d)), views.chrom_sizes(s, d)).select("gene", "start", "end")
 
 
-@query("iv_unique_names", sql("SELECT gene, term FROM genes WHERE term IN (SELECT term FROM genes GROUP BY term HAVING count(*) = 1)", "genes"))
+@query("iv_unique_names", sql('SELECT gene, "end" AS name FROM genes WHERE "end" IN (SELECT "end" FROM genes GROUP BY 1 HAVING count(*) = 1)', "genes"))
 def _(s, d):
-    return intervals.unique_names(views.genes(s, d), "term").select("gene", "term")
+    return intervals.unique_names(views.genes(s, d).withColumn("name", F.col("end")), "name").select("gene", "name")
 
 
 @query("iv_centre_windows", sql('SELECT chrom, summit, count(*) AS n, greatest(CAST(floor((summit - 500) / 10.0) * 10 AS BIGINT), 0) AS start, CAST(floor((summit + 500) / 10.0) * 10 AS BIGINT) AS "end" FROM peaks GROUP BY chrom, summit', "peaks"))
@@ -164,15 +164,15 @@ def _(s, d):
 TILES = ', tiles AS (SELECT chrom, i * 1000 AS start, i * 1000 + 1000 AS "end" FROM chrom_sizes, range(CAST((SELECT max(length) FROM chrom_sizes) AS BIGINT) // 1000) t(i) WHERE i * 1000 + 1000 <= length)\n'
 
 
-@query("iv_tiles_background", sql(TILES + f'SELECT chrom, start, "end" FROM tiles a WHERE NOT EXISTS (SELECT 1 FROM (SELECT chrom, start, "end" FROM catalog UNION ALL SELECT chrom, start, "end" FROM genes WHERE gene % 7 = 0) b WHERE {OVER})', "catalog", "genes", "chrom_sizes"))
+@query("iv_tiles_background", sql(TILES + f'SELECT chrom, start, "end" FROM tiles a WHERE NOT EXISTS (SELECT 1 FROM (SELECT chrom, start, "end" FROM catalog UNION ALL SELECT chrom, start, "end" FROM genes) b WHERE {OVER})', "catalog", "genes", "chrom_sizes"))
 def _(s, d):
-    return intervals.background(views.chrom_sizes(s, d), views.catalog(s, d), views.genes(s, d).filter("gene % 7 = 0"))
+    return intervals.background(views.chrom_sizes(s, d), views.catalog(s, d), views.genes(s, d))
 
 
 @query("iv_signed_distance", sql("""SELECT a.gene, b.start AS start_b, CASE WHEN b.strand = '+' THEN a.summit - b.start ELSE b."end" - a.summit END AS to_start, CASE WHEN b.strand = '+' THEN a.summit - b."end" ELSE b.start - a.summit END AS to_end, count(*) AS n
-FROM (SELECT experiment AS gene, chrom, summit FROM peaks) a JOIN genes b ON a.chrom = b.chrom AND a.summit < b."end" + 500 AND b.start - 500 < a.summit + 1 WHERE a.gene < 30 GROUP BY ALL""", "peaks", "genes"))
+FROM (SELECT experiment AS gene, chrom, summit FROM peaks) a JOIN genes b ON a.chrom = b.chrom AND a.summit < b."end" + 500 AND b.start - 500 < a.summit + 1 GROUP BY ALL""", "peaks", "genes"))
 def _(s, d):
-    p = views.peaks(s, d).filter("experiment < 30").select(F.col("experiment").alias("probe"), "chrom", "summit")
+    p = views.peaks(s, d).select(F.col("experiment").alias("probe"), "chrom", "summit")
     got = intervals.signed_distances(p, views.genes(s, d), 500)
     return got.groupBy(F.col("probe").alias("gene"), "start_b", "to_start", "to_end").agg(F.count(F.lit(1)).alias("n"))
 
@@ -524,9 +524,9 @@ def _(s, d):
     return counts.pooled_profile(b).select("region", "bin", round6(F.col("x")).alias("x"), round6(F.col("scaled")).alias("scaled"))
 
 
-@query("ct_log_z", sql("SELECT sample, feature, round((ln(1 + cnt) - avg(ln(1 + cnt)) OVER w) / nullif(stddev_pop(ln(1 + cnt)) OVER w, 0), 5) AS z FROM counts WHERE feature % 20 = 0 WINDOW w AS (PARTITION BY feature)", "counts"))
+@query("ct_log_z", sql("SELECT sample, feature, round((ln(1 + cnt) - avg(ln(1 + cnt)) OVER w) / nullif(stddev_pop(ln(1 + cnt)) OVER w, 0), 5) AS z FROM counts WINDOW w AS (PARTITION BY feature)", "counts"))
 def _(s, d):
-    return counts.log_z(views.counts(s, d).filter("feature % 20 = 0"), "cnt", ["feature"]).select("sample", "feature", (F.round("z", 5) + 0.0).alias("z"))
+    return counts.log_z(views.counts(s, d), "cnt", ["feature"]).select("sample", "feature", (F.round("z", 5) + 0.0).alias("z"))
 
 
 @query("ct_fit_residuals")
@@ -552,9 +552,9 @@ def _(s, d):
     return correlate.spearman(pairs, a, b).select("probe", "gene", "n", round6(F.col("r")).alias("r"))
 
 
-@query("co_link", sql(BASAL + 'SELECT DISTINCT p.experiment AS probe, b.gene FROM peaks p JOIN basal b ON p.chrom = b.chrom AND b.start < p.summit + 1 AND p.summit < b."end" WHERE p.experiment < 10', "peaks", "genes"))
+@query("co_link", sql(BASAL + 'SELECT DISTINCT p.experiment AS probe, b.gene FROM peaks p JOIN basal b ON p.chrom = b.chrom AND b.start < p.summit + 1 AND p.summit < b."end"', "peaks", "genes"))
 def _(s, d):
-    p = enrich.summits(views.peaks(s, d).filter("experiment < 10")).withColumnRenamed("experiment", "probe")
+    p = enrich.summits(views.peaks(s, d)).withColumnRenamed("experiment", "probe")
     return correlate.link(p, intervals.basal_domains(views.genes(s, d)))
 
 
@@ -580,13 +580,13 @@ def _(s, d):
     return graph.loo_knn(v.select("id", "x"), v.select("id", "label"), 10).select(round6(F.col("balanced_accuracy")).alias("balanced_accuracy"))
 
 
-DICE = """, pr AS (SELECT DISTINCT experiment AS item, summit // 2000 AS feature FROM peaks WHERE experiment < 40), f AS (SELECT count(DISTINCT feature) AS f FROM pr), z AS (SELECT item, count(*) AS n FROM pr GROUP BY 1),
+DICE = """, pr AS (SELECT DISTINCT experiment AS item, summit // 2000 AS feature FROM peaks), f AS (SELECT count(DISTINCT feature) AS f FROM pr), z AS (SELECT item, count(*) AS n FROM pr GROUP BY 1),
 p AS (SELECT a.item AS a, b.item AS b, count(*) AS n11 FROM pr a JOIN pr b ON a.feature = b.feature AND a.item < b.item GROUP BY ALL), q AS (SELECT a, b, n11, x.n - n11 AS n10, y.n - n11 AS n01, f - x.n - y.n + n11 AS n00 FROM p JOIN z x ON x.item = a JOIN z y ON y.item = b, f)
 """
 
 
 def _pairs(s, d):
-    pr = views.peaks(s, d).filter("experiment < 40").select(F.col("experiment").alias("item"), F.expr("summit div 2000").alias("feature")).distinct()
+    pr = views.peaks(s, d).select(F.col("experiment").alias("item"), F.expr("summit div 2000").alias("feature")).distinct()
     return graph.pair_counts(pr, pr.select("feature").distinct().count())
 
 
@@ -763,13 +763,13 @@ def _(s, d):
 MARK = ", mk AS (SELECT DISTINCT 'set ' || sample AS \"set\", feature AS consensus FROM counts WHERE cnt > 45)\n"
 
 
-def _markers(s, d):
-    return markers.marker_sets({"set": views.counts(s, d).filter("cnt > 45").select(F.col("sample").alias("set"), F.col("feature").alias("consensus"))})
+def _markers(s, d, over=45):
+    return markers.marker_sets({"set": views.counts(s, d).filter(F.col("cnt") > over).select(F.col("sample").alias("set"), F.col("feature").alias("consensus"))})
 
 
-@query("mk_specificity_trim", sql(MARK + 'SELECT "set", consensus FROM mk WHERE consensus IN (SELECT consensus FROM mk GROUP BY 1 HAVING count(*) <= greatest(CAST(floor((SELECT count(DISTINCT "set") FROM mk) * 0.1 + 0.5) AS BIGINT), 1))', "counts"))
+@query("mk_specificity_trim", sql(MARK.replace("45", "100") + 'SELECT "set", consensus FROM mk WHERE consensus IN (SELECT consensus FROM mk GROUP BY 1 HAVING count(*) <= greatest(CAST(floor((SELECT count(DISTINCT "set") FROM mk) * 0.1 + 0.5) AS BIGINT), 1))', "counts"))
 def _(s, d):
-    return markers.trim(_markers(s, d))
+    return markers.trim(_markers(s, d, 100))
 
 
 @query("mk_half_datasets", sql(MARK + """, ts AS (SELECT 'set ' || sample AS "set", label AS tissue FROM tissues), z AS (SELECT tissue, count(*) AS sets FROM ts GROUP BY 1)

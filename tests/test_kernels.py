@@ -1,6 +1,7 @@
 """Closed-form values and properties of the numeric kernels."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -67,6 +68,29 @@ def test_heritability_recovers_slope(spark):
     assert abs(r["total"] - 0.4) < 4 * r["total_se"] and abs(r["intercept"] - 1) < 4 * r["intercept_se"]
 
 
+def test_two_step_errors_hold_those_of_the_intercept(spark):
+    """Against a plain jackknife that leaves out a block in both steps."""
+    rng = np.random.default_rng(4)
+    n = 4000
+    ld = rng.uniform(1, 50, n)
+    z = rng.normal(size=n) * np.sqrt(1 + 0.4 * 50_000 / 1e6 * ld)
+    df = spark.createDataFrame([(1, i, f"rs{i}", float(a), 50_000.0, float(b), float(b)) for i, (a, b) in enumerate(zip(z, ld, strict=True))], "CHR int, BP int, SNP string, Z double, N double, L2 double, w_ld double")
+    two = gwas.heritability(df, ["L2"], [1e6], blocks=40, two_step=3.0)
+    fixed = gwas.heritability(df, ["L2"], [1e6], blocks=40, intercept=two["intercept"])
+    assert two["total"] == pytest.approx(fixed["total"], rel=1e-2)  # the weights start from another slope
+    assert two["total_se"] > 1.05 * fixed["total_se"]
+
+
+def test_tails_of_large_counts():
+    for k, n, p in ((60, 100, 0.5), (3, 100, 0.5), (1, 2000, 1e-4), (700, 2000, 0.3)):
+        exact = sum(math.comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k, n + 1))
+        assert special.binom_sf(k, n, p) == pytest.approx(float(exact), rel=1e-9)
+    for k, total, marked, drawn in ((5, 1000, 100, 50), (1, 3000, 30, 20), (180, 2000, 300, 1000), (40, 500, 60, 300)):
+        exact = Fraction(sum(math.comb(marked, i) * math.comb(total - marked, drawn - i) for i in range(k, min(marked, drawn) + 1)), math.comb(total, drawn))
+        assert special.hypergeom_sf(k, total, marked, drawn) == pytest.approx(float(exact), rel=1e-9)
+    assert special.binom_sf(50_000_000, 100_000_000, 0.5) == pytest.approx(0.5, abs=1e-4)
+
+
 def test_ld_scores_match_brute_force(spark):
     rng = np.random.default_rng(2)
     g = rng.integers(0, 3, (30, 40))
