@@ -238,11 +238,11 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, that near_duplicates() keeps; of equal id and text, one row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), text))
-    same = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_rk"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    key, of_id, of_key = shared.fresh(docs, "_key", "_of_id", "_of_key")
+    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias(of_id), F.col("rk").alias(of_key))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
+    same = keyed["doc_id"].eqNullSafe(kept[of_id]) & (keyed[key] == kept[of_key])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
 
 
 def _find(root: dict[int, int], x: int) -> int:

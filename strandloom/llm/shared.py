@@ -24,11 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def use_shared_folder(spark: SparkSession) -> None:
     """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder takes its place.
+    Only where that is unset on one machine, as in tests, a temporary folder takes its place; elsewhere that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandloom-"))
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -238,19 +238,20 @@ def without_repeats(docs: DataFrame, length: int = 200, shingle: int = 64, width
     A character of which a cut has left only some bytes goes too.
     """
     keys = shared.keyed_documents(docs)
-    found = repeats(keys, length, shingle, width, most_kinds).withColumnsRenamed({"doc_id": "_id", "rk": "_rk", "found": "_found"})
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_key"] == found["_rk"]), "left").drop("_key", "_id", "_rk")
+    key, of_id, of_key, spots = shared.fresh(docs, "_key", "_of_id", "_of_key", "_found")
+    found = repeats(keys, length, shingle, width, most_kinds).withColumnsRenamed({"doc_id": of_id, "rk": of_key, "found": spots})
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
+    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found[of_id]) & (keyed[key] == found[of_key]), "left").drop(key, of_id, of_key)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for text, f in zip(shared.as_bytes(batch["text"]), batch["_found"].to_pylist(), strict=True):
+        for text, f in zip(shared.as_bytes(batch["text"]), batch[spots].to_pylist(), strict=True):
             if f:
                 text = np.frombuffer(text, np.uint8)[~windows.covered(len(text), length, f)].tobytes()
             texts.append(None if text is None else text.decode("utf-8", "ignore"))
         at = batch.schema.get_field_index("text")
         out = batch.set_column(at, "text", pa.array(texts, batch.schema.field("text").type))
-        return out.drop_columns(["_found"])
+        return out.drop_columns([spots])
 
-    out = shared.rewrite(joined, cut, ("_found",))
+    out = shared.rewrite(joined, cut, (spots,))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -351,3 +351,14 @@ def test_severity(spark, docs, nothing):
     assert toxicity.severity(docs, model).count() == docs.count() and toxicity.severity(nothing, model).count() == 0
     assert not toxicity.fit(["a b", "c"], [0, 0]).weights and toxicity.severity(docs, toxicity.fit([], [])).filter("toxic").count() == 0
     assert toxicity.without_toxic(docs, model).columns == docs.columns
+
+
+def test_own_columns_stay_whatever_their_names(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, long, "a", 1, 2, "x"), (2, long + " end", "b", 3, 4, "y"), (None, None, "c", 5, 6, "z"), (3, "", "d", 7, 8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _id long, _rk long, _found string")
+    kept = near_dedup.one_of_each(docs, words=5)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {rows[0], rows[2], rows[3]}
+    cut = suffix_dedup.without_repeats(docs)
+    assert cut.columns == docs.columns
+    assert {(r["doc_id"], r["_key"], r["_id"], r["_rk"], r["_found"]) for r in cut.collect()} == {(r[0], *r[2:]) for r in rows}
