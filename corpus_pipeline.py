@@ -2,6 +2,10 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns
 of documents; the last gives each document's tokens and the check of their round trip.
+
+In every stage a null text counts as empty and stays (near-dedup and the others find nothing in it), an empty table
+gives an empty one, a null doc_id is judged as any other, texts of any length are worked on whole, and columns beside
+those of documents are ignored. Equal rows (id and text) are told apart nowhere: near-dedup keeps one of them.
 """
 
 from __future__ import annotations
