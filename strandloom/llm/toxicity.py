@@ -120,7 +120,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clea
         some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = some if ids is None else ids.unionByName(some)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic", "doc_id").toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows["toxic"].tolist())
+    model = fit(rows["text"].tolist(), rows["toxic"].tolist())
+    del rows
+    shared.give_back()
+    return model
 
 
 class _Known(dict):
