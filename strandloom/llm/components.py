@@ -22,6 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     nothing changes, of the order of log(nodes) times, and each goes to the shared folder.
     """
     edges = shared.saved(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    shared.sweep(edges.sparkSession)
     seen = None
     while True:
         large = _stars(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -32,4 +33,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+        shared.sweep(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

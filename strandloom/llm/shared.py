@@ -68,6 +68,12 @@ def give_back() -> None:
         trim(0)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of finished steps now; else it waits for the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty) and rk, a key of the row's content.
 
