@@ -2,12 +2,13 @@
 
 Items are partitioned by the size m of their shingle set. A containment of at least c means that at most
 m - ceil(c m) shingles of an item are missing, so of its m - ceil(c m) + 1 least MinHash values (its sketch,
-whose length thus follows from its size class) at least one is in the document: sketch hits are candidates and lose
-no pair. Candidates are verified on all shingles of the item.
+whose length thus follows from its size class) at least one is in the document. Documents are looked up in the
+sketches alone; whom they hit are candidates, which lose no pair, and only these are verified on all of their shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,33 +34,39 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def item_slices(items: DataFrame, n: int, containment: float, most_shingles: int) -> Iterator[tuple]:
-    """(keys, sketch flags, owners, ids, sizes) of items, in slices of about most_shingles: what one pass looks for."""
-    known, ids, sizes, keys, owners, flags = WordHashes(), [], [], [], [], []
+    """(sketch keys, their owners, sets, ids, lengths) of items, in slices of about most_shingles: what one pass looks for.
+
+    lengths: of shingles in words, n and those of shorter items.
+    """
+    known, keys, owners, sets, ids, lengths, held = WordHashes(), [], [], [], [], {n}, 0
     for r in items.select("item_id", "text").toLocalIterator():
-        s = np.unique(shingle_hashes(known.of((r["text"] or "").encode().lower().split()), n))
+        words = known.of((r["text"] or "").encode().lower().split())
+        s = np.unique(shingle_hashes(words, n))
         if not len(s):
             continue
-        need = -int(-containment * len(s) // 1)
-        owners += [len(ids)] * len(s)
-        keys += s.tolist()
-        flags += [i <= len(s) - need for i in range(len(s))]  # np.unique has sorted by hash
+        need = max(1, math.ceil(containment * len(s) - 1e-9))
+        keys.append(s[: len(s) - need + 1])  # np.unique has sorted by hash
+        owners.append(np.full(len(keys[-1]), len(ids)))
+        sets.append(s)
         ids.append(r["item_id"])
-        sizes.append(len(s))
-        if len(keys) >= most_shingles:
-            yield keys, flags, owners, ids, sizes
-            ids, sizes, keys, owners, flags = [], [], [], [], []
-    if keys:
-        yield keys, flags, owners, ids, sizes
+        lengths.add(min(n, len(words)))
+        held += len(s)
+        if held >= most_shingles:
+            yield lookup(keys, owners, sets, ids, lengths)
+            keys, owners, sets, ids, lengths, held = [], [], [], [], {n}, 0
+    if ids:
+        yield lookup(keys, owners, sets, ids, lengths)
 
 
-def lookup(keys, flags, owners, ids, sizes) -> tuple:
-    order = np.argsort(np.array(keys, U), kind="stable")
-    return np.array(keys, U)[order], np.array(flags)[order], np.array(owners)[order], ids, np.array(sizes)
+def lookup(keys: list, owners: list, sets: list, ids: list, lengths: set[int]) -> tuple:
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")
+    return flat[order], np.concatenate(owners)[order], sets, ids, sorted(lengths)
 
 
 def finder(wanted: tuple, n: int, containment: float):
     """text -> (number of the item, shingles found) for the items contained in it."""
-    keys, flags, owners, _, sizes = wanted
+    keys, owners, sets, _, lengths = wanted
     low, top = 20, U(44)
     filled = np.zeros(1 << low, bool)
     filled[(keys >> top).astype(np.int64)] = True
@@ -71,19 +78,20 @@ def finder(wanted: tuple, n: int, containment: float):
             return []
         if len(known) > 1 << 19:
             known = WordHashes()
-        h = shingle_hashes(known.of(text.lower().split()), n)
-        h = h[filled[(h >> top).astype(np.int64)]]
-        if not len(h):
-            return []
-        h = np.unique(h)
+        words = known.of(text.lower().split())
+        every = np.concatenate([shingle_hashes(words, m) for m in lengths])
+        h = np.unique(every[filled[(every >> top).astype(np.int64)]])
         first, last = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-        at = np.concatenate([np.arange(a, z) for a, z in zip(first, last, strict=True)])
-        sketched = np.unique(owners[at[flags[at]]]) if len(at) else at  # candidates
-        if not len(sketched):
+        at = [np.arange(a, z) for a, z in zip(first.tolist(), last.tolist(), strict=True) if a < z]
+        if not at:
             return []
-        hits = np.bincount(owners[at], minlength=len(sizes))
-        ok = sketched[hits[sketched] >= np.ceil(containment * sizes[sketched] - 1e-9)]
-        return [(i, int(hits[i])) for i in ok.tolist()]
+        every, out = np.sort(every), []
+        for i in np.unique(owners[np.concatenate(at)]).tolist():  # candidates
+            s = sets[i]
+            hits = int((np.searchsorted(every, s, "right") > np.searchsorted(every, s, "left")).sum())
+            if hits >= math.ceil(containment * len(s) - 1e-9):
+                out.append((i, hits))
+        return out
 
     return find
 
@@ -91,8 +99,8 @@ def finder(wanted: tuple, n: int, containment: float):
 def contained(docs: DataFrame, items: DataFrame, n: int = 5, containment: float = 0.8, most_shingles: int = 1 << 20) -> DataFrame:
     """Pairs (doc_id, item_id) where at least `containment` of the item's distinct shingles are in the document.
 
-    Words are runs of bytes other than ASCII white space, with A-Z lower-cased; shingles have n words; a text
-    of fewer words is one shingle. Items and documents without words (null, empty, blank) match nothing. Equal rows of
+    Words are runs of bytes other than ASCII white space, with A-Z lower-cased; shingles have n words; an item
+    of fewer words is one shingle, found wherever its words follow each other. Items and documents without words (null, empty, blank) match nothing. Equal rows of
     docs give equal pairs, each row its own; an item that occurs twice is reported for each row. Other columns are
     ignored; an empty table on either side gives no pairs.
     Returns doc_id, item_id, n_shingles (of the item), hits, containment.
@@ -106,17 +114,17 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, containment: float
     of = dict(items.dtypes)["item_id"].replace("bigint", "long")
     schema = f"doc_id {kind}, item_id {of}, n_shingles long, hits long"
     out = spark.createDataFrame([], schema)
-    for keys, flags, owners, ids, sizes in item_slices(items, n, containment, most_shingles):
-        wanted = spark.sparkContext.broadcast(lookup(keys, flags, owners, ids, sizes))
+    for some in item_slices(items, n, containment, most_shingles):
+        wanted = spark.sparkContext.broadcast(some)
 
         def search(batches, wanted=wanted):
             find = finder(wanted.value, n, containment)
-            sizes, ids = wanted.value[4], wanted.value[3]
+            _, _, sets, ids, _ = wanted.value
             for b in batches:
                 out = {"doc_id": [], "item_id": [], "n_shingles": [], "hits": []}
                 for doc, text in zip(b["doc_id"].to_pylist(), shared.as_bytes(b["text"]), strict=True):
                     for i, hits in find(text):
-                        for k, v in (("doc_id", doc), ("item_id", ids[i]), ("n_shingles", int(sizes[i])), ("hits", hits)):
+                        for k, v in (("doc_id", doc), ("item_id", ids[i]), ("n_shingles", len(sets[i])), ("hits", hits)):
                             out[k].append(v)
                 yield out
 
@@ -127,7 +135,7 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, containment: float
 def clean(docs: DataFrame, items: DataFrame, n: int = 5, containment: float = 0.8, most_shingles: int = 1 << 20) -> DataFrame:
     """The rows of docs, with all their columns, that contain no item; as contained() finds them."""
     for found in item_slices(items, n, containment, most_shingles):
-        wanted = docs.sparkSession.sparkContext.broadcast(lookup(*found))
+        wanted = docs.sparkSession.sparkContext.broadcast(found)
         docs = shared.rewrite(docs, _without(wanted, n, containment))
     return docs
 
