@@ -45,7 +45,12 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Of each row of v with q, in double precision; equal rows have equal results."""
+    """Of each row of v with q, in double precision; equal rows have equal results.
+
+    Vectors are scaled by powers of two first, which rounds nothing and keeps squares in range.
+    """
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+    q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
     return (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum()))
 
 
