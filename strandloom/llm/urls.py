@@ -59,27 +59,31 @@ def links(pages: DataFrame) -> DataFrame:
     return out.select(F.col("host").alias("src"), dst.alias("dst")).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank (host, mass) from seeds (host, mass; summing to one) along edges (src, dst, share).
 
     Mass is joined to the edges by host and summed by target before the shuffle; every second round goes to
-    the shared folder, so that the plan stays short and a lost executor costs two rounds.
+    the shared folder, so that the plan stays short and a lost executor costs two rounds. From the seeds alone, mass only
+    grows, so the growth of its sum is the summed change: rounds end when two of them add at most tolerance, which takes
+    log(tolerance) / log(damping) rounds at most.
     """
     start = seeds.select("host", (F.col("mass") * (1 - damping)).alias("mass"))
-    now = seeds
-    for k in range(rounds):
-        moved = now.join(edges, now["host"] == edges["src"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        now = start.unionByName(moved).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if k % 2:
-            now = shared.saved(now)
-    return now
-
-
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 8, damping: float = 0.85, margin: float = 1.0) -> DataFrame:
+    now, total = start, 0.0
+    while True:
+        for _ in range(2):
+            moved = now.join(edges, now["host"] == edges["src"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
+            now = start.unionByName(moved).groupBy("host").agg(F.sum("mass").alias("mass"))
+        now = shared.saved(now)
+        before, total = total, now.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
+        if total - before <= tolerance:
+            return now
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, margin: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
     """One row per row of pages (page_id, url, html): host, path, the longest rule that fits, and a verdict.
 
     The verdict is the rule's; without a rule a host is blocked if its distrust exceeds margin times its trust, and
-    allowed otherwise (so also if no seed reaches it). A null url or one without :// has an empty host and path, which no
+    allowed otherwise (so also if no seed reaches it). Both are iterated until they change by at most tolerance. A null url or one without :// has an empty host and path, which no
     rule fits and no link reaches; null html has no links. Equal rows are judged alike, and an empty table gives no rows.
     Other columns are ignored. Rules of equal length that both fit: the first in alphabetic order.
 
@@ -103,7 +107,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 8, da
         seeds = seeds.select("host", F.lit(1 / max(1, seeds.count())).alias("mass"))
         sums = edges.groupBy(F.col(a).alias("a")).agg(F.sum("weight").alias("out"))
         way = edges.join(sums, edges[a] == sums["a"]).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("weight") / F.col("out")).alias("share"))
-        mass[name] = spread(shared.saved(way), shared.saved(seeds), rounds, damping).select(F.col("host").alias(f"{name}_host"), F.col("mass").alias(name))
+        mass[name] = spread(shared.saved(way), shared.saved(seeds), damping, tolerance).select(F.col("host").alias(f"{name}_host"), F.col("mass").alias(name))
     scored = mass["trust"].join(mass["distrust"], F.col("trust_host") == F.col("distrust_host"), "full_outer")
     scored = shared.saved(scored.select(F.coalesce("trust_host", "distrust_host").alias("scored"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     out = parsed.drop("html").join(scored, parsed["host"] == scored["scored"], "left")

@@ -75,6 +75,35 @@ def test_trust_spreads(spark):
     assert got["mid.xx"]["trust"] > got["leaf.xx"]["trust"] > 0 and got["shill.xx"]["distrust"] > got["far.xx"]["distrust"] > 0
 
 
+def test_mass_against_brute_force(spark):
+    r = random.Random(2)
+    hosts = [f"h{i}" for i in range(60)]
+    edges = {(a, b): r.randint(1, 4) for a in hosts for b in ["h0", *r.sample(hosts, r.randint(0, 3))] if a != b}
+    edges |= {(f"h{i}", f"h{i + 1}"): 1 for i in range(60, 100)}  # a long chain
+    out = Counter()
+    for (a, _), w in edges.items():
+        out[a] += w
+    share = [(a, b, w / out[a]) for (a, b), w in edges.items()]
+    seeds = {"h3": 0.25, "h7": 0.25, "h60": 0.5}
+    want = Counter()
+    now = Counter({h: m * 0.15 for h, m in seeds.items()})
+    for _ in range(400):  # each round moves what the former has brought
+        want.update(now)
+        after = Counter()
+        for a, b, x in share:
+            after[b] += now[a] * x * 0.85
+        now = after
+    got = urls.spread(spark.createDataFrame(share, "src string, dst string, share double"), spark.createDataFrame(list(seeds.items()), "host string, mass double"), 0.85, 1e-9)
+    got = {r["host"]: r["mass"] for r in got.collect()}
+    assert sum(abs(got.get(h, 0.0) - m) for h, m in want.items()) < 1e-8 and got.keys() <= want.keys() and got["h100"] > 0
+
+
+def test_distrust_reaches_far_hosts(spark):
+    rows = [(0, "http://bad.org/es/1", "")] + [(i, f"http://n{i}.xx/", f'<a href="http://{"bad.org" if i == 1 else f"n{i - 1}.xx"}/">') for i in range(1, 21)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["verdict"] for r in got} == {"block"}
+
+
 def test_rotations(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 300, "ann", "späte"), (1, 1, "user", "hi"), (2, 0, "system", "alone"), (None, None, None, None), (3, 5, "user", "")]
     df = spark.createDataFrame([(*r, "m") for r in rows], "conv_id long, turn long, role string, text string, parts string")
