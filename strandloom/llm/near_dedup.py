@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
 
     def confirm(pdf):
         pdf = pdf.sort_values("c")
-        return _linked(pdf["c"], pdf["items"], pdf["c"], pdf["items"], percent)
+        link = _linked if len(pdf) < 64 else shared.relieved(_linked)
+        return link(pdf["c"], pdf["items"], pdf["c"], pdf["items"], percent)
 
     links = sets.select("label", "block", "c", "items").unionByName(leaders).groupBy("label", "block").applyInPandas(confirm, "u long, v long")
     links = shared.saved(links.distinct())
@@ -318,7 +319,7 @@ def _open(label: DataFrame, large: DataFrame, sets: DataFrame, percent: int, blo
 
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": []}).astype("int64")
-        return _linked(left["label"], left["items"], right["of"], right["its"], percent)
+        return shared.relieved(_linked)(left["label"], left["items"], right["of"], right["its"], percent)
 
     key = ("region", "list", "ask")
     asked = asked.select(*[F.col(k).alias(f"of_{k}") for k in key], F.col("label").alias("of"), F.col("items").alias("its"))

@@ -60,14 +60,31 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def give_back() -> None:
-    """Returns what the driver's Python has freed to the system, where the C library can."""
-    gc.collect()
+def release() -> None:
+    """Returns to the system what this Python process has freed, where the C library can."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def give_back() -> None:
+    """The same, with what only a collection finds."""
+    gc.collect()
+    release()
+
+
+def relieved(fn: Callable) -> Callable:
+    """fn, after which the worker, which waits for its next task beside others, keeps no freed memory."""
+
+    def run(*of):
+        out = fn(*of)
+        release()
+        return out
+
+    return run
+
+
 def sweep(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints of finished steps now; else it waits for the driver's next collection."""
     gc.collect()
@@ -118,8 +135,11 @@ def stream(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema
             for b in batches:
                 yield {n: c for n, c in zip(b.schema.names, b.columns, strict=True)}
 
+        x = None
         for x in fn(columns()):
             yield pa.RecordBatch.from_arrays([x[f.name] if isinstance(x[f.name], pa.Array) else pa.array(x[f.name], type=f.type) for f in out], schema=out)
+        x = None
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -127,7 +147,12 @@ def stream(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema
 def rewrite(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], drop: tuple[str, ...] = ()) -> DataFrame:
     """Batches of df, all columns, changed or filtered by fn; the result has df's columns but those in drop."""
     session.ship(df.sparkSession)
-    return df.mapInArrow(lambda batches: map(fn, batches), df.drop(*drop).schema)
+
+    def run(batches):
+        yield from map(fn, batches)
+        release()
+
+    return df.mapInArrow(run, df.drop(*drop).schema)
 
 
 _KINDS = {
