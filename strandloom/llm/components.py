@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from . import shared
 
 
+ROWS = 1 << 19  #: edges that a task reads
+
+
+def _sized(edges: DataFrame, n: int) -> DataFrame:
+    """Saved edges, n of them, in as few partitions as their number needs: tasks follow the data, not its history."""
+    return edges.coalesce(max(1, -(-n // ROWS)))
+
+
 def _stars(both: DataFrame) -> DataFrame:
     """Of neighbours (u, v), each with m, the least node of u and its neighbours."""
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -22,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     nothing changes, of the order of log(nodes) times, and each goes to the shared folder.
     """
     edges = shared.saved(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = _sized(edges, edges.count())
     shared.sweep(edges.sparkSession)
     seen = None
     while True:
@@ -32,6 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
-        seen = state
+        seen, edges = state, _sized(edges, state[0])
         shared.sweep(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

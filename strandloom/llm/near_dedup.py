@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
     classes = rows.groupBy("hi", "lo").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
     classes = shared.saved(classes.withColumn("c", F.monotonically_increasing_id()))
     group = _grouped(classes, trees, depth, lags, share)
+    shared.sweep(docs.sparkSession)
     sizes = group.groupBy("label").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     member = group.join(sizes, "label").withColumn("block", F.when(F.col("size") > block, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block))).otherwise(0).cast("long"))
     member = shared.saved(member)

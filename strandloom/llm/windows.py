@@ -262,6 +262,7 @@ def repeated(docs: DataFrame, plan: Plan, resolve: Callable[[DataFrame, DataFram
         for b in batches:
             yield np.asarray(b["anchor"]).view(U)
 
+    shared.sweep(spark)
     shared_anchor = spark.sparkContext.broadcast(merged_sketch(several.select("anchor"), numbers, 1, plan.width, plan.rows))
 
     def details(batches):
