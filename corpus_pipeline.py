@@ -26,21 +26,25 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80 % of five-word shingles: the one of least id."""
+    shared.sweep(spark)  # of the stages before
     return near_dedup.one_of_each(docs, words=5, percent=80).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of strings of 200 bytes that occur more than once."""
+    shared.sweep(spark)  # of the stages before
     return suffix_dedup.without_repeats(docs).select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
+    shared.sweep(spark)  # of the stages before
     return decontaminate.clean(docs, shared.table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document, and the hash of what they decode to."""
+    shared.sweep(spark)  # of the stages before
     got = queries.public_bpe().encode_documents(docs)
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
