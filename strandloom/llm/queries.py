@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, near_dedup, permutation_index, ppm, substring_dedup, suffix_dedup, toxicity, urls
-from .shared import table
+from . import byte_bpe, chat, decontaminate, near_dedup, permutation_index, ppm, substring_dedup, suffix_dedup, token_files, toxicity, urls
+from .shared import new_folder, table
 
 
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,14 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotations(table(spark, sf_dir, "conversations")).drop("spans")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = new_folder(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_substring_dedup": op2_substring_dedup,
@@ -72,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_rotation": op10_chat_rotation,
+    "op11_token_files": op11_token_files,
 }
 
 #: DuckDB SQL where it can state an operator; the others are tested against brute force.
