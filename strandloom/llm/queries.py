@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, near_dedup, permutation_index, ppm, substring_dedup, suffix_dedup, token_files, toxicity, urls
+from . import byte_bpe, chat, collocations, decontaminate, near_dedup, permutation_index, ppm, substring_dedup, suffix_dedup, token_files, toxicity, urls
 from .shared import new_folder, table
 
 
@@ -69,6 +69,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_substring_dedup": op2_substring_dedup,
@@ -81,7 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_rotation": op10_chat_rotation,
     "op11_token_files": op11_token_files,
+    "op12_collocations": op12_collocations,
 }
 
 #: DuckDB SQL where it can state an operator; the others are tested against brute force.
-ORACLE: dict[str, str] = {"op10_chat_rotation": chat.ROTATIONS_SQL}
+ORACLE: dict[str, str] = {"op10_chat_rotation": chat.ROTATIONS_SQL, "op12_collocations": collocations.COLLOCATIONS_SQL}

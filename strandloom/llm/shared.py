@@ -54,6 +54,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Deletes tables of the shared folder that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df in the shared folder: it outlives executors and cuts the lineage."""
     use_shared_folder(df.sparkSession)
