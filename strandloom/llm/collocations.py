@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,16 +54,6 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, np.arange(len(start)) + np.cumsum(np.diff(breaks, prepend=breaks[0]) > 0)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """int32 by planes of bytes: the high ones are nearly all zero."""
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
-
-
 class Bitmaps:
     """Bitmaps of many items: a row per element that is not zero, sorted by block; the rows of block b are ends[b] to ends[b + 1]."""
 
@@ -163,15 +152,10 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
                 words, at = words_of(texts.filter(pc.equal(langs, lang)))
                 if not len(words):
                     continue
-                coded = words.dictionary_encode()
-                code = np.asarray(coded.indices)
-                counts = np.bincount(code, minlength=len(coded.dictionary))
-                order = np.argsort(-counts, kind="stable")
-                rank = np.empty(len(order), np.int32)
-                rank[order] = np.arange(len(order))
+                names, code, counts = shared.coded(words)
                 items = np.full(int(at[-1]) + 1, -1, np.int32)
-                items[at] = rank[code]
-                yield {"shard": [part << 32 | n], "lang": [lang], "n_words": [len(words)], "items": [_pack(items)], "words": pa.ListArray.from_arrays([0, len(order)], coded.dictionary.take(pa.array(order))), "counts": pa.ListArray.from_arrays([0, len(order)], pa.array(counts[order]))}
+                items[at] = code
+                yield {"shard": [part << 32 | n], "lang": [lang], "n_words": [len(words)], "items": [shared.packed_codes(items)], "words": pa.ListArray.from_arrays([0, len(names)], names), "counts": pa.ListArray.from_arrays([0, len(names)], pa.array(counts))}
                 n += 1
 
     return shared.stream(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")), run, "shard long, lang string, n_words long, items binary, words array<string>, counts array<long>")
@@ -181,7 +165,7 @@ def _by_shard(shards: DataFrame, answers: DataFrame, fn: Callable[[np.ndarray, p
     session.ship(shards.sparkSession)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [fn(_unpack(x), right) for x in left["items"].to_pylist() if right.num_rows]
+        out = [fn(shared.unpacked_codes(x), right) for x in left["items"].to_pylist() if right.num_rows]
         return pa.concat_tables(out) if out else shared.schema_of(schema).empty_table()
 
     def relieved(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, collocations, decontaminate, near_dedup, permutation_index, ppm, substring_dedup, suffix_dedup, token_files, toxicity, urls
+from . import alignment, byte_bpe, chat, collocations, decontaminate, near_dedup, permutation_index, ppm, substring_dedup, suffix_dedup, token_files, toxicity, urls
 from .shared import new_folder, table
 
 
@@ -73,6 +73,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_substring_dedup": op2_substring_dedup,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_rotation": op10_chat_rotation,
     "op11_token_files": op11_token_files,
     "op12_collocations": op12_collocations,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: DuckDB SQL where it can state an operator; the others are tested against brute force.

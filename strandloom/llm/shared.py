@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,6 +126,27 @@ def unpacked(column: pa.Array) -> list[bytes]:
     return [press.decompress(t) for t in as_bytes(column)]
 
 
+def coded(units: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct units, the most frequent first; the number of each unit among them; how often each occurs."""
+    plain = units.dictionary_encode()
+    codes = np.asarray(plain.indices)
+    counts = np.bincount(codes, minlength=len(plain.dictionary))
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    return plain.dictionary.take(pa.array(order)), rank[codes], counts[order]
+
+
+def packed_codes(values: np.ndarray) -> bytes:
+    """int32, by planes of bytes: of small numbers the high ones are nearly all zero."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked_codes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+
+
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["rk"] == b["rk"])
 
