@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from . import shared
-from .byte_bpe import _chunks
+from .byte_bpe import _chunks, _packed, _slices, _unpacked
 
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: 0: of a word; 1: between words; 2: between pieces.
@@ -31,6 +31,8 @@ KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
 #: Positions in one element of a bitmap.
 BITS = 8
 LONGEST = 5
+#: Shard numbers in one list of the shards that hold a word; the upper bits are those of partitions.
+BLOCK = 4096 << 32
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -149,56 +151,145 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
         part, n = TaskContext.get().partitionId(), 0
         for langs, texts in _chunks(({"doc_id": b["lang"], "text": b["text"]} for b in batches), shard_bytes):
             for lang in pc.unique(langs).to_pylist():
-                words, at = words_of(texts.filter(pc.equal(langs, lang)))
-                if not len(words):
+                parts, places, end = [], [], 0
+                for some in _slices(texts.filter(pc.equal(langs, lang))):
+                    words, at = words_of(some)
+                    parts.append(words)
+                    places.append(at + end)
+                    end += int(at[-1]) + 2 if len(at) else 0
+                at = np.concatenate(places)
+                if not len(at):
                     continue
-                names, code, counts = shared.coded(words)
-                items = np.full(int(at[-1]) + 1, -1, np.int32)
+                names, code, counts = shared.coded(pa.concat_arrays(parts))
+                items = np.full(end, -1, np.int32)
                 items[at] = code
-                yield {"shard": [part << 32 | n], "lang": [lang], "n_words": [len(words)], "items": [shared.packed_codes(items)], "words": pa.ListArray.from_arrays([0, len(names)], names), "counts": pa.ListArray.from_arrays([0, len(names)], pa.array(counts))}
+                yield {"shard": [part << 32 | n], "lang": [lang], "n_words": [len(at)], "items": [shared.packed_codes(items)], "words": pa.ListArray.from_arrays([0, len(names)], names), "counts": pa.ListArray.from_arrays([0, len(names)], pa.array(counts))}
                 n += 1
 
     return shared.stream(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")), run, "shard long, lang string, n_words long, items binary, words array<string>, counts array<long>")
 
 
-def _by_shard(shards: DataFrame, answers: DataFrame, fn: Callable[[np.ndarray, pa.Table], pa.Table], schema: str) -> DataFrame:
+def _by_shard(shards: DataFrame, answers: DataFrame, fn: Callable[[np.ndarray, pa.Table, int], pa.Table], buckets: int) -> DataFrame:
+    """fn of each shard's positions and what was answered to it (of: the shard)."""
     session.ship(shards.sparkSession)
+    schema = "bucket int, shard long, packed binary"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [fn(shared.unpacked_codes(x), right) for x in left["items"].to_pylist() if right.num_rows]
+        out = [fn(shared.unpacked_codes(x), right, buckets) for x in left["items"].to_pylist() if right.num_rows]
         return pa.concat_tables(out) if out else shared.schema_of(schema).empty_table()
 
     def relieved(left: pa.Table, right: pa.Table) -> pa.Table:
         return shared.relieved(run)(left, right)
 
-    return shards.select("shard", "items").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(relieved, schema)
+    return shards.select("shard", "items").groupBy("shard").cogroup(answers.groupBy("of")).applyInArrow(relieved, schema)
 
 
 def _numbered(items: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Positions by the frequent words of the shard (-1: none), in the order of their ids; these ids."""
-    words = answers.filter(pc.is_valid(answers["id"]))
+    words = _unpacked(answers["packed"].drop_null())
     words = words.take(pc.sort_indices(words["id"]))
     number = np.full(max(int(items.max(initial=-1)), int(pc.max(words["code"]).as_py() or 0)) + 2, -1, np.int32)
     number[words["code"].to_numpy()] = np.arange(len(words))
     return number[items], words["id"].to_numpy()
 
 
-def _ask_pairs(items: np.ndarray, answers: pa.Table) -> pa.Table:
+def _answered(known: DataFrame) -> DataFrame:
+    """Words with their id and where they are (shards, codes: lists) as (shard, packed): the codes and ids of a shard together."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            ids = np.repeat(b["id"].to_numpy(), np.diff(b["shards"].offsets.to_numpy()))
+            shard, code = b["shards"].flatten().to_numpy(), b["codes"].flatten().to_numpy()
+            order = np.argsort(shard, kind="stable")
+            edge = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                at = order[lo:hi]
+                yield {"shard": [int(shard[order[lo]])], "packed": [_packed(code=pa.array(code[at]), id=pa.array(ids[at]))]}
+
+    return shared.stream(known, run, "shard long, packed binary").withColumnRenamed("shard", "of")
+
+
+def _dealt(shard: int, ids: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
+    """Phrases (a row of ids each) and their counts by a hash of the phrase, a shard's share of a bucket together."""
+    key = np.zeros(len(ids), np.uint64)
+    for column in ids.T:
+        key = (key ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    bucket = (key % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    rows = [order[lo:hi] for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+    packed = [_packed(n=pa.array(counts[r]), **{f"w{i}": pa.array(ids[r, i].astype(np.uint32)) for i in range(ids.shape[1])}) for r in rows]
+    return pa.table({"bucket": pa.array(bucket[order[edge[:-1]]], pa.int32()), "shard": pa.array([shard] * len(rows), pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+
+def _ids_of(t: pa.Table) -> np.ndarray:
+    return np.column_stack([t[c].to_numpy() for c in t.column_names if c != "n"]).astype(np.int64)
+
+
+def _summed(t: pa.Table, least: int) -> pa.Table:
+    """Of a bucket: the phrases that all shards hold `least` times or more and their counts (shard: null), and for each shard those of its own."""
+    shards, tables = t["shard"].to_pylist(), [_unpacked(pa.chunked_array([[x]])) for x in t["packed"].to_pylist()]
+    out = []
+    for width in sorted({x.num_columns for x in tables}):
+        some = [(s, x) for s, x in zip(shards, tables, strict=True) if x.num_columns == width]
+        ids = np.concatenate([_ids_of(x) for _, x in some])
+        n = np.concatenate([x["n"].to_numpy() for _, x in some])
+        order = np.lexsort(ids.T[::-1])
+        first = np.flatnonzero(np.append(True, (ids[order][1:] != ids[order][:-1]).any(axis=1)))
+        sums = np.add.reduceat(n[order], first)
+        kept = sums >= least
+        frequent = np.empty(len(ids), bool)
+        frequent[order] = np.repeat(kept, np.diff(np.append(first, len(order))))
+        told = lambda x: {f"w{i}": pa.array(x[:, i].astype(np.uint32)) for i in range(width - 1)}
+        if kept.any():
+            out.append((None, _packed(n=pa.array(sums[kept]), **told(ids[order[first[kept]]]))))
+        at = 0
+        for shard, x in some if width == 3 else ():
+            mine = frequent[at : at + x.num_rows]
+            if mine.any():
+                out.append((shard, _packed(**told(ids[at : at + x.num_rows][mine]))))
+            at += x.num_rows
+    return pa.table({"shard": pa.array([s for s, _ in out], pa.int64()), "packed": pa.array([x for _, x in out], pa.binary())})
+
+
+def _frequent(dealt: DataFrame, least: int) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        return shared.relieved(_summed)(t, least)
+
+    return dealt.groupBy("bucket").applyInArrow(run, "shard long, packed binary")
+
+
+def _listed(summed: DataFrame) -> DataFrame:
+    """a and ids of each frequent phrase."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            for x in b["packed"].to_pylist():
+                t = _unpacked(pa.chunked_array([[x]]))
+                ids = _ids_of(t)
+                yield {"a": t["n"].combine_chunks(), "ids": pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * ids.shape[1], pa.array(ids.ravel()))}
+
+    return shared.stream(summed.filter("shard is null").select("packed"), run, "a long, ids array<long>")
+
+
+def _ask_pairs(items: np.ndarray, answers: pa.Table, buckets: int) -> pa.Table:
     items, ids = _numbered(items, answers)
     pairs, counts = _pairs(items, len(ids))
-    return pa.table({"shard": np.full(len(pairs), answers["shard"][0].as_py()), "pair": ids[pairs // len(ids)] << 32 | ids[pairs % len(ids)], "n": counts})
+    return _dealt(answers["of"][0].as_py(), ids[np.column_stack([pairs // len(ids), pairs % len(ids)])], counts, buckets)
 
 
-def _ask_phrases(items: np.ndarray, answers: pa.Table) -> pa.Table:
+def _ask_phrases(items: np.ndarray, answers: pa.Table, buckets: int) -> pa.Table:
     items, ids = _numbered(items, answers)
-    pairs = answers["pair"].drop_null().to_numpy()
-    pairs = np.sort(np.searchsorted(ids, pairs >> 32) * len(ids) + np.searchsorted(ids, pairs & 0xFFFFFFFF))
-    out = [pa.table({"phrase": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})]
+    got = _unpacked(answers["pairs"].drop_null())
+    pairs = np.searchsorted(ids, _ids_of(got)) if got.num_rows else np.zeros((0, 2), np.int64)
+    pairs = np.sort(pairs[:, 0] * len(ids) + pairs[:, 1])
+    shard, out = answers["of"][0].as_py(), [_dealt(0, np.zeros((0, 3), np.int64), np.zeros(0, np.int64), buckets)]
+    held: dict[int, list] = {}
     for phrases, counts in _grown(items, len(ids), pairs):
-        width = 4 * phrases.shape[1]
-        at = np.arange(len(phrases) + 1, dtype=np.int64) * width
-        keys = pa.Array.from_buffers(pa.binary(), len(phrases), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids[phrases].astype(">u4"))])
-        out.append(pa.table({"phrase": keys, "n": counts}))
+        held.setdefault(phrases.shape[1], []).append((phrases, counts))
+    for parts in held.values():
+        out.append(_dealt(shard, ids[np.concatenate([p for p, _ in parts])], np.concatenate([c for _, c in parts]), buckets))
     return pa.concat_tables(out)
 
 
@@ -216,7 +307,7 @@ def _dense(df: DataFrame, folder: str) -> DataFrame:
     return rows.withColumn("id", (F.element_at(first, part) + F.col("at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("at")
 
 
-def candidates(docs: DataFrame, least: int = 100, shard_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame, list[str]]:
+def candidates(docs: DataFrame, least: int = 100, shard_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame, list[str]]:
     """All frequent words and phrases of docs (lang, text), with exact counts.
 
     Returns (lang, words, a: words of one to five that stand together at least `least` times), (lang, n: all words), and
@@ -231,20 +322,23 @@ def candidates(docs: DataFrame, least: int = 100, shard_bytes: int = 16 << 20) -
     # a word has one row per shard, so that no key holds more than a shard's share of the rows
     asked.withColumn("a", F.sum("n").over(Window.partitionBy("lang", "word"))).filter(F.col("a") >= least).write.parquet(folders[1])
     asked = spark.read.parquet(folders[1])
+    shared.sweep(spark)
     known = _dense(asked.groupBy("lang", "word").agg(F.first("a").alias("a")), folders[2])
-    words = asked.join(known.select("lang", "word", "id"), ["lang", "word"]).select("shard", "code", "id", F.lit(None).cast("long").alias("pair"))
-    pairs = _by_shard(shards, words, _ask_pairs, "shard long, pair long, n long")
-    pairs.withColumn("a", F.sum("n").over(Window.partitionBy("pair"))).filter(F.col("a") >= least).write.parquet(folders[3])
+    # a list holds at most the shards of one block
+    held = asked.groupBy("lang", "word", (F.col("shard") / BLOCK).cast("long").alias("block")).agg(F.collect_list(F.struct("shard", "code")).alias("x"))
+    held = held.join(known.select("lang", "word", "id"), ["lang", "word"]).select("id", F.col("x.shard").alias("shards"), F.col("x.code").alias("codes"))
+    words = _answered(held)
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _frequent(_by_shard(shards, words, _ask_pairs, buckets), least).write.parquet(folders[3])
     pairs = spark.read.parquet(folders[3])
-    none = F.lit(None)
-    answers = words.unionByName(pairs.select("shard", none.cast("int").alias("code"), none.cast("long").alias("id"), "pair"))
-    longer = _by_shard(shards, answers, _ask_phrases, "phrase binary, n long")
-    longer.groupBy("phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least).write.parquet(folders[4])
-
-    two = pairs.groupBy("pair").agg(F.first("a").alias("a")).select("a", F.array(F.shiftrightunsigned("pair", 32), F.col("pair").bitwiseAND(0xFFFFFFFF)).alias("ids"))
-    more = spark.read.parquet(folders[4])
-    more = more.select("a", F.transform(F.sequence(F.lit(1), F.length("phrase"), F.lit(4)), lambda i: F.conv(F.hex(F.substring("phrase", i, F.lit(4))), 16, 10).cast("long")).alias("ids"))
-    spelt = two.unionByName(more).select("a", "ids", F.posexplode("ids").alias("i", "id")).join(known.select("id", "lang", "word"), "id")
+    shared.sweep(spark)
+    none = F.lit(None).cast("binary")
+    answers = words.select("of", "packed", none.alias("pairs")).unionByName(pairs.filter("shard is not null").select(F.col("shard").alias("of"), none.alias("packed"), F.col("packed").alias("pairs")))
+    _frequent(_by_shard(shards, answers, _ask_phrases, buckets), least).write.parquet(folders[4])
+    shared.sweep(spark)
+
+    phrases = _listed(pairs).unionByName(_listed(spark.read.parquet(folders[4])))
+    spelt = phrases.select("a", "ids", F.posexplode("ids").alias("i", "id")).join(known.select("id", "lang", "word"), "id")
     spelt = spelt.groupBy("ids").agg(F.first("lang").alias("lang"), F.first("a").alias("a"), F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("words"))
     single = known.select("lang", F.array("word").alias("words"), "a")
     return single.unionByName(spelt.select("lang", "words", "a")), shards.groupBy("lang").agg(F.sum("n_words").alias("n")), folders
@@ -254,7 +348,7 @@ def _spelt(words: Column) -> Column:
     return F.array_join(words, " ")
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, shard_bytes: int = 16 << 20) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, shard_bytes: int = 32 << 20) -> DataFrame:
     """The `top` collocations of each language of docs (lang, text).
 
     A phrase of two to five words with a >= least is a candidate; its score is the least, over its cuts into two parts with
