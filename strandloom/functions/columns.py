@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import special
+from . import ordered, special
 
 
 def _udf(fn):
@@ -19,11 +21,31 @@ def _udf(fn):
     return run
 
 
+def _of_distinct(fn, *args: pd.Series) -> pd.Series:
+    """fn of arrays, called with the distinct rows of a batch only; nan where an argument is null."""
+    x = np.column_stack([a.to_numpy(float, na_value=np.nan) for a in args])
+    known = ~np.isnan(x).any(axis=1)
+    out = np.full(len(x), np.nan)
+    if known.any():
+        rows, which = np.unique(x[known], axis=0, return_inverse=True)
+        out[known] = fn(*rows.T)[which.ravel()]
+    return pd.Series(out)
+
+
 def hypergeom_p(k: Column, total: Column, marked: Column, drawn: Column) -> Column:
     """P(X >= k); 1 where undefined."""
 
     def run(k: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-        return _udf(special.hypergeom_sf)(k, total, marked, drawn).fillna(1.0)
+        return _of_distinct(lambda *x: special.hypergeom_tails(*x)[0], k, total, marked, drawn).fillna(1.0)
+
+    return F.pandas_udf(run, "double")(k, total, marked, drawn)
+
+
+def hypergeom_two_sided_p(k: Column, total: Column, marked: Column, drawn: Column) -> Column:
+    """Twice the smaller of P(X >= k) and P(X <= k-1), which isn't capped; 1 where undefined."""
+
+    def run(k: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
+        return _of_distinct(lambda *x: 2 * np.minimum(*special.hypergeom_tails(*x)), k, total, marked, drawn).fillna(1.0)
 
     return F.pandas_udf(run, "double")(k, total, marked, drawn)
 
@@ -58,31 +80,62 @@ def norm_p(z: Column) -> Column:
     return F.pandas_udf(run, "double")(z)
 
 
-def bh(df: DataFrame, p: str, q: str = "q", by: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg: the least p * m / rank among equal or larger p, at most 1.
+def _harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: summed up to 64 terms, by its asymptotic series beyond (whose error is below 1e-15 there)."""
+    x = m.cast("double")
+    series = F.log(x) + 0.57721566490153286 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    few = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(64)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / i)
+    return F.when(m <= 64, few).otherwise(series)
 
-    Only distinct p-values pass through the ordered window, so ties and their number don't matter to it.
+
+#: Corrections by name: p and its rank from 1 (that of the last of its ties, then that of the first) among m -> raw value, and which way it is made monotone.
+CORRECTIONS: dict[str, tuple[Callable[[Column, Column, Column, Column], Column], str | None]] = {
+    "bh": (lambda p, last, first, m: p * m / last, "up"),
+    "by": (lambda p, last, first, m: p * m / last * _harmonic(m), "up"),
+    "holm": (lambda p, last, first, m: p * (m - first + 1), "down"),
+    "hochberg": (lambda p, last, first, m: p * (m - last + 1), "up"),
+    "bonferroni": (lambda p, last, first, m: p * m, None),
+}
+
+
+Correction = str | Callable[[Column, Column, Column, Column], Column]
+
+
+def adjust(df: DataFrame, p: str, q: str | dict[str, Correction] = "q", by: list[str] | None = None, method: Correction = "bh") -> DataFrame:
+    """df with p-values corrected for their number, by key; at most 1. q: the new column, or several and the method of each.
+
+    method: a name in CORRECTIONS, or a function of (p, rank of the last of its ties, of the first, m) whose values are then
+    stepped up (the least among equal or larger p). Null and NaN p-values aren't counted and get null.
+    Only distinct p-values are ordered, in ranges of their values, so neither ties nor their number meet in one task.
     """
-    by = by or []
-    counts = df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
-    up = Window.partitionBy(*by).orderBy(p)
-    m = F.sum("_n").over(Window.partitionBy(*by))
-    counts = counts.withColumn("_r", F.col(p) * m / F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    down = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn(q, F.least(F.lit(1.0), F.min("_r").over(down))).drop("_n", "_r")
-    on = [df[c].eqNullSafe(counts[c]) for c in [*by, p]]
-    cond = on[0]
-    for c in on[1:]:
-        cond &= c
-    return df.join(counts, cond).select(df["*"], counts[q])
+    by, wanted = by or [], q if isinstance(q, dict) else {q: method}
+    unknown = [m for m in wanted.values() if isinstance(m, str) and m not in CORRECTIONS]
+    if unknown:
+        raise ValueError(f"method has to be one of {', '.join(CORRECTIONS)}, or a function")
+    counts = df.filter(F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
+    m = counts.groupBy(*by).agg(F.sum("_n").alias("_m"))
+    counts = ordered.join_on(counts, m, by) if by else counts.join(F.broadcast(m))  # one row
+    counts = ordered.running_sum(counts, p, "_n", "_last", by)
+    for name, how in wanted.items():
+        raw, way = CORRECTIONS[how] if isinstance(how, str) else (how, "up")
+        counts = counts.withColumn(name, raw(F.col(p), F.col("_last"), F.col("_last") - F.col("_n") + 1, F.col("_m")).cast("double"))
+        if way is not None:
+            counts = (ordered.minimum_from if way == "up" else ordered.maximum_to)(counts.withColumnRenamed(name, "_r"), p, "_r", name, by).drop("_r")
+    counts = counts.select(*by, p, *[F.least(F.lit(1.0), F.col(c)).alias(c) for c in wanted])
+    columns = [c for c in df.columns if c not in wanted]
+    return ordered.join_on(df.select(*columns), counts, [*by, p], "left").select(*columns, *wanted)
+
+
+def bh(df: DataFrame, p: str, q: str = "q", by: list[str] | None = None) -> DataFrame:
+    """Benjamini-Hochberg: the least p * m / rank among equal or larger p, at most 1."""
+    return adjust(df, p, q, by, "bh")
 
 
 def average_rank(df: DataFrame, value: str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Average ranks from 1, by key; ranks are summed over distinct values, not rows."""
+    """Average ranks from 1, by key, and `ties`; ranks are summed over distinct values, in ranges of them. Rows without a value or key are left out."""
     by = by or []
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn(name, F.sum("ties").over(order) - (F.col("ties") - 1) / 2)
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties")).filter(F.col(value).isNotNull())
+    counts = ordered.running_sum(counts, value, "ties", name, by).withColumn(name, F.col(name) - (F.col("ties") - 1) / 2)
     return df.join(counts, [*by, value])
 
 

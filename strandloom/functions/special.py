@@ -58,6 +58,36 @@ def hypergeom_sf(k: int, total: int, marked: int, drawn: int) -> float:
     return math.exp(log_hypergeom_tail(int(k), int(total), int(marked), int(drawn)))
 
 
+def hypergeom_tails(k: np.ndarray, total: np.ndarray, marked: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(P(X >= k), P(X <= k - 1)) of arrays; nan where the numbers are impossible.
+
+    All rows go on together: from the term at k upwards beyond the mode, from that at k - 1 downwards below it, each next
+    term by its ratio to the last, until none of them shows in its sum. The other tail is what is left to one.
+    """
+    k, total, marked, drawn = (np.array(x, float) for x in np.broadcast_arrays(k, total, marked, drawn))
+    lo, hi = np.maximum(0.0, drawn - (total - marked)), np.minimum(marked, drawn)
+    bad = (marked < 0) | (marked > total) | (drawn < 0) | (drawn > total) | (k > hi)
+    up = k > np.floor((drawn + 1) * (marked + 1) / (total + 2))
+    x = np.where(up, k, k - 1)
+    sums = np.zeros(len(k))
+    at = np.flatnonzero(~bad & (x >= lo) & (x <= hi))
+    x, K, n, N, up_at = x[at], marked[at], drawn[at], total[at], up[at]
+    term = np.exp(log_choose(K, x) + log_choose(N - K, n - x) - log_choose(N, n))
+    own = term.copy()
+    # of a term that is zero as a double, the tail away from the mode is too
+    live = np.flatnonzero(term > 0)
+    while len(live):
+        y, a, b, c = x[live], K[live], n[live], N[live]
+        ratio = np.where(up_at[live], (a - y) * (b - y) / ((y + 1) * (c - a - b + y + 1)), y * (c - a - b + y) / np.maximum((a - y + 1) * (b - y + 1), 1e-300))
+        term[live] *= ratio
+        own[live] += term[live]
+        x[live] += np.where(up_at[live], 1, -1)
+        live = live[term[live] > own[live] * 1e-17]
+    sums[at] = np.minimum(own, 1.0)
+    upper, lower = np.where(up, sums, 1 - sums), np.where(up, 1 - sums, sums)
+    return np.where(bad, math.nan, upper), np.where(bad, math.nan, lower)
+
+
 def binom_sf(k: int, n: int, p: float) -> float:
     """P(X >= k)."""
     if k <= 0:

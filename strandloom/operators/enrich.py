@@ -62,8 +62,41 @@ def two_sided_binomial(counts: DataFrame, k: str, n: str, p: str) -> DataFrame:
     return fc.bh(counts.withColumn("p_value", fc.binom_two_sided_p(F.col(k), F.col(n), F.col(p))), "p_value")
 
 
-def top_per_annotation(presence: DataFrame, annotation: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Consensuses enriched in an annotation: presence (consensus, experiment), annotation (experiment, label)."""
+def two_sided_classes(rows: DataFrame, cls: str, chosen: Column, top: int = 10, method: str = "bh") -> DataFrame:
+    """The `top` most frequent classes among the chosen rows (ties by name), each tested in both directions against all rows.
+
+    Of m_total rows n_query are chosen, n_bg have the class, k both; p = 2 min(P(X >= k), P(X <= k-1)), which isn't capped.
+    Rows without a class count among all rows and are no class; q is over the classes returned.
+    """
+    counted = rows.groupBy(F.col(cls).alias("class")).agg(F.count(F.lit(1)).alias("n_bg"), F.count_if(chosen).alias("k"))
+    sums = counted.agg(F.sum("n_bg").alias("m_total"), F.sum("k").alias("n_query"))
+    best = counted.filter("class is not null and k > 0").orderBy(F.desc("k"), "class").limit(top)
+    out = best.join(F.broadcast(sums))  # one row
+    out = out.withColumn("p", fc.hypergeom_two_sided_p(F.col("k"), F.col("m_total"), F.col("n_bg"), F.col("n_query")))
+    return fc.adjust(out, "p", method=method)
+
+
+def tissue_markers(regions: DataFrame, marked: DataFrame, tissues: DataFrame, method: str = "bh", **options) -> DataFrame:
+    """Every marker against every tissue: regions (chrom, start, end, region), of which marked (region, marker) belong to a marker, and intervals of tissues (chrom, start, end, tissue).
+
+    k of the n_marked regions of a marker, and n_hit of all m_total regions, overlap an interval of the tissue; fc has a
+    pseudo-count of 1e-9; p = P(X >= k). One interval join serves all pairs, and all pairs of a marker and a tissue are
+    returned, also those without a hit. Regions count once, however often they are listed or hit.
+    """
+    regions = regions.select("chrom", "start", "end", "region").dropDuplicates(["region"])
+    hits = overlap_join(regions, tissues.select("chrom", "start", "end", "tissue"), **options).select("region", F.col("tissue_b").alias("tissue")).distinct()
+    marked = marked.select("region", "marker").distinct().join(regions.select("region"), "region", "left_semi")
+    sizes, each = marked.groupBy("marker").agg(F.count(F.lit(1)).alias("n_marked")), hits.groupBy("tissue").agg(F.count(F.lit(1)).alias("n_hit"))
+    both = hits.join(marked, "region").groupBy("marker", "tissue").agg(F.count(F.lit(1)).alias("k"))
+    each = tissues.select("tissue").distinct().join(each, "tissue", "left").fillna(0, ["n_hit"])
+    grid = sizes.join(each).join(both, ["marker", "tissue"], "left").fillna(0, ["k"]).join(F.broadcast(regions.agg(F.count(F.lit(1)).alias("m_total"))))
+    grid = grid.withColumn("fc", ((F.col("k") + F.lit(1e-9)) / (F.col("n_marked") + F.lit(1e-9))) / ((F.col("n_hit") + F.lit(1e-9)) / (F.col("m_total") + F.lit(1e-9))))
+    grid = grid.withColumn("p", fc.hypergeom_p(F.col("k"), F.col("m_total"), F.col("n_hit"), F.col("n_marked")))
+    return fc.adjust(grid, "p", method=method)
+
+
+def top_per_annotation(presence: DataFrame, annotation: DataFrame, alpha: float = 0.05, method: str = "bh") -> DataFrame:
+    """Consensuses enriched in an annotation: presence (consensus, experiment), annotation (experiment, label); method: of the correction."""
     rows = presence.join(annotation, "experiment")
     k = rows.groupBy("consensus", "label").agg(F.count(F.lit(1)).alias("k"))
     n = rows.groupBy("consensus").agg(F.count(F.lit(1)).alias("n"))
@@ -71,7 +104,7 @@ def top_per_annotation(presence: DataFrame, annotation: DataFrame, alpha: float
     total = rows.count()
     out = k.join(n, "consensus").join(F.broadcast(drawn), "label").withColumn("total", F.lit(total).cast("long"))
     out = out.withColumn("fc", (F.col("k") / F.col("n")) / (F.col("drawn") / F.col("total")))
-    out = fc.bh(out.withColumn("p", fc.hypergeom_p(F.col("k"), F.col("total"), F.col("n"), F.col("drawn"))), "p", by=["label"])
+    out = fc.adjust(out.withColumn("p", fc.hypergeom_p(F.col("k"), F.col("total"), F.col("n"), F.col("drawn"))), "p", by=["label"], method=method)
     return out.withColumn("significant", (F.col("q") < alpha) & (F.col("k") >= 2))
 
 
@@ -249,6 +282,28 @@ class GeneSetEnricher:
         return out.withColumns({"fc": F.exp("beta"), "neg_log10_q": -F.log10("q")}).orderBy("p", "term")
 
 
+    def find_enriched_binomial(self, query: DataFrame, background: DataFrame, min_genes: int = 3, max_genes: int = 1000) -> DataFrame:
+        """Terms by a binomial regression: of a gene's hits by query or background, those by the query, on membership.
+
+        With one indicator and an intercept the likelihood has its maximum where both groups have their own shares, so one
+        aggregation over (gene, term) fits all terms: beta is the difference of the groups' log odds, and its variance the
+        sum of the reciprocals of the four counts. Neither genes nor terms pass through the driver. Terms in which a count
+        is zero have no finite estimate and are left out, as those of fewer than min_genes hit genes or more than max_genes.
+        p: Wald, one-sided by beta's sign. Returns term, name, beta, se, p, total_hits, q, fc, neg_log10_q, by p and term.
+        """
+        inside, outside = self._hits(query).withColumnRenamed("hits", "k"), self._hits(background).withColumnRenamed("hits", "other")
+        genes = inside.join(outside, "gene", "full").fillna(0, ["k", "other"])
+        sums = genes.agg(F.sum("k").alias("_k"), F.sum("other").alias("_o"))
+        sets = self.gene_sets.select("term", "name", "gene").distinct().join(self.domains.select("gene").distinct(), "gene", "left_semi")
+        own = sets.join(genes, "gene", "left").groupBy("term").agg(F.first("name").alias("name"), F.count(F.lit(1)).alias("genes"), F.count_if(F.col("k") > 0).alias("hit"), F.coalesce(F.sum("k"), F.lit(0)).alias("k1"), F.coalesce(F.sum("other"), F.lit(0)).alias("o1"))
+        rest = own.filter((F.col("hit") >= min_genes) & (F.col("genes") <= max_genes)).join(F.broadcast(sums))  # one row
+        rest = rest.withColumns({"k0": F.col("_k") - F.col("k1"), "o0": F.col("_o") - F.col("o1")}).filter("k1 > 0 and o1 > 0 and k0 > 0 and o0 > 0")
+        beta = F.log(F.col("k1") / F.col("o1")) - F.log(F.col("k0") / F.col("o0"))
+        rest = rest.withColumns({"beta": beta, "se": F.sqrt(1 / F.col("k1") + 1 / F.col("o1") + 1 / F.col("k0") + 1 / F.col("o0"))})
+        out = rest.select("term", "name", "beta", "se", F.greatest(fc.norm_p(F.col("beta") / F.col("se")), F.lit(1e-320)).alias("p"), F.col("k1").alias("total_hits"))
+        return fc.bh(out, "p").withColumns({"fc": F.exp("beta"), "neg_log10_q": -F.log10("q")}).orderBy("p", "term")
+
+
 def top_terms(enriched: DataFrame, alpha: float = 0.05, min_fc: float = 1.0, top: int = 10) -> DataFrame:
     return enriched.filter((F.col("q") < alpha) & (F.col("fc") > min_fc)).orderBy(F.desc("fc"), "term").limit(top)
 

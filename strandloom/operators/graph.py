@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 
 
 def auto_k(n: int) -> int:
@@ -142,9 +143,12 @@ def communities(edges: DataFrame, resolution: float = 1.0, restarts: int = 1) ->
     return out.join(F.broadcast(best), "seed", "left_semi").select("id", "cluster")
 
 
-def cluster(vectors: DataFrame, metric: str = "euclidean", k: int | str = "auto", resolution: float = 1.0, shared: bool = True, restarts: int = 1) -> DataFrame:
+def cluster(vectors: DataFrame, metric: str = "euclidean", k: int | str = "auto", resolution: float = 1.0, shared: bool = True, restarts: int = 1, approx: bool = False) -> DataFrame:
+    """approx: neighbours by descent, for sets that are too large to compare all pairs."""
+    from .neighbours import descend
+
     k = auto_k(vectors.count()) if k == "auto" else int(k)
-    nn = knn(vectors, k, metric)
+    nn = (descend if approx else knn)(vectors, k, metric)
     edges = snn(nn) if shared else nn.select("src", "dst", F.lit(1).alias("weight"))
     return communities(edges.filter("weight > 0"), resolution, restarts)
 
@@ -167,12 +171,48 @@ def loo_knn(vectors: DataFrame, labels: DataFrame, k: int, metric: str = "euclid
     return balanced_accuracy(vote(knn(vectors, k, metric), labels, weighted), labels)
 
 
-def pair_counts(presence: DataFrame, features: int) -> DataFrame:
-    """presence (item, feature) of sets -> for pairs a < b that share a feature: n11, n10, n01, n00, dice and yule distances."""
-    size = presence.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    a, b = presence.select(F.col("item").alias("a"), "feature"), presence.select(F.col("item").alias("b"), "feature")
-    both = a.join(b, "feature").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n11"))
-    out = both.join(size.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
+def pair_counts(presence: DataFrame, features: int, block: int = 512, lot: int = 1 << 19) -> DataFrame:
+    """presence (item, feature) of sets -> for all pairs a < b of items: n11, n10, n01, n00, dice and yule distances.
+
+    Features are dealt to lots of some `lot` rows, so that none of them, however frequent, is the key of a join. A lot holds its features'
+    items as a matrix of zeros and ones; products of blocks of at most `block` items count what pairs share there, and
+    the counts are summed over the lots. Pairs that share nothing are at distance 1, and there are as many rows as pairs of
+    items, which is what a table of distances has. Repeated rows count once; rows with a null are left out.
+    """
+    presence = presence.select("item", "feature").filter("item is not null and feature is not null")
+    kind = dict(presence.dtypes)["item"]
+    lots = -(-presence.count() // lot) or 1
+    session.ship(presence.sparkSession)
+
+    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates()
+        items, i = np.unique(pdf["item"].to_numpy(), return_inverse=True)
+        feats, f = np.unique(pdf["feature"].to_numpy(), return_inverse=True)
+        at = np.argsort(i, kind="stable")
+        ends = np.searchsorted(i[at], np.arange(0, len(items) + block, block))
+        out = []
+        for lo in range(0, len(feats), 4096):  # some features at a time
+            parts = []
+            for n, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                own = at[x:y]
+                own = own[(f[own] >= lo) & (f[own] < lo + 4096)]
+                m = np.zeros((min(block, len(items) - n * block), min(4096, len(feats) - lo)), np.float32)
+                m[i[own] - n * block, f[own] - lo] = 1
+                parts.append(m)
+            for n, p in enumerate(parts):
+                for k, q in enumerate(parts[n:], n):
+                    both = p @ q.T
+                    r, c = np.nonzero(np.triu(both, 1) if k == n else both)
+                    out.append((r + n * block, c + k * block, both[r, c].astype(np.int64)))
+        a, b, n = (np.concatenate([x[j] for x in out]) if out else np.zeros(0, np.int64) for j in range(3))
+        pairs, which = np.unique(a * len(items) + b, return_inverse=True)
+        return pd.DataFrame({"a": items[pairs // max(len(items), 1)], "b": items[pairs % max(len(items), 1)], "n": np.bincount(which, n, len(pairs)).astype(np.int64)})
+
+    dealt = presence.withColumn("_lot", F.pmod(F.xxhash64("feature"), F.lit(lots)))
+    both = dealt.groupBy("_lot").applyInPandas(lambda pdf: shared(pdf.drop(columns="_lot")), f"a {kind}, b {kind}, n long").groupBy("a", "b").agg(F.sum("n").alias("n11"))
+    size = presence.distinct().groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    own, other = size.select(F.col("item").alias("a"), F.col("n").alias("na")), size.select(F.col("item").alias("b"), F.col("n").alias("nb"))
+    out = own.join(other, F.col("a") < F.col("b")).join(both, ["a", "b"], "left").withColumn("n11", F.coalesce("n11", F.lit(0).cast("long")))
     out = out.select("a", "b", "n11", (F.col("na") - F.col("n11")).alias("n10"), (F.col("nb") - F.col("n11")).alias("n01"), (F.lit(features) - F.col("na") - F.col("nb") + F.col("n11")).alias("n00"))
     off = F.col("n10") + F.col("n01")
     cross = F.col("n10") * F.col("n01")

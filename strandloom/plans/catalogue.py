@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import session
-from ..functions.columns import bh, cap_text, round6
-from ..operators import consensus, correlate, counts, enrich, graph, gwas, intervals, markers, survival
+from ..functions.columns import adjust, bh, cap_text, round6
+from ..operators import consensus, correlate, counts, enrich, graph, gwas, intervals, markers, neighbours, survival
 from . import views
 from .views import sql, table
 
@@ -292,6 +292,37 @@ def _(s, d):
     return bh(v, "p").select("gene", round6(F.col("p")).alias("p"), round6(F.col("q")).alias("q"))
 
 
+@query("en_corrections", sql(""", v AS (SELECT gene, gene % 3 AS part, (gene * 7919 % 1000 + 1) / 10000.0 AS p FROM genes),
+r AS (SELECT *, count(*) OVER (PARTITION BY part) AS m, rank() OVER (PARTITION BY part ORDER BY p) AS first, rank() OVER (PARTITION BY part ORDER BY p) + count(*) OVER (PARTITION BY part, p) - 1 AS last FROM v),
+h AS (SELECT *, (SELECT sum(1.0::DOUBLE / i) FROM range(1, m + 1) t(i)) AS c FROM r)
+SELECT gene, round(least(1.0, min(p * m * c / last) OVER (PARTITION BY part ORDER BY p DESC)), 6) AS q_by, round(least(1.0, max(p * (m - first + 1)) OVER (PARTITION BY part ORDER BY p)), 6) AS q_holm,
+round(least(1.0, min(p * (m - last + 1)) OVER (PARTITION BY part ORDER BY p DESC)), 6) AS q_hochberg, round(least(1.0, p * m), 6) AS q_bonferroni FROM h""", "genes"))
+def _(s, d):
+    out = views.genes(s, d).select("gene", (F.col("gene") % 3).alias("part"), ((F.col("gene") * 7919 % 1000 + 1) / 10000.0).alias("p"))
+    out = adjust(out, "p", {f"q_{m}": m for m in ("by", "holm", "hochberg", "bonferroni")}, by=["part"])
+    return out.select("gene", *[round6(F.col(f"q_{m}")).alias(f"q_{m}") for m in ("by", "holm", "hochberg", "bonferroni")])
+
+
+@query("en_two_sided_classes", f"""WITH x AS (SELECT p_brand AS cls, p_size % 3 = 0 AS chosen FROM part), c AS (SELECT cls AS class, count(*) AS n_bg, count(*) FILTER (WHERE chosen) AS k_hits, (SELECT count(*) FROM x) AS m_total, (SELECT count(*) FROM x WHERE chosen) AS n_query FROM x GROUP BY 1),
+t AS (SELECT * FROM c WHERE k_hits > 0 ORDER BY k_hits DESC, class LIMIT 10), u AS (SELECT *, {HYPER} AS up FROM t), p AS (SELECT *, 2 * least(up, 1 - up) AS p FROM u),
+r AS (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS last FROM p)
+SELECT class, n_bg, k_hits AS k, m_total, n_query, round(p, 6) AS p, round(least(1.0, min(p * m / last) OVER (ORDER BY p DESC)), 6) AS q FROM r""")
+def _(s, d):
+    got = enrich.two_sided_classes(table(s, d, "part"), "p_brand", F.col("p_size") % 3 == 0)
+    return got.select("class", "n_bg", "k", "m_total", "n_query", round6(F.col("p")).alias("p"), round6(F.col("q")).alias("q"))
+
+
+@query("en_tissue_markers", sql(f""", t AS (SELECT 'chr' || (o_custkey % 5) AS chrom, o_custkey * 130 + o_orderkey % 97 AS start, o_custkey * 130 + o_orderkey % 97 + 50 AS "end", o_orderpriority AS tissue FROM orders),
+h AS (SELECT DISTINCT a.gene, b.tissue FROM genes a JOIN t b ON {OVER}), mk AS (SELECT gene, term AS marker FROM genes),
+c AS (SELECT m.marker, x.tissue, n_marked AS n_query, n_bg, k_hits, (SELECT count(*) FROM genes) AS m_total FROM (SELECT marker, count(*) AS n_marked FROM mk GROUP BY 1) m CROSS JOIN (SELECT tissue, count(*) AS n_bg FROM h GROUP BY 1) x
+JOIN LATERAL (SELECT count(*) AS k_hits FROM h JOIN mk USING (gene) WHERE mk.marker = m.marker AND h.tissue = x.tissue) ON true)
+SELECT marker, tissue, n_query AS n_marked, n_bg AS n_hit, k_hits AS k, round(((k_hits + 1e-9) / (n_query + 1e-9)) / ((n_bg + 1e-9) / (m_total + 1e-9)), 6) AS fc, round({HYPER}, 6) AS p FROM c""", "genes"))
+def _(s, d):
+    g, t = views.genes(s, d), views.catalog(s, d).withColumnRenamed("name", "tissue")
+    got = enrich.tissue_markers(g.withColumnRenamed("gene", "region"), g.select(F.col("gene").alias("region"), F.col("term").alias("marker")), t, width=512)
+    return got.select("marker", "tissue", "n_marked", "n_hit", "k", round6(F.col("fc")).alias("fc"), round6(F.col("p")).alias("p"))
+
+
 @query("en_by_label", sql(HITS + f""", l AS (SELECT experiment % 4 AS label, count(*) AS n_query FROM peaks GROUP BY 1), n AS (SELECT name, count(*) AS n_bg FROM hits GROUP BY 1), k AS (SELECT name, experiment % 4 AS label, count(*) AS k FROM hits GROUP BY ALL),
 c AS (SELECT l.label, n.name, n_query, n_bg, coalesce(k, 0) AS k_hits, (SELECT count(*) FROM peaks) AS m_total FROM l CROSS JOIN n LEFT JOIN k ON k.name = n.name AND k.label = l.label)
 SELECT label, name, n_bg, k_hits, round({HYPER}, 6) AS p FROM c""", "peaks", "catalog"))
@@ -383,6 +414,17 @@ def _(s, d):
     return enrich.GeneSetEnricher(views.genes(s, d).select("term", F.col("term").alias("name"), "gene"), dom, views.chrom_sizes(s, d)).find_enriched(p.filter("experiment < 20"), p)
 
 
+@query("en_gene_sets_binomial", sql(BASAL + """, h AS (SELECT b.gene, count(*) AS n, count(*) FILTER (WHERE a.experiment % 4 = 0) AS k FROM peaks a JOIN basal b ON a.chrom = b.chrom AND b.start < a.summit + 1 AND a.summit < b."end" GROUP BY 1),
+g AS (SELECT genes.term, genes.gene, coalesce(k, 0) AS k, coalesce(n - k, 0) AS o FROM genes LEFT JOIN h USING (gene)), w AS (SELECT sum(k) AS wk, sum(o) AS wo FROM g),
+t AS (SELECT term, count(*) AS genes, count(*) FILTER (WHERE k > 0) AS hit, sum(k) AS k1, sum(o) AS o1, wk - sum(k) AS k0, wo - sum(o) AS o0 FROM g, w GROUP BY term, wk, wo)
+SELECT term, CAST(k1 AS BIGINT) AS total_hits, round(ln(k1 / o1) - ln(k0 / o0), 6) AS beta, round(sqrt(1 / k1 + 1 / o1 + 1 / k0 + 1 / o0), 6) AS se FROM t WHERE hit >= 3 AND genes <= 1000 AND k1 > 0 AND o1 > 0 AND k0 > 0 AND o0 > 0""", "peaks", "genes"))
+def _(s, d):
+    p = enrich.summits(views.peaks(s, d))
+    dom = intervals.basal_domains(views.genes(s, d)).select("gene", "chrom", "start", "end")
+    got = enrich.GeneSetEnricher(views.genes(s, d).select("term", F.col("term").alias("name"), "gene"), dom, views.chrom_sizes(s, d)).find_enriched_binomial(p.filter("experiment % 4 = 0"), p.filter("experiment % 4 <> 0"))
+    return got.select("term", "total_hits", round6(F.col("beta")).alias("beta"), round6(F.col("se")).alias("se"))
+
+
 @query("en_cohort_null")
 def _(s, d):
     sig = views.counts(s, d).join(views.tissues(s, d), "sample").filter("cnt > 40").select("feature", F.col("label").alias("cohort")).distinct()
@@ -568,6 +610,14 @@ def _(s, d):
     return graph.knn(views.vectors(s, d), 10).select("src", "dst", F.col("rank").cast("bigint").alias("rank"), (F.round("distance", 5) + 0.0).alias("distance"))
 
 
+@query("gr_knn_descent", sql("SELECT id AS src, 10::BIGINT AS n, 10::BIGINT AS exact_distances FROM vectors", "vectors"))
+def _(s, d):
+    v = views.vectors(s, d).select("id", "x")
+    got = neighbours.descend(v, 10).join(v.select(F.col("id").alias("src"), F.col("x").alias("x")), "src").join(v.select(F.col("id").alias("dst"), F.col("x").alias("y")), "dst")
+    far = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, z: t + z))
+    return got.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.abs(far - F.col("distance")) < 1e-6) & (F.col("src") != F.col("dst"))).alias("exact_distances"))
+
+
 @query("gr_snn_weights", sql(KNN + ", l AS (SELECT src, list(dst) AS nn FROM nn GROUP BY src) SELECT n.src, n.dst, CAST(len(list_intersect(a.nn, b.nn)) AS INTEGER) AS weight FROM nn n JOIN l a ON a.src = n.src JOIN l b ON b.src = n.dst", "vectors"))
 def _(s, d):
     return graph.snn(graph.knn(views.vectors(s, d), 10))
@@ -581,7 +631,8 @@ def _(s, d):
 
 
 DICE = """, pr AS (SELECT DISTINCT experiment AS item, summit // 2000 AS feature FROM peaks), f AS (SELECT count(DISTINCT feature) AS f FROM pr), z AS (SELECT item, count(*) AS n FROM pr GROUP BY 1),
-p AS (SELECT a.item AS a, b.item AS b, count(*) AS n11 FROM pr a JOIN pr b ON a.feature = b.feature AND a.item < b.item GROUP BY ALL), q AS (SELECT a, b, n11, x.n - n11 AS n10, y.n - n11 AS n01, f - x.n - y.n + n11 AS n00 FROM p JOIN z x ON x.item = a JOIN z y ON y.item = b, f)
+c AS (SELECT a.item AS a, b.item AS b, count(*) AS n11 FROM pr a JOIN pr b ON a.feature = b.feature AND a.item < b.item GROUP BY ALL),
+p AS (SELECT x.item AS a, y.item AS b, coalesce(n11, 0) AS n11 FROM z x JOIN z y ON x.item < y.item LEFT JOIN c ON c.a = x.item AND c.b = y.item), q AS (SELECT a, b, n11, x.n - n11 AS n10, y.n - n11 AS n01, f - x.n - y.n + n11 AS n00 FROM p JOIN z x ON x.item = a JOIN z y ON y.item = b, f)
 """
 
 
