@@ -267,7 +267,7 @@ def _composed(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def alignments(docs: DataFrame, a: str, b: str, chunk_bytes: int = 12 << 20) -> DataFrame:
+def alignments(docs: DataFrame, a: str, b: str, chunk_bytes: int = 16 << 20) -> DataFrame:
     """How the tokens of A and B align in each row of docs (doc_id, text), a space being put before each text.
 
     Offsets where tokens of both end cut them into groups; the last tokens of a group are linked. A pair's count is the
@@ -280,7 +280,7 @@ def alignments(docs: DataFrame, a: str, b: str, chunk_bytes: int = 12 << 20) ->
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"].replace("bigint", "long")
     session.ship(spark)
-    folders = [shared.new_folder(spark, x) for x in ("chunks", "aligned", "pairs")]
+    folders = [shared.new_folder(spark, x) for x in ("chunks", "aligned", "pairs", "told")]
     _chunked(docs, a, b, chunk_bytes).write.parquet(folders[0])
     chunks = spark.read.parquet(folders[0])
     asked = chunks.select("chunk", F.posexplode(F.arrays_zip("segments", "counts")).alias("code", "x")).select("chunk", "code", F.col("x.segments").alias("segment"), F.col("x.counts").alias("n"))
@@ -309,6 +309,10 @@ def alignments(docs: DataFrame, a: str, b: str, chunk_bytes: int = 12 << 20) ->
 
     known = known.select(F.col("batch").alias("of"), "code", "count", "best")
     told = aligned.select("batch", "packed").groupBy("batch").cogroup(known.groupBy("of")).applyInArrow(weighed, "segment string, told binary")
+    told.write.parquet(folders[3])
+    told = spark.read.parquet(folders[3])
+    shared.discard(spark, *folders[1:3])
+    shared.sweep(spark)
     back = shared.stream(asked.select("chunk", "code", "segment").join(told, "segment").select("chunk", "code", "told"), _dealt, "chunk long, packed binary").withColumnRenamed("chunk", "of")
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     return chunks.select("chunk", "docs", "items").groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(composed, schema)
