@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions.columns import adjust, bh, cap_text, round6
-from ..operators import consensus, correlate, counts, enrich, graph, gwas, intervals, markers, neighbours, survival
+from ..operators import consensus, correlate, counts, enrich, graph, gwas, intervals, markers, neighbours, survival, traits
 from . import views
 from .views import sql, table
 
@@ -802,6 +802,35 @@ def _(s, d):
     return gwas.snp_annotation(st, views.genes(s, d)).select("row", "annot")
 
 
+TRAITS = """, f AS (SELECT 'r' || row AS "SNP", row, "CHR", "BP", "Z", "N_CAS" + "N_CON" AS "N", ld FROM sumstats WHERE "A1" <> "A2" AND ("A1" || "A2") NOT IN ('AT', 'TA', 'CG', 'GC')),
+o AS (SELECT 't' || t AS trait, f.*, ((row * (17 + 4 * t)) % 401 - 200) / 100.0::DOUBLE AS z2, "N" + 100 * t AS n2 FROM f, range(4) r(t) WHERE t < 3 OR row % 50 = 0),
+i AS (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY "CHR", "BP", "SNP") AS i, count(*) OVER (PARTITION BY trait) AS c FROM o),
+b AS (SELECT *, CAST((i * least(c, 20) - 1) // c AS INTEGER) AS block, sqrt("N" * n2) * ld AS x FROM i)
+"""
+
+
+def _traits(s, d):
+    """Four traits beside the first; the second has the alleles the other way round, the last only every fiftieth SNP."""
+    f = views.sumstats(s, d).select(F.concat(F.lit("r"), F.col("row").cast("string")).alias("SNP"), "row", "CHR", "BP", "Z", (F.col("N_CAS") + F.col("N_CON")).alias("N"), "A1", "A2", "ld")
+    t = f.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter((F.col("t") < 3) | (F.col("row") % 50 == 0))
+    z = ((F.col("row") * (F.col("t") * 4 + 17)) % 401 - 200) / 100.0
+    turned = F.col("t") == 1
+    others = t.select(F.concat(F.lit("t"), F.col("t").cast("string")).alias("trait"), "SNP", F.when(turned, -z).otherwise(z).alias("Z"), (F.col("N") + F.col("t") * 100).alias("N"), F.when(turned, F.col("A2")).otherwise(F.col("A1")).alias("A1"), F.when(turned, F.col("A1")).otherwise(F.col("A2")).alias("A2"))
+    return f.select("SNP", "Z", "N", "A1", "A2"), others, f.select("SNP", "CHR", "BP", "ld", F.col("ld").alias("w_ld"))
+
+
+@query("gw_trait_block_sums", sql(TRAITS + """SELECT trait, block, count(*) AS n, round(sum(x * x) / 1e6, 3) AS xx, round(sum(x) / 1e3, 3) AS x, round(sum(x * "Z" * z2) / 1e3, 3) AS xy, round(sum("Z" * z2), 3) AS y, round(sum("N" * ld * "Z" * "Z") / 1e3, 3) AS xy_first FROM b GROUP BY ALL""", "sumstats"))
+def _(s, d):
+    sums = traits.block_sums(traits.with_blocks(traits.paired(*_traits(s, d)), 20), ["ld"])
+    tidy = lambda c, by: F.round(F.col(c) / by, 3) + F.lit(0.0)
+    return sums.select("trait", "block", "n", tidy("xx12_0_0", 1e6).alias("xx"), tidy("xx12_0_1", 1e3).alias("x"), tidy("xy12_0", 1e3).alias("xy"), tidy("xy12_1", 1).alias("y"), tidy("xy1_0", 1e3).alias("xy_first"))
+
+
+@query("gw_genetic_correlations")
+def _(s, d):
+    return traits.genetic_correlations(*_traits(s, d), {"ld": 1000.0}, blocks=20, least=50)
+
+
 @query("gw_heritability")
 def _(s, d):
     st = views.sumstats(s, d).withColumns({"N": F.col("N_CAS") + F.col("N_CON"), "w_ld": F.col("ld")}).select("CHR", "BP", "SNP", "Z", "N", "ld", "w_ld")
