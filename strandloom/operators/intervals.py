@@ -7,6 +7,7 @@ intervals work in two levels, inside genome tiles and then over one row per tile
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -269,15 +270,58 @@ def signal_profile(points: DataFrame, track: DataFrame, reach: int = 5000, size:
     return hits.groupBy("bin").agg((F.sum(part * F.col("value_b")) / (size * max(n, 1))).alias("mean"))
 
 
-def lift_over(df: DataFrame, blocks: DataFrame, width: int = 1 << 14) -> DataFrame:
-    """Maps intervals that lie inside one aligned block (chrom, start, end, to_chrom, to_start, to_strand, to_size)."""
+def lift_over(df: DataFrame, blocks: DataFrame, width: int = 1 << 14, min_match: float = 0.95) -> DataFrame:
+    """Maps intervals by aligned blocks (chrom, start, end, to_chrom, to_start, to_strand, to_size, chain), as read_chain() gives them.
+
+    An interval may span blocks of one chain: it is mapped from the first to the last of its bases that are aligned, if these
+    are at least the share min_match of it. Of several chains the one with most aligned bases counts, then the first.
+    A strand column is turned where the target is on the reverse strand. Unmapped rows are left out; equal rows stay.
+    """
     cols = [c for c in df.columns if c not in ("chrom", "start", "end")]
-    hit = overlap_join(df, blocks, within=True, width=width)
-    offset = F.col("start") - F.col("start_b")
-    size = F.col("end") - F.col("start")
-    plus = F.col("to_start_b") + offset
-    s = F.when(F.col("to_strand_b") == "-", F.col("to_size_b") - plus - size).otherwise(plus)
-    return hit.select(F.col("to_chrom_b").alias("chrom"), s.alias("start"), (s + size).alias("end"), *cols)
+    blocks = blocks if "chain" in blocks.columns else blocks.withColumn("chain", F.xxhash64(*blocks.columns).cast("string"))
+    hit = overlap_join(df.withColumn("_id", F.monotonically_increasing_id()), blocks, width=width)
+    lo, hi = F.greatest("start", "start_b"), F.least("end", "end_b")
+    plus = F.col("to_start_b") + lo - F.col("start_b")
+    hit = hit.withColumn("_s", F.when(F.col("to_strand_b") == "-", F.col("to_size_b") - plus - (hi - lo)).otherwise(plus)).withColumn("_n", hi - lo)
+    own = hit.groupBy("_id", "chain_b", "to_chrom_b", "to_strand_b").agg(F.sum("_n").alias("_n"), F.min("_s").alias("_from"), F.max(F.col("_s") + F.col("_n")).alias("_to"), F.first(F.struct((F.col("end") - F.col("start")).alias("_size"), *cols)).alias("_x"))
+    own = own.filter(F.col("_n") >= F.col("_x._size") * min_match)
+    best = own.groupBy("_id").agg(F.min_by(F.struct("to_chrom_b", "to_strand_b", "_from", "_to", "_x"), F.struct(-F.col("_n"), F.col("chain_b"))).alias("b"))
+    turned = F.when(F.col("b.to_strand_b") != "-", F.col("b._x.strand")).when(F.col("b._x.strand") == "+", "-").when(F.col("b._x.strand") == "-", "+").otherwise(F.col("b._x.strand")) if "strand" in cols else None
+    return best.select(F.col("b.to_chrom_b").alias("chrom"), F.col("b._from").alias("start"), F.col("b._to").alias("end"), *[turned.alias(c) if c == "strand" else F.col(f"b._x.{c}").alias(c) for c in cols])
+
+
+def resampled(df: DataFrame, size: int, seed: int = 42, parts: int | None = None) -> DataFrame:
+    """min(size, rows) rows of df, drawn with replacement, exactly that many, the same for a seed; none of an empty df.
+
+    Rows are dealt to parts by their content; how many draws fall to each is one multinomial draw over the parts' counts, and
+    a draw takes a place in its part by a hash. So only parts are ordered, never all rows.
+    """
+    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.xxhash64(*df.columns)
+    dealt = df.withColumns({"_k": key, "_part": F.pmod(key, F.lit(parts)).cast("int")})
+    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().orderBy("_part").collect()}  # a row per part
+    total = sum(counts.values())
+    if not total:
+        return df.limit(0)
+    draws = np.random.default_rng(seed).multinomial(min(size, total), np.array(list(counts.values())) / total)
+    plan = df.sparkSession.createDataFrame([(p, c, int(n)) for (p, c), n in zip(counts.items(), draws, strict=True) if n], "_part int, _c long, _n long")
+    places = plan.select("_part", "_c", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+    places = places.select("_part", F.pmod(F.xxhash64("_part", "_i", F.lit(seed)), F.col("_c")).alias("_at"))
+    numbered = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("_k")).cast("long") - 1)
+    return places.join(numbered, ["_part", "_at"]).select(*df.columns)
+
+
+def count_fragments(reads: DataFrame, regions: DataFrame, width: int = 1 << 10) -> DataFrame:
+    """(sample, region, cnt) of reads (sample, name, mate, chrom, start, end) in regions (id): a fragment counts once in every region that one of its reads touches.
+
+    In samples with second mates (mate 2) the reads of one name are a fragment; in the others, which were read from one end,
+    each read is one. A mate whose partner is missing is a fragment of its own. Reads without a place are left out.
+    """
+    paired = reads.groupBy("sample").agg(F.max(F.coalesce((F.col("mate") == 2).cast("int"), F.lit(0))).alias("_paired"))
+    placed = reads.filter("chrom is not null and start is not null and end is not null")
+    rows = placed.join(paired, "sample").withColumn("_unit", F.when(F.col("_paired") == 1, F.col("name")).otherwise(F.monotonically_increasing_id().cast("string")))
+    hits = overlap_join(rows.select("sample", "_unit", "chrom", "start", "end"), regions.select("chrom", "start", "end", "id"), width=width)
+    return hits.select("sample", "_unit", F.col("id_b").alias("region")).distinct().groupBy("sample", "region").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def symlog_edges(largest: float, n_bins: int, linear: float = 0.1) -> list[float]:

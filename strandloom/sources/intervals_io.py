@@ -50,9 +50,22 @@ def read_chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, idx, line: text files whose lines are known by their place; each file is one row until it is exploded."""
-    whole = spark.read.text(paths, wholetext=True)
-    return whole.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\r?\n")).alias("idx", "line"))
+    """file, idx (long, from 0 in each file), line: text files whose lines are known by their place; empty lines at the end are left out.
+
+    Files are read by Spark's own splits, many tasks to a large one. A first pass counts the lines of each split; a line's
+    number is its place in its split after the lines of the splits before it. Compressed files are one split each.
+    """
+    rows = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r$", "").alias("line"),
+    )
+    # rows of a split stand together in a partition, in their order
+    splits = rows.groupBy("_path", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("line") != "", F.col("_id"))).alias("_last"))
+    each = Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(each), F.lit(0)))
+    splits = splits.withColumn("_end", F.max(F.col("_before") + F.col("_last") - F.col("_first")).over(Window.partitionBy("_path")))
+    out = rows.join(splits.select("_path", "_at", "_first", "_before", "_end"), ["_path", "_at"]).withColumn("idx", F.col("_before") + F.col("_id") - F.col("_first"))
+    return out.filter(F.col("idx") <= F.col("_end")).select("file", "idx", "line")
 
 
 def read_gtf(spark: SparkSession, path: str, feature: str = "gene", gene_type: str | None = None, gene_column: str = "gene_name") -> DataFrame:
@@ -78,25 +91,24 @@ def read_gmt(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_chain(spark: SparkSession, path: str) -> DataFrame:
-    """Aligned blocks of a chain file for intervals.lift_over(): forward source strands only.
+    """Aligned blocks of a chain file for intervals.lift_over(): chrom, start, end, to_chrom, to_start, to_strand, to_size, chain.
 
-    Chain files are some megabytes; the lines of one are read in order.
+    Blocks follow each other by the gaps between them, which are summed within a chain. Where the source is given on its
+    reverse strand, both sides are mirrored, so that all source coordinates are forward ones.
     """
-    rows, head = [], None
-    for r in numbered_lines(spark, path).orderBy("file", "idx").toLocalIterator():
-        x = r["line"].split()
-        if not x:
-            continue
-        if x[0] == "chain":
-            head = x
-            t, q = int(x[5]), int(x[10])
-            continue
-        size = int(x[0])
-        if head is not None and head[4] == "+":
-            rows.append((head[2], t, t + size, head[7], q, head[9], int(head[8])))
-        if len(x) == 3:
-            t, q = t + size + int(x[1]), q + size + int(x[2])
-    return spark.createDataFrame(rows, "chrom string, start long, end long, to_chrom string, to_start long, to_strand string, to_size long")
+    lines = numbered_lines(spark, path).filter("line <> '' and not startswith(line, '#')").select("file", "idx", F.split(F.trim("line"), r"\s+").alias("x"))
+    is_head = F.get("x", F.lit(0)) == "chain"
+    head = F.last(F.when(is_head, F.struct("idx", "x")), ignorenulls=True).over(Window.partitionBy("file").orderBy("idx"))
+    rows = lines.withColumns({"h": head, "is_head": is_head}).filter("not is_head and h is not null")
+    number = lambda c, i: F.get(c, F.lit(i)).cast("bigint")
+    before = Window.partitionBy("file", "h.idx").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    size = number("x", 0)
+    past = lambda i: F.coalesce(F.sum(size + F.coalesce(number("x", i), F.lit(0))).over(before), F.lit(0))
+    rows = rows.withColumns({"size": size, "t": number("h.x", 5) + past(1), "q": number("h.x", 10) + past(2), "ts": number("h.x", 3), "qs": number("h.x", 8), "forward": F.get("h.x", F.lit(4)) == "+", "to": F.get("h.x", F.lit(9))})
+    start = F.when(F.col("forward"), F.col("t")).otherwise(F.col("ts") - F.col("t") - F.col("size"))
+    to_start = F.when(F.col("forward"), F.col("q")).otherwise(F.col("qs") - F.col("q") - F.col("size"))
+    strand = F.when(F.col("forward"), F.col("to")).otherwise(F.when(F.col("to") == "+", "-").otherwise("+"))
+    return rows.select(F.get("h.x", F.lit(2)).alias("chrom"), start.alias("start"), (start + F.col("size")).alias("end"), F.get("h.x", F.lit(7)).alias("to_chrom"), to_start.alias("to_start"), strand.alias("to_strand"), F.col("qs").alias("to_size"), F.concat_ws(":", "file", "h.idx").alias("chain"))
 
 
 def write_bed(df: DataFrame, path: str, columns: list[str], order: list[str] | None = None, by: str | None = None) -> None:
@@ -121,17 +133,12 @@ def chrom_alias(chrom: Column) -> Column:
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """MatrixMarket coordinates as (row, col, value), from 0."""
-    x = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).filter(~F.col("value").startswith("%"))
-    rows = lines.select(F.get(x, F.lit(0)).cast("bigint").alias("row"), F.get(x, F.lit(1)).cast("bigint").alias("col"), F.coalesce(F.get(x, F.lit(2)).cast("double"), F.lit(1.0)).alias("value"), F.col("_metadata.file_block_start").alias("_at"))
-    head = numbered_lines(spark, path).filter(~F.col("line").startswith("%")).orderBy("idx").first()["line"].split()
-    size = [int(v) for v in head]
-    # The size line has the number of entries where these have values; it goes by being counted once.
-    entries = rows.groupBy("row", "col", "value").agg(F.count(F.lit(1)).alias("_n"))
-    is_size = (F.col("row") == size[0]) & (F.col("col") == size[1]) & (F.col("value") == size[2])
-    entries = entries.withColumn("_n", F.when(is_size, F.col("_n") - 1).otherwise(F.col("_n"))).filter("_n > 0")
-    return entries.select((F.col("row") - 1).alias("row"), (F.col("col") - 1).alias("col"), "value")
+    """MatrixMarket coordinates as (row, col, value), from 0; the first line that is no comment holds the sizes, and entries without a value are 1."""
+    x = F.split(F.trim("line"), r"\s+")
+    lines = numbered_lines(spark, path).filter(~F.col("line").startswith("%") & (F.trim("line") != ""))
+    sizes = lines.agg(F.min(F.struct("file", "idx")).alias("at"))
+    rows = lines.join(F.broadcast(sizes), F.struct("file", "idx") != F.col("at"))  # one row
+    return rows.select((F.get(x, F.lit(0)).cast("bigint") - 1).alias("row"), (F.get(x, F.lit(1)).cast("bigint") - 1).alias("col"), F.coalesce(F.get(x, F.lit(2)).cast("double"), F.lit(1.0)).alias("value"))
 
 
 def write_matrix(df: DataFrame, path: str, rows: int, cols: int) -> None:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from .intervals_io import numbered_lines
 
 MAGIC = b"\x6c\x1b\x01"  # fixed value: plink's magic bytes and SNP-major mode
@@ -151,23 +153,41 @@ def decode_genotypes(raw: bytes, people: int) -> np.ndarray:
     return code[two.reshape(len(bits), -1)[:, :people]]
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path; file:/x is file:///x."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def read_genotypes(spark: SparkSession, path: str, people: int, lot: int = 4096) -> DataFrame:
-    """(snp_idx, genotypes) of a plink .bed; the file is cut into lots of SNPs before it is decoded."""
-    per = -(-people // 4)
-    whole = spark.read.format("binaryFile").load(path).select("content", F.octet_length("content").alias("n"))
-    head = whole.select(F.substring("content", 1, 3).alias("m")).first()["m"]
-    if bytes(head) != MAGIC:
-        raise ValueError("not a SNP-major plink .bed file")
-    lots = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 4) / (per * lot))))
-    cut = whole.select("content", lots.alias("lot")).select("lot", F.substring("content", (F.col("lot") * (per * lot) + 4).cast("int"), F.lit(per * lot)).alias("raw")).repartition("lot")
+    """(snp_idx, genotypes) of a plink .bed; each task opens the file at the bytes of its lots of SNPs.
+
+    path: of a store that Arrow opens (local, s3, gs, hdfs), under the same name on every machine.
+    """
+    per, (store, where) = -(-people // 4), _opened(path)
+    size = store.get_file_info(where).size
+    with store.open_input_file(where) as f:
+        if size < 3 or f.read_at(3, 0) != MAGIC:
+            raise ValueError("not a SNP-major plink .bed file")
+    snps, rest = divmod(size - 3, per)
+    if rest:
+        raise ValueError(f"the file doesn't hold whole SNPs of {people} people")
+    lots = -(-snps // lot)
+    session.ship(spark)
 
     def decode(frames):
-        for pdf in frames:
-            for k, raw in zip(pdf["lot"], pdf["raw"], strict=True):
-                g = decode_genotypes(raw, people)
-                yield pd.DataFrame({"snp_idx": k * lot + np.arange(len(g)), "genotypes": [x.tolist() for x in g]})
-
-    return cut.mapInPandas(decode, "snp_idx long, genotypes array<int>")
+        store, where = _opened(path)
+        with store.open_input_file(where) as f:
+            for pdf in frames:
+                for k in pdf["id"].tolist():
+                    first = k * lot
+                    g = decode_genotypes(f.read_at(min(lot, snps - first) * per, 3 + first * per), people)
+                    yield pd.DataFrame({"snp_idx": first + np.arange(len(g)), "genotypes": [x.tolist() for x in g]})
+
+    # some 32 MB a task, but no fewer tasks than run at once
+    tasks = max(1, min(lots, max(size >> 25, spark.sparkContext.defaultParallelism)))
+    return spark.range(0, lots, 1, tasks).mapInPandas(decode, "snp_idx long, genotypes array<int>")
 
 
 def save_tables(tables: dict[str, DataFrame], path: str) -> None:
