@@ -267,7 +267,7 @@ def _composed(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def alignments(docs: DataFrame, a: str, b: str, chunk_bytes: int = 16 << 20) -> DataFrame:
+def alignments(docs: DataFrame, a: str, b: str, chunk_bytes: int = 32 << 20) -> DataFrame:
     """How the tokens of A and B align in each row of docs (doc_id, text), a space being put before each text.
 
     Offsets where tokens of both end cut them into groups; the last tokens of a group are linked. A pair's count is the
