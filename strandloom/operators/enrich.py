@@ -248,20 +248,23 @@ class GeneSetEnricher:
     def genes_of(self, term: str, tested: DataFrame, alpha: float = 0.05) -> DataFrame:
         return tested.filter(F.col("q") < alpha).join(self.gene_sets.filter(F.col("term") == term).select("gene").distinct(), "gene", "left_semi")
 
-    def find_enriched(self, query: DataFrame, background: DataFrame | None = None, min_genes: int = 3, max_genes: int = 1000) -> DataFrame:
-        """Terms by an NB1 regression of each gene's hits on membership, with the expected hits as exposure.
-
-        The vector of all genes (at most some ten thousand) is broadcast; only memberships are shuffled.
-        """
+    def exposures(self, query: DataFrame, background: DataFrame | None = None) -> DataFrame:
+        """gene, hits of the query in its domains, and expected: those of the background, scaled to the query's size, or the domains' share of the genome times that size."""
         n_query = query.count()
-        hits = self._hits(query)
         if background is None:
             genome = self.chrom_sizes.agg(F.sum("length")).first()[0]
             part = F.sum(F.greatest((F.col("end") - F.col("start")) / genome, F.lit(1 / genome))) * n_query
             expected = self.domains.groupBy("gene").agg(part.alias("expected"))
         else:
             expected = self._hits(background).select("gene", (F.col("hits") * (n_query / max(background.count(), 1))).alias("expected"))
-        genes = expected.join(hits, "gene", "left").fillna(0, ["hits"]).toPandas().sort_values("gene")
+        return expected.join(self._hits(query), "gene", "left").fillna(0, ["hits"])
+
+    def find_enriched(self, query: DataFrame, background: DataFrame | None = None, min_genes: int = 3, max_genes: int = 1000) -> DataFrame:
+        """Terms by an NB1 regression of each gene's hits on membership, with the expected hits as exposure.
+
+        The vector of all genes (at most some ten thousand) is broadcast; only memberships are shuffled.
+        """
+        genes = self.exposures(query, background).toPandas().sort_values("gene")
         at = {g: i for i, g in enumerate(genes["gene"])}
         vectors = query.sparkSession.sparkContext.broadcast((at, genes["hits"].to_numpy(float), genes["expected"].to_numpy(float)))
         sets = self.gene_sets.select("term", "name", "gene").distinct()

@@ -92,6 +92,22 @@ def cox_univariate(values: DataFrame, times: DataFrame, min_samples: int = 20, m
     return out.withColumns({"hazard_ratio": F.exp("coef"), "prognostic": F.when(F.col("q") < 0.05, F.signum("coef")).otherwise(0.0)})
 
 
+def cox_terms(values: DataFrame, times: DataFrame, beta: float | DataFrame = 0.0) -> DataFrame:
+    """Breslow's partial likelihood of each feature at a coefficient (one for all, or a table feature, coef): its slope (score) and curvature (information).
+
+    values (feature, sample, value), times (sample, tte, dead), as for cox_univariate(). Rows are summed by time before they are
+    ordered, so a feature's window has a row per distinct time. Features without a death have a score of 0.
+    """
+    rows = values.join(times, "sample")
+    rows = rows.withColumn("_b", F.lit(float(beta))) if not isinstance(beta, DataFrame) else rows.join(beta.select("feature", F.col("coef").alias("_b")), "feature")
+    v, w, d = F.col("value"), F.exp(F.col("_b") * F.col("value")), F.col("dead").cast("int")
+    each = rows.groupBy("feature", "tte").agg(F.sum(d).alias("d"), F.sum(d * v).alias("vd"), F.sum(w).alias("w0"), F.sum(w * v).alias("w1"), F.sum(w * v * v).alias("w2"))
+    later = Window.partitionBy("feature").orderBy(F.desc("tte")).rowsBetween(Window.unboundedPreceding, 0)
+    each = each.select("feature", "d", "vd", *[F.sum(f"w{k}").over(later).alias(f"s{k}") for k in range(3)])
+    mean = F.col("s1") / F.col("s0")
+    return each.groupBy("feature").agg(F.sum(F.col("vd") - F.col("d") * mean).alias("score"), F.sum(F.col("d") * (F.col("s2") / F.col("s0") - mean * mean)).alias("information"))
+
+
 def best_cut(value: np.ndarray, tte: np.ndarray, dead: np.ndarray, perms: int = 1000, seed: int = 42, tails: float = 0.1) -> tuple[float, float, float]:
     """(cut, statistic, p): the cut of greatest standardised log-rank score, judged against shuffled values."""
     order = np.argsort(tte, kind="stable")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions.columns import adjust, bh, cap_text, round6
-from ..operators import consensus, correlate, counts, enrich, graph, gwas, intervals, markers, neighbours, survival, traits
+from ..operators import consensus, correlate, counts, enrich, graph, gwas, intervals, markers, neighbours, survival, traits, wald
 from . import views
 from .views import sql, table
 
@@ -407,6 +407,17 @@ def _(s, d):
     return got.select("gene", "n_bg", "k_hits")
 
 
+@query("en_gene_exposures", sql(BASAL + """, h AS (SELECT b.gene, count(*) AS n, count(*) FILTER (WHERE a.experiment % 4 = 0) AS k FROM peaks a JOIN basal b ON a.chrom = b.chrom AND b.start < a.summit + 1 AND a.summit < b."end" GROUP BY 1),
+q AS (SELECT count(*) FILTER (WHERE experiment % 4 = 0) AS k, count(*) AS n FROM peaks), s AS (SELECT sum(length) AS g FROM chrom_sizes)
+SELECT gene, coalesce(h.k, 0) AS hits, round(h.n * q.k / q.n, 6) AS expected, round(greatest((b."end" - b.start) / g, 1 / g) * q.k, 6) AS by_length FROM basal b LEFT JOIN h USING (gene), q, s""", "peaks", "genes", "chrom_sizes"))
+def _(s, d):
+    p = enrich.summits(views.peaks(s, d))
+    dom = intervals.basal_domains(views.genes(s, d)).select("gene", "chrom", "start", "end")
+    sets = enrich.GeneSetEnricher(views.genes(s, d).select("term", F.col("term").alias("name"), "gene"), dom, views.chrom_sizes(s, d))
+    beside, alone = sets.exposures(p.filter("experiment % 4 = 0"), p).select("gene", "expected"), sets.exposures(p.filter("experiment % 4 = 0")).withColumnRenamed("expected", "by_length")
+    return alone.join(beside, "gene", "left").select("gene", "hits", round6(F.col("expected")).alias("expected"), round6(F.col("by_length")).alias("by_length"))
+
+
 @query("en_gene_sets")
 def _(s, d):
     p = enrich.summits(views.peaks(s, d))
@@ -431,6 +442,13 @@ def _(s, d):
     return enrich.cohort_threshold(sig, 2000, reps=10)
 
 
+@query("ct_wald")
+def _(s, d):
+    c = views.counts(s, d)
+    sf = counts.top_size_factors(c).join(views.tissues(s, d), "sample")
+    return wald.wald(c, sf.select("sample", "sf", (F.col("label") % 2 == 1).alias("treated")))
+
+
 # --- counts --------------------------------------------------------------------------------------------
 
 
@@ -706,6 +724,16 @@ def _(s, d):
     return survival.cox_univariate(v, t)
 
 
+@query("sv_cox_terms", sql(TTE.replace("SELECT cohort", "SELECT patient AS sample, cohort") + """, v AS (SELECT l_linenumber AS feature, l_orderkey AS sample, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2),
+e AS (SELECT feature, tte, count(*) FILTER (WHERE dead) AS d, coalesce(sum(v) FILTER (WHERE dead), 0) AS vd, sum(exp(0.02 * v)) AS w0, sum(v * exp(0.02 * v)) AS w1, sum(v * v * exp(0.02 * v)) AS w2 FROM v JOIN t USING (sample) GROUP BY 1, 2),
+c AS (SELECT feature, d, vd, sum(w0) OVER w AS s0, sum(w1) OVER w AS s1, sum(w2) OVER w AS s2 FROM e WINDOW w AS (PARTITION BY feature ORDER BY tte DESC))
+SELECT feature, round(sum(vd - d * s1 / s0), 3) AS score, round(sum(d * (s2 / s0 - (s1 / s0) * (s1 / s0))), 3) AS information FROM c GROUP BY 1""", "follow_up"))
+def _(s, d):
+    t = _times(s, d).select(F.col("patient").alias("sample"), "tte", "dead")
+    v = table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("feature"), F.col("l_orderkey").alias("sample")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    return survival.cox_terms(v, t, 0.02).select("feature", (F.round("score", 3) + 0.0).alias("score"), (F.round("information", 3) + 0.0).alias("information"))
+
+
 # --- association statistics ------------------------------------------------------------------------------
 
 GOOD = "(A1 || A2) IN ('AC','AG','CA','CT','GA','GT','TC','TG')"
@@ -802,6 +830,15 @@ def _(s, d):
     return gwas.snp_annotation(st, views.genes(s, d)).select("row", "annot")
 
 
+@query("gw_heritability_round", sql(""", o AS (SELECT *, "N_CAS" + "N_CON" AS n, row_number() OVER (ORDER BY "CHR", "BP") - 1 AS i, count(*) OVER () AS c FROM sumstats),
+b AS (SELECT *, CAST(((i + 1) * 20 - 1) // c AS INTEGER) AS block, 1 / (2 * (1.1 + 0.4 / 1000 * n * greatest(ld, 1)) ** 2) / greatest(ld, 1) * 1e6 AS w FROM o)
+SELECT block, count(*) AS n, round(sum(w * ld * ld), 4) AS xx_0_0, round(sum(w * ld), 4) AS xx_0_1, round(sum(w), 4) AS xx_1_1, round(sum(w * ld * "Z" * "Z"), 4) AS xy_0, round(sum(w * "Z" * "Z"), 4) AS xy_1 FROM b GROUP BY block""", "sumstats"))
+def _(s, d):
+    b = gwas.with_blocks(views.sumstats(s, d), ["CHR", "BP"], 20).withColumns({"N": F.col("N_CAS") + F.col("N_CON"), "w_ld": F.col("ld"), "chi2": F.col("Z") * F.col("Z"), "one": F.lit(1.0)})
+    got = gwas.block_sums(b, "chi2", ["ld", "one"], gwas._h2_weight(0.4, 1.1, 1000.0) * 1e6)
+    return got.select("block", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in got.columns if c[0] == "x"])
+
+
 TRAITS = """, f AS (SELECT 'r' || row AS "SNP", row, "CHR", "BP", "Z", "N_CAS" + "N_CON" AS "N", ld FROM sumstats WHERE "A1" <> "A2" AND ("A1" || "A2") NOT IN ('AT', 'TA', 'CG', 'GC')),
 o AS (SELECT 't' || t AS trait, f.*, ((row * (17 + 4 * t)) % 401 - 200) / 100.0::DOUBLE AS z2, "N" + 100 * t AS n2 FROM f, range(4) r(t) WHERE t < 3 OR row % 50 = 0),
 i AS (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY "CHR", "BP", "SNP") AS i, count(*) OVER (PARTITION BY trait) AS c FROM o),
