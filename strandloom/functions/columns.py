@@ -101,9 +101,10 @@ CORRECTIONS: dict[str, tuple[Callable[[Column, Column, Column, Column], Column],
 Correction = str | Callable[[Column, Column, Column, Column], Column]
 
 
-def adjust(df: DataFrame, p: str, q: str | dict[str, Correction] = "q", by: list[str] | None = None, method: Correction = "bh") -> DataFrame:
+def adjust(df: DataFrame, p: str, q: str | dict[str, Correction] = "q", by: list[str] | None = None, method: Correction = "bh", tests: int | None = None) -> DataFrame:
     """df with p-values corrected for their number, by key; at most 1. q: the new column, or several and the method of each.
 
+    tests: how many there are for each key, if those of p = 1 are not all listed.
     method: a name in CORRECTIONS, or a function of (p, rank of the last of its ties, of the first, m) whose values are then
     stepped up (the least among equal or larger p). Null and NaN p-values aren't counted and get null.
     Only distinct p-values are ordered, in ranges of their values, so neither ties nor their number meet in one task.
@@ -113,7 +114,7 @@ def adjust(df: DataFrame, p: str, q: str | dict[str, Correction] = "q", by: list
     if unknown:
         raise ValueError(f"method has to be one of {', '.join(CORRECTIONS)}, or a function")
     counts = df.filter(F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
-    m = counts.groupBy(*by).agg(F.sum("_n").alias("_m"))
+    m = counts.groupBy(*by).agg(F.greatest(F.sum("_n"), F.lit(tests or 0)).alias("_m"))
     counts = ordered.join_on(counts, m, by) if by else counts.join(F.broadcast(m))  # one row
     counts = ordered.running_sum(counts, p, "_n", "_last", by)
     for name, how in wanted.items():

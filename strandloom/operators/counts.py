@@ -271,6 +271,27 @@ def differential(values: DataFrame, labels: DataFrame, counts: DataFrame, altern
     return out.withColumns({"upreg": up, "downreg": down}).orderBy("label", F.desc("upreg"), "p", F.desc("lfc"), "feature")
 
 
+def regulated(tested: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of differential(): the features of each label that are up, and those that are down, each in its order of merit."""
+    keep = columns or [c for c in tested.columns if c not in ("upreg", "downreg")]
+    up = tested.filter("upreg").select(*keep).orderBy("label", "p", F.desc("lfc"), "feature")
+    return up, tested.filter("downreg").select(*keep).orderBy("label", "p", "lfc", "feature")
+
+
+def percent_mapped(counts: DataFrame, libraries: DataFrame) -> DataFrame:
+    """counts, libraries (sample, reads) -> sample, percent: of the sample's reads, those in features. Samples without a count have 0; without reads, null."""
+    own = counts.groupBy("sample").agg(F.sum("cnt").alias("_in"))
+    return libraries.join(own, "sample", "left").select("sample", (F.coalesce("_in", F.lit(0)) * 100.0 / F.nullif(F.col("reads"), F.lit(0))).alias("percent"))
+
+
+def label_log_ratio(profile: DataFrame, clusters: DataFrame) -> DataFrame:
+    """profile (feature, label, x), clusters (feature, cluster) -> cluster, label, ln of the mean x over the mean of the other labels' means."""
+    mean = profile.join(clusters, "feature").groupBy("cluster", "label").agg(F.avg("x").alias("m"))
+    own = Window.partitionBy("cluster")
+    others = (F.sum("m").over(own) - F.col("m")) / F.nullif(F.count("m").over(own) - 1, F.lit(0))
+    return mean.withColumn("_o", others).select("cluster", "label", F.ln(F.col("m") / F.nullif(F.col("_o"), F.lit(0.0))).alias("log_ratio"))
+
+
 def unique_markers(markers: DataFrame) -> DataFrame:
     """Markers (label, feature) of one label only."""
     once = markers.groupBy("feature").agg(F.count_distinct("label").alias("_n")).filter("_n = 1").select("feature")

@@ -104,7 +104,31 @@ def top_per_annotation(presence: DataFrame, annotation: DataFrame, alpha: float
     total = rows.count()
     out = k.join(n, "consensus").join(F.broadcast(drawn), "label").withColumn("total", F.lit(total).cast("long"))
     out = out.withColumn("fc", (F.col("k") / F.col("n")) / (F.col("drawn") / F.col("total")))
-    out = fc.adjust(out.withColumn("p", fc.hypergeom_p(F.col("k"), F.col("total"), F.col("n"), F.col("drawn"))), "p", by=["label"], method=method)
+    out = fc.adjust(out.withColumn("p", fc.hypergeom_p(F.col("k"), F.col("total"), F.col("n"), F.col("drawn"))), "p", by=["label"], method=method, tests=n.count())
+    return out.withColumn("significant", (F.col("q") < alpha) & (F.col("k") >= 2))
+
+
+def top_by_signal(values: DataFrame, annotation: DataFrame, alpha: float = 0.05, method: str = "bh") -> DataFrame:
+    """As top_per_annotation(), of values > 0 (consensus, experiment, value; absent: 0): a one-sided rank test of a label's experiments against all others.
+
+    Ranks are those within a consensus. Experiments without a value all share the ranks below, so they are counted and not
+    listed. All pairs of a consensus and a label are tested. Returns consensus, label, k (of the label's experiments with a
+    value), u, p, q, significant.
+    """
+    experiments = annotation.select("experiment", "label").dropDuplicates(["experiment"]).filter("label is not null")
+    sizes, total = experiments.groupBy("label").agg(F.count(F.lit(1)).alias("n1")), experiments.count()
+    rows = values.filter("value > 0").groupBy("consensus", "experiment").agg(F.max("value").alias("value")).join(experiments, "experiment")
+    ranked = fc.average_rank(rows, "value", ["consensus"])
+    ties = rows.groupBy("consensus", "value").agg(F.count(F.lit(1)).alias("_t")).groupBy("consensus").agg(F.sum(F.col("_t") ** 3 - F.col("_t")).alias("tie"), F.sum("_t").alias("full"))
+    own = ranked.groupBy("consensus", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("rank").alias("r"))
+    grid = ties.join(sizes).join(own, ["consensus", "label"], "left").fillna(0, ["k", "r"])  # a row per label of each consensus
+    empty, n = F.lit(total) - F.col("full"), F.lit(float(total))
+    ranks = F.col("r") + F.col("k") * empty + (F.col("n1") - F.col("k")) * (empty + 1) / 2
+    u = ranks - F.col("n1") * (F.col("n1") + 1) / 2
+    both = F.col("n1") * (n - F.col("n1"))
+    sd = F.sqrt(both / 12 * ((n + 1) - (F.col("tie") + empty * empty * empty - empty) / (n * (n - 1))))
+    out = grid.withColumns({"u": u, "p": F.when((both > 0) & (sd > 0), fc.norm_p((u - both / 2 - 0.5) / sd)).otherwise(1.0)})
+    out = fc.adjust(out.select("consensus", "label", "k", "u", "p"), "p", by=["label"], method=method)
     return out.withColumn("significant", (F.col("q") < alpha) & (F.col("k") >= 2))
 
 

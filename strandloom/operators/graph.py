@@ -124,13 +124,69 @@ def local_moving(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, resolu
     return rank[labels], float(quality)
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, restarts: int = 1) -> DataFrame:
+def coarsened(edges: DataFrame, resolution: float, most: int, seed: int = 0, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """edges (src, dst, w), each undirected -> (id, node) and the edges between these nodes, at most `most` of them if they can be merged so far.
+
+    Local moving as rounds of joins: nodes learn the weight to each neighbouring community and the communities' sums of
+    degrees, and a hashed half of them moves to the best one at a time, so that neighbours don't change places for ever. When hardly any
+    node moves, communities become nodes (inner weights stay as loops), until few enough edges are left or nothing is merged.
+    """
+    spark = edges.sparkSession
+    edges, path = session.stored(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    total = 2 * (edges.agg(F.sum("w")).first()[0] or 0.0)
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    members, members_path = session.stored(ids.select("id", F.col("id").alias("node")))
+    while total and edges.count() > most:
+        ends = edges.filter("src <> dst")
+        both, both_path = session.stored(ends.select("src", "dst", "w").unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+        degree = edges.select(F.col("src").alias("id"), "w").unionByName(edges.select(F.col("dst").alias("id"), "w")).groupBy("id").agg(F.sum("w").alias("k"))
+        state, state_path = session.stored(degree.withColumn("com", F.col("id")))
+        nodes = state.count()
+        for turn in range(rounds):
+            sums = state.groupBy("com").agg(F.sum("k").alias("sum"), F.count(F.lit(1)).alias("size"))
+            near = both.join(state.select(F.col("id").alias("dst"), "com"), "dst").groupBy(F.col("src").alias("id"), "com").agg(F.sum("w").alias("w"))
+            own = state.select("id", "k", F.col("com").alias("now"))
+            near = near.unionByName(state.select("id", "com", F.lit(0.0).alias("w"))).groupBy("id", "com").agg(F.sum("w").alias("w"))  # one's own, if nothing leads there
+            told = near.join(own, "id").join(sums, "com")
+            rest = F.col("sum") - F.when(F.col("com") == F.col("now"), F.col("k")).otherwise(0.0)
+            told = told.withColumn("gain", F.col("w") - resolution * F.col("k") * rest / total)
+            best = told.groupBy("id").agg(F.max_by(F.struct("com", "size"), F.struct("gain", "com")).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("com") == F.col("now"), F.col("gain"))).alias("stay"), F.max(F.when(F.col("com") == F.col("now"), F.col("size"))).alias("alone"), F.first("k").alias("k"), F.first("now").alias("now"))
+            # of two single nodes only the one with the larger name joins the other
+            moves = (F.col("gain") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("id", F.lit(turn), F.lit(seed)), F.lit(2)) == 0) & ~((F.col("alone") == 1) & (F.col("to.size") == 1) & (F.col("to.com") > F.col("now")))
+            last = state_path
+            state, state_path = session.stored(best.select("id", "k", F.when(moves, F.col("to.com")).otherwise(F.col("now")).alias("com"), moves.alias("moved")))
+            session.discard(spark, last)
+            moved = state.filter("moved").count()
+            state = state.drop("moved")
+            if moved <= nodes // 500 and turn % 2:
+                break
+        if state.select("com").distinct().count() == nodes:
+            session.discard(spark, both_path)
+            break
+        name = state.select("id", "com")
+        old = (path, members_path, state_path, both_path)
+        joined = edges.join(name.select(F.col("id").alias("src"), F.col("com").alias("a")), "src").join(name.select(F.col("id").alias("dst"), F.col("com").alias("b")), "dst")
+        edges, path = session.stored(joined.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("w")))
+        members, members_path = session.stored(members.join(name.withColumnsRenamed({"id": "node", "com": "to"}), "node").select("id", F.col("to").alias("node")))
+        for x in old:
+            session.discard(spark, x)
+    return members, edges
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, restarts: int = 1, most: int = 1 << 22) -> DataFrame:
     """edges (src, dst, weight) -> (id, cluster), largest first. The best of `restarts` seeds, which run in parallel.
 
-    A restart holds the whole graph as arrays, 24 bytes an edge.
+    A restart holds a graph as arrays, 24 bytes an edge. A graph of more than `most` edges is merged in Spark first, and its
+    communities are those of the merged nodes.
     """
+    members = None
+    plain = edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
+    if plain.limit(most + 1).count() > most:
+        members, plain = coarsened(plain, resolution, most)
+        if plain.count() > 4 * most:
+            raise ValueError("the graph can't be merged to a size that one task can hold; raise `most`")
     kind = dict(edges.dtypes)["src"]
-    rows = edges.select("src", "dst", F.col("weight").cast("double").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("seed"))
+    rows = plain.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
@@ -140,7 +196,22 @@ def communities(edges: DataFrame, resolution: float = 1.0, restarts: int = 1) ->
 
     out = rows.groupBy("seed").applyInPandas(run, f"id {kind}, cluster int, quality double, seed int")
     best = out.groupBy().agg(F.max(F.struct("quality", (-F.col("seed")).alias("s"))).alias("b")).select((-F.col("b.s")).alias("seed"))
-    return out.join(F.broadcast(best), "seed", "left_semi").select("id", "cluster")
+    out = out.join(F.broadcast(best), "seed", "left_semi").select("id", "cluster")
+    if members is None:
+        return out
+    out = members.join(out.withColumnRenamed("id", "node"), "node").select("id", "cluster")
+    size = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    size = size.withColumn("new", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")) - 1)  # a row per cluster
+    return out.join(size.select("cluster", "new"), "cluster").select("id", F.col("new").cast("int").alias("cluster"))
+
+
+def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """Of edges (src, dst, weight), undirected, and labels (id, cluster): the inner share of the weight less that expected by degrees."""
+    e = edges.join(labels.select(F.col("id").alias("src"), F.col("cluster").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("cluster").alias("b")), "dst")
+    inner = e.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0)).alias("inner"), F.sum("weight").alias("m"))
+    sums = e.select(F.col("a").alias("c"), "weight").unionByName(e.select(F.col("b").alias("c"), "weight")).groupBy("c").agg(F.sum("weight").alias("k"))
+    squares = sums.agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("kk"))
+    return inner.join(F.broadcast(squares)).select((F.col("inner") / F.col("m") - resolution * F.col("kk") / (4.0 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
 def cluster(vectors: DataFrame, metric: str = "euclidean", k: int | str = "auto", resolution: float = 1.0, shared: bool = True, restarts: int = 1, approx: bool = False) -> DataFrame:

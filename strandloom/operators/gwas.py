@@ -435,6 +435,36 @@ def keep_snps(genotypes: DataFrame, maf_min: float = 0.0) -> DataFrame:
     return genotypes.withColumn("maf", maf(F.col("genotypes"))).filter(F.col("maf") > maf_min)
 
 
+def restrict(genotypes: DataFrame, snps: DataFrame | None = None, people: list[int] | None = None) -> DataFrame:
+    """Only the listed SNPs (SNP), and only the listed individuals' places in the genotypes, in this order."""
+    out = genotypes if snps is None else genotypes.join(snps.select("SNP").distinct(), "SNP", "left_semi")
+    if people is None:
+        return out
+    return out.withColumn("genotypes", F.transform(F.array(*[F.lit(i) for i in people]).cast("array<int>"), lambda i: F.get("genotypes", i)))
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, mean, std, min, the quartiles and max of each column, in one pass; nulls are left out."""
+    stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "q25": lambda c: F.percentile(c, F.lit(0.25)), "q50": lambda c: F.percentile(c, F.lit(0.5)), "q75": lambda c: F.percentile(c, F.lit(0.75)), "max": F.max}
+    row = df.agg(*[F.struct(*[f(F.col(c).cast("double")).alias(k) for k, f in stats.items()]).alias(f"_{i}") for i, c in enumerate(columns)])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"_{i}.{k}").alias(k) for k in stats]) for i, c in enumerate(columns)])
+    return row.select(F.explode(each).alias("x")).select("x.*")
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) of every two columns, both orders and each with itself, from one aggregation; null where a column doesn't vary."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = df.agg(*[F.corr(columns[i], columns[j]).alias(f"_{i}_{j}") for i, j in pairs])
+    each = [(i, j, k) for i, j in pairs for k in ({(i, j), (j, i)})]
+    return row.select(F.explode(F.array(*[F.struct(F.lit(columns[a]).alias("a"), F.lit(columns[b]).alias("b"), F.col(f"_{i}_{j}").alias("r")) for i, j, (a, b) in each])).alias("x")).select("x.*")
+
+
+def condition_number(df: DataFrame, columns: list[str]) -> float:
+    """Of the matrix of these columns, from their sums of products."""
+    s = np.linalg.svd(overlap_matrix(df, columns), compute_uv=False)
+    return math.sqrt(s[0] / s[-1]) if s[-1] > 0 else math.inf
+
+
 def ld_scores(genotypes: DataFrame, window: float, coordinate: str = "BP", annotations: list[str] | None = None, per_allele: float | None = None, block: float | None = None) -> DataFrame:
     """genotypes (CHR, SNP, BP, coordinate, genotypes, annotations) -> SNP, L2 per annotation: sums of unbiased r^2 within the window.
 

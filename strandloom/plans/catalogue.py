@@ -346,6 +346,15 @@ def _(s, d):
     return got.select("consensus", "label", "k", "n", round6(F.col("fc")).alias("fc"), round6(F.col("p")).alias("p"))
 
 
+@query("en_top_by_signal", sql(""", x AS (SELECT feature % 50 AS consensus, sample, max(cnt) AS v FROM counts WHERE cnt > 20 GROUP BY 1, 2), g AS (SELECT c.consensus, t.sample, t.label, coalesce(v, 0) AS v FROM (SELECT DISTINCT consensus FROM x) c CROSS JOIN tissues t LEFT JOIN x ON x.consensus = c.consensus AND x.sample = t.sample),
+r AS (SELECT *, rank() OVER (PARTITION BY consensus ORDER BY v) + (count(*) OVER (PARTITION BY consensus, v) - 1) / 2.0 AS r FROM g)
+SELECT a.consensus, l.label, count(*) FILTER (WHERE a.label = l.label AND v > 0) AS k, round(sum(r) FILTER (WHERE a.label = l.label) - count(*) FILTER (WHERE a.label = l.label) * (count(*) FILTER (WHERE a.label = l.label) + 1) / 2.0, 6)::DOUBLE AS u
+FROM r a CROSS JOIN (SELECT DISTINCT label FROM tissues) l GROUP BY 1, 2""", "counts", "tissues"))
+def _(s, d):
+    x = views.counts(s, d).filter("cnt > 20").select((F.col("feature") % 50).alias("consensus"), F.col("sample").alias("experiment"), F.col("cnt").alias("value"))
+    return enrich.top_by_signal(x, views.tissues(s, d).withColumnRenamed("sample", "experiment")).select("consensus", "label", "k", round6(F.col("u")).alias("u"))
+
+
 @query("en_binom_two_sided", sql(HITS + """, c AS (SELECT name, count(*) FILTER (WHERE experiment < 20) AS k, count(*) AS n, (SELECT count(*) FILTER (WHERE experiment < 20) / count(*) FROM peaks) AS p FROM hits GROUP BY name),
 u AS (SELECT *, CASE WHEN p >= 1 THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(p) + (n - x) * ln(1 - p))) FROM range(k, n + 1) t(x)) END AS sf FROM c)
 SELECT name, k, n, round(2 * least(sf, 1 - sf), 6) AS p_value FROM u""", "peaks", "catalog"))
@@ -442,6 +451,21 @@ def _(s, d):
     return enrich.cohort_threshold(sig, 2000, reps=10)
 
 
+@query("ct_percent_mapped", sql("SELECT sample, round(sum(cnt) FILTER (WHERE feature % 3 = 0) * 100.0 / sum(cnt), 6) AS percent FROM counts GROUP BY 1", "counts"))
+def _(s, d):
+    c = views.counts(s, d)
+    got = counts.percent_mapped(c.filter("feature % 3 = 0"), c.groupBy("sample").agg(F.sum("cnt").alias("reads")))
+    return got.select("sample", round6(F.col("percent")).alias("percent"))
+
+
+@query("ct_label_log_ratio", sql(""", m AS (SELECT feature % 4 AS cluster, label, avg(cnt) AS m FROM counts JOIN tissues USING (sample) GROUP BY 1, 2), o AS (SELECT *, (sum(m) OVER w - m) / (count(*) OVER w - 1) AS o FROM m WINDOW w AS (PARTITION BY cluster))
+SELECT cluster, label, round(ln(m / o), 6) AS log_ratio FROM o""", "counts", "tissues"))
+def _(s, d):
+    x = views.counts(s, d).join(views.tissues(s, d), "sample")
+    got = counts.label_log_ratio(x.select("feature", "label", F.col("cnt").alias("x")), x.select("feature", (F.col("feature") % 4).alias("cluster")).distinct())
+    return got.select("cluster", "label", round6(F.col("log_ratio")).alias("log_ratio"))
+
+
 @query("ct_wald")
 def _(s, d):
     c = views.counts(s, d)
@@ -636,6 +660,13 @@ def _(s, d):
     return got.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.abs(far - F.col("distance")) < 1e-6) & (F.col("src") != F.col("dst"))).alias("exact_distances"))
 
 
+@query("gr_modularity", sql(KNN + """, m AS (SELECT count(*) AS m, count(*) FILTER (WHERE la = lb) AS own FROM nn), k AS (SELECT sum(k * k) AS kk FROM (SELECT c, count(*) AS k FROM (SELECT la AS c FROM nn UNION ALL SELECT lb FROM nn) GROUP BY c))
+SELECT round(own / m - kk / (4.0 * m * m), 6) AS modularity FROM m, k""", "vectors"))
+def _(s, d):
+    v = views.vectors(s, d)
+    return graph.modularity(graph.knn(v, 10).select("src", "dst", F.lit(1).alias("weight")), v.select("id", F.col("label").alias("cluster"))).select(round6(F.col("modularity")).alias("modularity"))
+
+
 @query("gr_snn_weights", sql(KNN + ", l AS (SELECT src, list(dst) AS nn FROM nn GROUP BY src) SELECT n.src, n.dst, CAST(len(list_intersect(a.nn, b.nn)) AS INTEGER) AS weight FROM nn n JOIN l a ON a.src = n.src JOIN l b ON b.src = n.dst", "vectors"))
 def _(s, d):
     return graph.snn(graph.knn(views.vectors(s, d), 10))
@@ -856,6 +887,14 @@ def _traits(s, d):
     return f.select("SNP", "Z", "N", "A1", "A2"), others, f.select("SNP", "CHR", "BP", "ld", F.col("ld").alias("w_ld"))
 
 
+@query("gw_described", sql("""SELECT 'ld' AS "column", round(avg(ld), 6) AS mean, round(stddev_samp(ld), 6) AS std, min(ld) AS low, round(quantile_cont(ld, 0.25), 6) AS q25, round(corr(ld, annot), 6) AS r FROM sumstats
+UNION ALL SELECT 'annot', round(avg(annot), 6), round(stddev_samp(annot), 6), min(annot), round(quantile_cont(annot, 0.25), 6), round(corr(annot, ld), 6) FROM sumstats""", "sumstats"))
+def _(s, d):
+    x = views.sumstats(s, d)
+    r = gwas.correlations(x, ["ld", "annot"]).filter("a <> b").select(F.col("a").alias("column"), round6(F.col("r")).alias("r"))
+    return gwas.described(x, ["ld", "annot"]).join(r, "column").select("column", round6(F.col("mean")).alias("mean"), round6(F.col("std")).alias("std"), F.col("min").alias("low"), round6(F.col("q25")).alias("q25"), "r")
+
+
 @query("gw_trait_block_sums", sql(TRAITS + """SELECT trait, block, count(*) AS n, round(sum(x * x) / 1e6, 3) AS xx, round(sum(x) / 1e3, 3) AS x, round(sum(x * "Z" * z2) / 1e3, 3) AS xy, round(sum("Z" * z2), 3) AS y, round(sum("N" * ld * "Z" * "Z") / 1e3, 3) AS xy_first FROM b GROUP BY ALL""", "sumstats"))
 def _(s, d):
     sums = traits.block_sums(traits.with_blocks(traits.paired(*_traits(s, d)), 20), ["ld"])

@@ -126,6 +126,40 @@ def saf(regions: DataFrame, offset: int = -1) -> DataFrame:
     return both.select(F.col("id").cast("string").alias("GeneID"), chrom_alias(F.col("chrom")).alias("Chr"), F.col("start").alias("Start"), (F.col("end") + offset).alias("End"), "Strand")
 
 
+def gtf(regions: DataFrame, source: str = "consensus", biotype: str = "protein_coding") -> DataFrame:
+    """line: an exon of each region (id from 0, chrom, start, end) on the forward, then on the reverse strand, numbered on; 1-based, chromosomes as in gene annotations."""
+    n = regions.count()
+    both = regions.withColumn("_s", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_k", F.col("id") + F.col("_s") * n)
+    name = F.when(F.col("chrom") == "chrM", "MT").when(F.col("chrom").contains("_"), chrom_alias(F.col("chrom"))).otherwise(F.regexp_replace("chrom", "^chr", ""))
+    key = F.col("_k").cast("string")
+    more = F.concat(F.lit(f'gene_biotype "{biotype}"; gene_id "'), key, F.lit('"; transcript_id "'), key, F.lit('"; gene_name "'), key, F.lit('";'))
+    cells = [name, F.lit(source), F.lit("exon"), (F.col("start") + 1).cast("string"), F.col("end").cast("string"), F.lit("."), F.when(F.col("_s") == 0, "+").otherwise("-"), F.lit("."), more]
+    return both.select("_k", F.concat_ws("\t", *cells).alias("line"))
+
+
+def write_lines(lines: DataFrame, path: str, order: str) -> None:
+    """The column `line` as text, in ascending order over the files' names."""
+    lines.repartitionByRange(order).sortWithinPartitions(order).select("line").write.mode("overwrite").text(path)
+
+
+def write_consensus(consensus: DataFrame, presence: DataFrame, peaks: DataFrame, chrom_sizes: DataFrame, path: str) -> None:
+    """consensuses.bed, matrix.mtx (consensus by dataset), datasets.txt (the columns' names) and dataset_stats.txt under path.
+
+    consensus and presence as ConsensusBuilder.build() gives them; datasets are numbered in the order of their names.
+    """
+    columns = ["chrom", "start", "end", "id", "n_peaks", "strand", "center", "center_end"]
+    write_lines(consensus.select("id", F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("line")), f"{path}/consensuses.bed", "id")
+    placed = dense_rank_of(presence, "experiment", "col")
+    names = placed.select("col", F.col("experiment").cast("string").alias("line")).distinct()
+    write_lines(names, f"{path}/datasets.txt", "col")
+    sets, regions = names.count(), consensus.count()
+    write_matrix(placed.select(F.col("id").alias("row"), "col", "value"), f"{path}/matrix.mtx", regions, sets)
+    size = peaks.agg(F.avg(F.col("end") - F.col("start")).alias("size"), F.count(F.lit(1)).alias("n")).first()
+    genome = chrom_sizes.agg(F.sum("length")).first()[0]
+    told = [("Average peak size", size["size"]), ("Number of Peaks", size["n"]), ("Number of consensus peaks", regions), ("Number of experiments", sets), ("Genome size", genome)]
+    write_lines(consensus.sparkSession.createDataFrame([(i, f"{k}\t{v}") for i, (k, v) in enumerate(told)], "i int, line string"), f"{path}/dataset_stats.txt", "i")
+
+
 def chrom_alias(chrom: Column) -> Column:
     """chr1_KI270706v1_random -> KI270706.1; other names unchanged."""
     part = F.get(F.split(chrom, "_"), F.lit(1))

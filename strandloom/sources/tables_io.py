@@ -190,6 +190,23 @@ def read_genotypes(spark: SparkSession, path: str, people: int, lot: int = 4096)
     return spark.range(0, lots, 1, tasks).mapInPandas(decode, "snp_idx long, genotypes array<int>")
 
 
+def write_table(df: DataFrame, path: str, order: list[str], sep: str = "\t", compression: str = "none") -> None:
+    """A text table with a header in each file, in ascending order over the files' names; nulls are NA."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").csv(path, sep=sep, header=True, nullValue="NA", compression=compression)
+
+
+def write_ld_scores(scores: DataFrame, annot: DataFrame, names: list[str], prefix: str, frequency: str = "maf") -> None:
+    """prefix.l2.ldscore (CHR, SNP, BP, scores; gzip), .l2.M and .l2.M_5_50 (a number per annotation), .annot (CHR, BP, SNP, CM and the annotations)."""
+    from ..operators.gwas import m_counts
+
+    write_table(scores.select("CHR", "SNP", "BP", *names), f"{prefix}.l2.ldscore", ["CHR", "BP", "SNP"], compression="gzip")
+    row = m_counts(annot, names, frequency).first()
+    for suffix, key in (("M", "m_"), ("M_5_50", "m_5_50_")):
+        line = "\t".join(str(row[key + n]) for n in names)
+        scores.sparkSession.createDataFrame([(line,)], "line string").coalesce(1).write.mode("overwrite").text(f"{prefix}.l2.{suffix}")
+    write_table(annot.select("CHR", "BP", "SNP", "CM", *names), f"{prefix}.annot", ["CHR", "BP", "SNP"], compression="gzip")
+
+
 def save_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Named results as Parquet folders."""
     for name, df in tables.items():
