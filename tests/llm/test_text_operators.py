@@ -313,6 +313,18 @@ def test_byte_bpe(docs, rows, nothing, bpe):
     assert bpe.encode_documents(nothing).count() == 0
 
 
+def test_byte_bpe_of_very_long_words(spark, bpe):
+    """Words beyond the fold: equal to the library's, within seconds for 100,000 letters."""
+    import tiktoken
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("abethinrsé") for _ in range(n)) for n in (300, 511, 512, 513, 3000, 100_000)] + ["a" * 2000, "=" * 5000 + " x"]
+    library = tiktoken.Encoding("own", pat_str=bpe.pattern, mergeable_ranks=bpe.ranks, special_tokens={})
+    got = {x.doc_id: x for x in bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == library.encode_ordinary(t) and got[i].decoded.decode() == t
+
+
 def test_byte_bpe_columns(spark, bpe):
     tiktoken = pytest.importorskip("tiktoken")
     enc = tiktoken.Encoding("own", pat_str=bpe.pattern, mergeable_ranks=bpe.ranks, special_tokens={})
