@@ -39,32 +39,45 @@ def median_ratio_factors(counts: DataFrame, samples: int | None = None) -> DataF
     return counts.join(full, "feature").groupBy("sample").agg(F.median(F.col("cnt") / F.exp("mean_log")).alias("sf"))
 
 
+def _ring_solution(pooled: np.ndarray, own: np.ndarray, size: int, weak: float = 1e-3) -> np.ndarray:
+    """x whose sums over `size` neighbours of a ring come nearest to pooled, and x itself, with little weight, to own.
+
+    Every pool is the last one turned by a place, so the equations' matrix is diagonal under a Fourier transform: n log n steps.
+    """
+    n = len(pooled)
+    first = np.zeros(n)
+    first[:size] = 1
+    turn = np.conj(np.fft.fft(first))  # of the matrix whose row p has ones at p, p + 1, ...
+    return np.fft.ifft((np.conj(turn) * np.fft.fft(pooled) + weak**2 * np.fft.fft(own)) / (np.abs(turn) ** 2 + weak**2)).real
+
+
 def pooled_factors(counts: DataFrame, pool: int = 20) -> DataFrame:
     """Size factors deconvolved from pools of samples in a ring of library sizes (scran's scheme), scaled to mean one.
 
-    Sums by pool are taken in Spark; the driver solves one equation per pool, as many as there are samples.
+    A pool's factor is the median over features (of a mean count above 0.1) of its sum over the mean; features absent from a
+    pool have ratio 0, and are counted rather than listed. Two numbers per sample come to the driver.
     """
+    spark = counts.sparkSession
     lib = counts.groupBy("sample").agg(F.sum("cnt").alias("lib")).orderBy("lib", "sample").toPandas()
     n = len(lib)
     if n < 3:
-        return counts.sparkSession.createDataFrame(lib.assign(sf=lib["lib"] / lib["lib"].mean())[["sample", "sf"]])
-    ring = list(lib["sample"][::2]) + list(lib["sample"][1::2][::-1])
+        return spark.createDataFrame(lib.assign(sf=lib["lib"] / lib["lib"].mean())[["sample", "sf"]])
+    ring = pd.concat([lib.iloc[::2], lib.iloc[1::2][::-1]], ignore_index=True)
     size = min(pool, n)
-    rows = [(s, p) for p in range(n) for s in (ring[(p + j) % n] for j in range(size))]
-    pools = counts.sparkSession.createDataFrame(rows, ["sample", "pool"])
+    place = spark.createDataFrame(pd.DataFrame({"sample": ring["sample"], "at": np.arange(n)}))
     mean = counts.groupBy("feature").agg((F.sum("cnt") / n).alias("mean")).filter("mean > 0.1")
-    sums = counts.join(F.broadcast(pools), "sample").groupBy("pool", "feature").agg(F.sum("cnt").alias("s"))
-    # Features absent from a pool have ratio 0 and count in its median.
-    grid = mean.join(F.broadcast(pools.select("pool").distinct())).join(sums, ["pool", "feature"], "left").fillna(0, ["s"])
-    ratio = grid.groupBy("pool").agg(F.median(F.col("s") / F.col("mean")).alias("r")).orderBy("pool").toPandas()
-    at = {s: i for i, s in enumerate(lib["sample"])}
-    a = np.zeros((n, n))
-    for s, p in rows:
-        a[p, at[s]] = 1
-    weak = 1e-3
-    sf = np.linalg.lstsq(np.vstack([a, weak * np.eye(n)]), np.concatenate([ratio["r"], weak * lib["lib"] / lib["lib"].mean()]), rcond=None)[0]
-    sf = np.maximum(sf, 1e-6)
-    return counts.sparkSession.createDataFrame(pd.DataFrame({"sample": lib["sample"], "sf": sf / sf.mean()}))
+    rows = counts.join(place, "sample").withColumn("pool", F.explode(F.sequence(F.col("at") - (size - 1), F.col("at"))))
+    ratio = rows.groupBy(F.pmod("pool", F.lit(n)).alias("pool"), "feature").agg(F.sum("cnt").alias("s")).filter("s > 0").join(mean, "feature").select("pool", (F.col("s") / F.col("mean")).alias("r"))
+    features = mean.count()
+    low, high = (features + 1) // 2, features // 2 + 1  # the middle places, from 1
+    absent = F.lit(features) - F.count(F.lit(1)).over(Window.partitionBy("pool"))
+    placed = ratio.withColumn("at", absent + F.row_number().over(Window.partitionBy("pool").orderBy("r")))
+    middle = placed.groupBy("pool").agg((F.coalesce(F.max(F.when(F.col("at") == low, F.col("r"))), F.lit(0.0)) + F.coalesce(F.max(F.when(F.col("at") == high, F.col("r"))), F.lit(0.0))).alias("twice"))
+    pooled = np.zeros(n)
+    for r in middle.collect():  # a row per sample
+        pooled[r["pool"]] = r["twice"] / 2
+    sf = np.maximum(_ring_solution(pooled, (ring["lib"] / ring["lib"].mean()).to_numpy(), size), 1e-6)
+    return spark.createDataFrame(pd.DataFrame({"sample": ring["sample"], "sf": sf / sf.mean()}))
 
 
 def normed(counts: DataFrame, factors: DataFrame) -> DataFrame:
