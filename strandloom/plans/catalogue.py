@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import session
-from ..functions.columns import adjust, bh, cap_text, round6
+from ..functions.columns import adjust, bh, cap_text, density_grid, histogram, round6
 from ..operators import consensus, correlate, counts, enrich, graph, gwas, intervals, markers, neighbours, survival, traits, wald
 from . import views
 from .views import sql, table
@@ -1026,3 +1026,136 @@ def _(s, d):
 @query("sc_percentile_cutpoints", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
 def _(s, d):
     return table(s, d, "lineitem").groupBy("l_returnflag").agg(*[F.round(F.percentile("l_extendedprice", F.lit(p)), 4).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))])
+
+
+# --- more of the operators, each against its SQL ----------------------------------------------------------
+
+READS = """, rd AS (SELECT l_suppkey % 7 AS sample, CASE WHEN l_suppkey % 7 = 6 THEN 'r' || l_orderkey || ' ' || l_linenumber ELSE 'r' || l_orderkey END AS unit, 'chr' || (l_suppkey % 5) AS chrom, l_partkey * 100 + l_linenumber * 10 AS start, l_partkey * 100 + l_linenumber * 10 + CAST(l_quantity AS BIGINT) AS "end" FROM lineitem)
+"""
+
+
+@query("iv_fragments", sql(READS + f'SELECT sample, gene AS region, count(DISTINCT unit) AS cnt FROM rd a JOIN genes b ON {OVER} GROUP BY ALL', "genes"))
+def _(s, d):
+    li, size = table(s, d, "lineitem"), F.col("l_quantity").cast("bigint")
+    start = F.col("l_partkey") * 100 + F.col("l_linenumber") * 10
+    sample = F.col("l_suppkey") % 7
+    reads = li.select(sample.alias("sample"), F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("name"), F.when(sample != 6, F.col("l_linenumber") % 2 + 1).alias("mate"), F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string")).alias("chrom"), start.alias("start"), (start + size).alias("end"))
+    return intervals.count_fragments(reads, views.genes(s, d).withColumnRenamed("gene", "id"), width=512)
+
+
+@query("iv_lift_over", sql(""", p AS (SELECT *, unnest(range(start // 1000, ("end" - 1) // 1000 + 1)) AS t FROM catalog),
+c AS (SELECT *, greatest(start, t * 1000) AS lo, least("end", (t + 1) * 1000) AS hi FROM p),
+m AS (SELECT *, t * 1000 + 7 * t + lo - t * 1000 AS plus FROM c WHERE hi - lo >= 0.95 * ("end" - start))
+SELECT 'to_' || chrom AS chrom, CASE WHEN t % 2 = 1 THEN 10000000 - plus - (hi - lo) ELSE plus END AS start, CASE WHEN t % 2 = 1 THEN 10000000 - plus ELSE plus + hi - lo END AS "end", entry, CASE WHEN t % 2 = 0 THEN strand WHEN strand = '+' THEN '-' ELSE '+' END AS strand FROM m""", "catalog"))
+def _(s, d):
+    """Tiles of 1000 bases, each shifted by seven more than the last, every other one reversed."""
+    top = views.catalog(s, d).agg(F.max("end").alias("top"))
+    t = F.col("t")
+    tiles = s.range(5).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom")).join(F.broadcast(top)).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("top div 1000"))).alias("t"))
+    tiles = tiles.select("chrom", (t * 1000).alias("start"), (t * 1000 + 1000).alias("end"), F.concat(F.lit("to_"), "chrom").alias("to_chrom"), (t * 1007).alias("to_start"), F.when(t % 2 == 1, "-").otherwise("+").alias("to_strand"), F.lit(10_000_000).cast("long").alias("to_size"), t.cast("string").alias("chain"))
+    return intervals.lift_over(views.catalog(s, d).select("chrom", "start", "end", "entry", "strand"), tiles, width=1000)
+
+
+@query("iv_resampled", "SELECT least(500, (SELECT count(*) FROM part)) AS n, 0::BIGINT AS unknown")
+def _(s, d):
+    g = views.genes(s, d).select("gene", "chrom", "start", "end")
+    got = intervals.resampled(g, 500)
+    return got.join(g.withColumn("known", F.lit(1)), g.columns, "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("known").isNull()).alias("unknown"))
+
+
+@query("gw_gene_windows", sql(""", w AS (SELECT chrom, greatest(1, start - 300) AS start, "end" + 300 AS "end" FROM genes WHERE term = 'Brand#13'),
+""" + MERGED.format(t="w").lstrip(", ") + 'SELECT chrom, start, "end" FROM merged', "genes"))
+def _(s, d):
+    g = views.genes(s, d)
+    return gwas.gene_windows(g.select("gene", "chrom", "start", "end"), g.filter("term = 'Brand#13'").select("gene"), 300)
+
+
+@query("gw_overlap_matrix", sql('SELECT CAST(sum(ld * ld) AS BIGINT) AS ll, CAST(sum(ld * row) AS BIGINT) AS lr, CAST(sum(row * row) AS BIGINT) AS rr FROM sumstats', "sumstats"))
+def _(s, d):
+    m = gwas.overlap_matrix(views.sumstats(s, d), ["ld", "row"])
+    return s.createDataFrame([(int(m[0, 0]), int(m[0, 1]), int(m[1, 1]))], "ll long, lr long, rr long")
+
+
+@query("gw_enough_n", sql(""", x AS (SELECT row, "N_CAS" + "N_CON" AS n FROM sumstats) SELECT row FROM x WHERE n >= (SELECT quantile_cont(n, 0.9) / 1.5 FROM x)""", "sumstats"))
+def _(s, d):
+    return gwas.enough_n(views.sumstats(s, d).select("row", (F.col("N_CAS") + F.col("N_CON")).alias("N"))).select("row")
+
+
+@query("gw_bonferroni", sql('SELECT row, round("P" * (SELECT count(*) FROM sumstats), 6) AS q FROM sumstats', "sumstats"))
+def _(s, d):
+    return gwas.bonferroni(views.sumstats(s, d), "P").select("row", round6(F.col("q")).alias("q"))
+
+
+@query("gw_m_counts", sql('SELECT sum(ld) AS m_ld, sum(ld) FILTER (WHERE "FRQ" > 0.05) AS m_5_50_ld FROM sumstats', "sumstats"))
+def _(s, d):
+    return gwas.m_counts(views.sumstats(s, d), ["ld"], "FRQ")
+
+
+@query("ct_unique_markers", sql(", m AS (SELECT DISTINCT label, feature FROM counts JOIN tissues USING (sample) WHERE (feature * 7 + sample * 3) % 11 = 0) SELECT label, feature FROM m WHERE feature IN (SELECT feature FROM m GROUP BY 1 HAVING count(*) = 1)", "counts", "tissues"))
+def _(s, d):
+    return counts.unique_markers(views.counts(s, d).join(views.tissues(s, d), "sample").filter("(feature * 7 + sample * 3) % 11 = 0").select("label", "feature").distinct())
+
+
+@query("ct_biotype_ratio", sql(""", m AS (SELECT label, feature % 3 AS biotype, avg(cnt) AS m FROM counts JOIN tissues USING (sample) GROUP BY ALL)
+SELECT a.label, a.biotype, b.biotype AS other, round(log2(a.m / b.m), 6) AS log2_ratio FROM m a JOIN m b ON a.label = b.label AND a.biotype < b.biotype""", "counts", "tissues"))
+def _(s, d):
+    x = views.counts(s, d).join(views.tissues(s, d), "sample").select("feature", "label", F.col("cnt").alias("x"), (F.col("feature") % 3).alias("biotype"))
+    return counts.biotype_ratio(x).select("label", "biotype", "other", round6(F.col("log2_ratio")).alias("log2_ratio"))
+
+
+@query("co_over_representation", sql(""", t AS (SELECT sample, feature, (sample * 31 + feature * 17) % 100 / 100.0 AS q, feature % 10 = sample % 10 AS f FROM counts), a AS (SELECT avg(CASE WHEN f THEN 1 ELSE 0 END) FILTER (WHERE q < 0.05) AS s, avg(CASE WHEN f THEN 1 ELSE 0 END) AS a FROM t)
+SELECT round(s, 6) AS in_significant, round(a, 6) AS in_all, round(s / a, 6) AS ratio FROM a""", "counts"))
+def _(s, d):
+    t = views.counts(s, d).select(F.col("sample").alias("probe"), F.col("feature").alias("gene"), ((F.col("sample") * 31 + F.col("feature") * 17) % 100 / 100.0).alias("q"))
+    got = correlate.over_representation(t, t.filter("gene % 10 = probe % 10").select("probe", "gene"))
+    return got.select(*[round6(F.col(c)).alias(c) for c in got.columns])
+
+
+@query("co_first_per_sample", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
+def _(s, d):
+    return correlate.first_per_sample(table(s, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("gr_matching_pairs", sql(DICE + "SELECT matching, count(*) AS n, round(avg(CASE WHEN n10 * n01 = 0 THEN 0.0 ELSE 2.0 * n10 * n01 / (n11 * n00 + n10 * n01) END), 6) AS yule FROM (SELECT q.*, x.label = y.label AS matching FROM q JOIN tissues x ON a = x.sample JOIN tissues y ON b = y.sample) GROUP BY 1", "peaks", "tissues"))
+def _(s, d):
+    got = graph.matching_pairs(_pairs(s, d), views.tissues(s, d).select(F.col("sample").alias("id"), F.col("label").alias("group")))
+    return got.groupBy("matching").agg(F.count(F.lit(1)).alias("n"), round6(F.avg("yule")).alias("yule"))
+
+
+@query("sc_histogram", "SELECT CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 25 THEN 1 ELSE 2 END AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 2 AND 40 GROUP BY 1")
+def _(s, d):
+    return histogram(table(s, d, "lineitem"), "l_quantity", [2, 10, 25, 40])
+
+
+@query("sc_density_grid", "SELECT CAST(least(floor((l_quantity - 1) / 49.0 * 8), 7) AS INTEGER) AS px, CAST(least(floor(l_discount / 0.1 * 8), 7) AS INTEGER) AS py, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 AND l_discount BETWEEN 0 AND 0.1 GROUP BY ALL")
+def _(s, d):
+    return density_grid(table(s, d, "lineitem"), "l_quantity", "l_discount", 8, (1, 50, 0, 0.1))
+
+
+@query("mk_sets", sql(""", a AS (SELECT DISTINCT 'tissue ' || label AS "set", feature AS consensus FROM counts JOIN tissues USING (sample) WHERE (feature + sample) % 9 = 0 UNION SELECT DISTINCT 'sample ' || sample, feature FROM counts WHERE (feature * 5 + sample) % 4 = 0),
+l AS (SELECT "set" FROM a GROUP BY 1 HAVING count(*) > 5), r AS (SELECT a.* FROM a JOIN l USING ("set")), k AS (SELECT consensus FROM r GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.5 * (SELECT count(*) FROM l))
+SELECT "set", consensus FROM r WHERE consensus IN (SELECT consensus FROM k)""", "counts", "tissues"))
+def _(s, d):
+    c = views.counts(s, d)
+    t = c.join(views.tissues(s, d), "sample").filter("(feature + sample) % 9 = 0").select(F.col("label").alias("set"), F.col("feature").alias("consensus"))
+    return markers.informative(markers.marker_sets({"tissue": t, "sample": c.filter("(feature * 5 + sample) % 4 = 0").select(F.col("sample").alias("set"), F.col("feature").alias("consensus"))}), more_than=5, most_share=0.5)
+
+
+@query("mk_annotated_bed", sql("""SELECT chrom, start, "end", CASE WHEN gene % 4 = 0 THEN CAST(gene AS VARCHAR) ELSE 'l' || (gene % 4) || '_' || (gene % 3) END AS name, CASE gene % 4 WHEN 1 THEN '255,0,0' WHEN 2 THEN '0,255,0' ELSE '0,0,0' END AS rgb FROM genes""", "genes"))
+def _(s, d):
+    g = views.genes(s, d).withColumnRenamed("gene", "id")
+    labels = g.filter("id % 4 <> 0").select("id", F.concat(F.lit("l"), (F.col("id") % 4).cast("string")).alias("label"), (F.col("id") % 3).alias("confidence"))
+    return markers.annotated_bed(g.select("id", "chrom", "start", "end"), labels, s.createDataFrame([("l1", "255,0,0"), ("l2", "0,255,0")], "label string, rgb string"))
+
+
+@query("en_genes_of_term", sql(""", t AS (SELECT gene, term, (gene * 7919 % 1000) / 1000.0 AS q FROM genes) SELECT gene FROM t WHERE q < 0.2 AND term = 'Brand#13'""", "genes"))
+def _(s, d):
+    g = views.genes(s, d)
+    sets = enrich.GeneSetEnricher(g.select("term", F.col("term").alias("name"), "gene"), g, views.chrom_sizes(s, d))
+    return sets.genes_of("Brand#13", g.select("gene", ((F.col("gene") * 7919 % 1000) / 1000.0).alias("q")), 0.2).select("gene")
+
+
+@query("en_representatives", "SELECT p_size % 7 AS cluster, arg_max(p_brand, (p_retailprice, p_brand)) AS representative, max(p_retailprice) AS score FROM part GROUP BY 1")
+def _(s, d):
+    p = table(s, d, "part").select(F.col("p_partkey").alias("term"), F.col("p_brand").alias("name"), F.col("p_retailprice").alias("neg_log10_q"), (F.col("p_size") % 7).alias("cluster"))
+    return enrich.representatives(p.drop("cluster"), p.select("term", "cluster"))
