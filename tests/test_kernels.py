@@ -69,17 +69,49 @@ def test_heritability_recovers_slope(spark):
 
 
 def test_two_step_errors_hold_those_of_the_intercept(spark):
-    """Against a plain jackknife that leaves out a block in both steps."""
+    """Against a plain jackknife that leaves out each block in both steps, at the weights of the whole."""
     rng = np.random.default_rng(4)
-    n = 4000
+    n, blocks, m, size = 4000, 40, 1e6, 50_000.0
     ld = rng.uniform(1, 50, n)
-    z = rng.normal(size=n) * np.sqrt(1 + 0.4 * 50_000 / 1e6 * ld)
-    df = spark.createDataFrame([(1, i, f"rs{i}", float(a), 50_000.0, float(b), float(b)) for i, (a, b) in enumerate(zip(z, ld, strict=True))], "CHR int, BP int, SNP string, Z double, N double, L2 double, w_ld double")
-    two = gwas.heritability(df, ["L2"], [1e6], blocks=40, two_step=3.0)
-    fixed = gwas.heritability(df, ["L2"], [1e6], blocks=40, intercept=two["intercept"])
+    z = rng.normal(size=n) * np.sqrt(1 + 0.4 * size / m * ld)
+    df = spark.createDataFrame([(1, i, f"rs{i}", float(a), size, float(b), float(b)) for i, (a, b) in enumerate(zip(z, ld, strict=True))], "CHR int, BP int, SNP string, Z double, N double, L2 double, w_ld double")
+    two = gwas.heritability(df, ["L2"], [m], blocks=blocks, two_step=3.0)
+    fixed = gwas.heritability(df, ["L2"], [m], blocks=blocks, intercept=two["intercept"])
     assert two["total"] == pytest.approx(fixed["total"], rel=1e-2)  # the weights start from another slope
     assert two["total_se"] > 1.05 * fixed["total_se"]
 
+    chi2, block = z * z, (np.arange(n) + 1) * blocks - 1
+    block = block // n
+
+    def fit(x, y, w):
+        return np.linalg.solve((x * w[:, None]).T @ x, (x * w[:, None]).T @ y)
+
+    def weights(h2, a, x):
+        return 1 / (2 * (a + min(1.0, max(0.0, h2)) / m * size * x) ** 2) / x
+
+    def settled(x, y, ld, a):
+        """Weights after two rounds; a: the fixed intercept, or None."""
+        h2, inter = m * (chi2.mean() - 1) / (ld_all * size).mean(), 1.0 if a is None else a
+        for _ in range(2):
+            est = fit(x, y, weights(h2, inter, ld))
+            h2, inter = est[0] * m / size, est[-1] if a is None else a
+        return weights(h2, inter, ld)
+
+    ld_all, low = ld, chi2 < 3.0
+    both = np.column_stack([ld[low], np.ones(low.sum())])
+    w1 = settled(both, chi2[low], ld[low], None)
+    step = fit(both, chi2[low], w1)[1]
+    w2 = settled(ld[:, None], chi2 - step, ld, step)
+    left = []
+    for k in range(blocks):
+        first, second = block[low] != k, block != k
+        own = fit(both[first], chi2[low][first], w1[first])[1]
+        left.append((fit(ld[second, None], (chi2 - own)[second], w2[second])[0] * m / size, own))
+    whole = np.array([fit(ld[:, None], chi2 - step, w2)[0] * m / size, step])
+    pseudo = blocks * whole - (blocks - 1) * np.array(left)
+    assert [two["total"], two["intercept"]] == pytest.approx(whole, rel=1e-6)
+    assert [two["total_se"], two["intercept_se"]] == pytest.approx(np.sqrt(pseudo.var(axis=0, ddof=1) / blocks), rel=0.03)
+
 
 def test_tails_of_large_counts():
     for k, n, p in ((60, 100, 0.5), (3, 100, 0.5), (1, 2000, 1e-4), (700, 2000, 0.3)):
