@@ -94,7 +94,10 @@ def relieved(fn: Callable) -> Callable:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of finished steps now; else it waits for the driver's next collection."""
+    """Lets Spark delete the shuffle files of finished steps now; else it waits for the driver's next collection.
+
+    Checkpoints go too where spark.cleaner.referenceTracking.cleanCheckpoints is set; else they stay.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
