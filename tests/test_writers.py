@@ -20,9 +20,9 @@ def lines(path, suffix=""):
 
 def test_gtf_lines(spark, tmp_path):
     regions = spark.createDataFrame([(0, "chr1", 9, 20), (1, "chrM", 0, 5), (2, "chr1_KI270706v1_random", 4, 6)], "id long, chrom string, start long, end long")
-    intervals_io.write_lines(intervals_io.gtf(regions, "Pol2"), str(tmp_path / "x.gtf"), "_k")
+    intervals_io.write_lines(intervals_io.gtf(regions, "own"), str(tmp_path / "x.gtf"), "_k")
     got = lines(tmp_path / "x.gtf")
-    assert got[0] == '1\tPol2\texon\t10\t20\t.\t+\t.\tgene_biotype "protein_coding"; gene_id "0"; transcript_id "0"; gene_name "0";'
+    assert got[0] == '1\town\texon\t10\t20\t.\t+\t.\tgene_biotype "protein_coding"; gene_id "0"; transcript_id "0"; gene_name "0";'
     assert [x.split("\t")[0] for x in got] == ["1", "MT", "KI270706.1"] * 2 and [x.split("\t")[6] for x in got] == ["+"] * 3 + ["-"] * 3
     assert got[5].endswith('gene_name "5";')
 
