@@ -1,10 +1,12 @@
 """MinHash near-dedup with an LSH forest.
 
 Documents with equal shingle sets form a class. Each tree of the forest sorts the classes by its own order of
-signature values; neighbours in that order that share at least a prefix of `depth` values, nearest first by the
-longest common prefix, are candidates if the signature cannot rule them out, and so are all that share a prefix with
-more rows than the window of neighbours spans. Candidates hang together in groups; each group is compared in full, on
-full sets, as far as confirmed links have not joined it by then, and confirmed links give components.
+signature values: `depth` whole values, then the low bytes of the others, begun elsewhere in each tree. Rows that share
+at least the whole values are candidates of each other, unless their sketches rule that out. As rows are sorted, those
+with the longest common prefix are nearest, and a window of neighbours goes as deep as a region is crowded. Where more
+rows share a prefix than the window spans, what it may miss is found exactly: two linked sets share one of their
+rarest shingles, so the classes of such regions are joined by these. Candidates hang together in groups; each group is
+compared in full, on full sets, as far as confirmed links have not joined it by then, and confirmed links give components.
 """
 
 from __future__ import annotations
@@ -107,15 +109,136 @@ def _rows(classes: DataFrame, some: range, trees: int, depth: int) -> DataFrame:
     return rows.select("tree", F.xxhash64(t, F.substring("sig", t * width + 1, F.lit(width))).alias("key"), F.concat(F.substring(sketch, turn + 1, F.lit(SKETCH)), F.substring(sketch, F.lit(1), turn)).alias("sketch"), "n", "c")
 
 
-def crowds(rows: DataFrame, lags: int) -> DataFrame:
-    """(a, b): what the window can't span: links between all the c under a key that more rows share."""
-    each = rows.groupBy("tree", "key", "c").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = each.groupBy("tree", "key").agg(F.sum("rows").alias("rows"), F.min("c").alias("a"), F.max("c").alias("b"))
-    mixed = mixed.filter((F.col("rows") > lags + 1) & (F.col("a") < F.col("b"))).select("tree", "key", "a")
-    return each.join(mixed, ["tree", "key"]).filter("c > a").select("a", F.col("c").alias("b"))
+def crowded(joined: DataFrame, trees: int, depth: int, lags: int) -> DataFrame:
+    """(c, g, n, sketch) of classes with a prefix, in any tree, that more rows share than the window spans, of several g."""
+    width = depth * 4
+    t = F.col("tree")
+    sketch = F.expr(f"substring(sig, {trees * width + 1}, {SKETCH})")
+    rows = joined.filter("sig is not null").select("c", "g", "sig", F.explode(F.array(*map(F.lit, range(trees)))).alias("tree"))
+    rows = rows.select("c", "g", F.xxhash64(t, F.substring("sig", t * width + 1, F.lit(width))).alias("key"))
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("g").alias("a"), F.max("g").alias("b"))
+    mixed = mixed.filter((F.col("rows") > lags + 1) & (F.col("a") < F.col("b"))).select("key")
+    return joined.join(rows.join(mixed, "key", "left_semi").select("c").distinct(), "c", "left_semi").select("c", "g", "n", sketch.alias("sketch"))
+
+
+def _rarest(items: np.ndarray, held: list[windows.Sketch], percent: int) -> np.ndarray:
+    """Of a set, the first shingles in an order that is the same for all sets: rare ones first, then by hash.
+
+    They are so many that any set linked to this one holds one of them among its own first ones. What no other set
+    holds is left out.
+    """
+    level = np.sum([h.passes(items) for h in held], 0)
+    first = np.lexsort((items, level))[: len(items) + 1 - -(-percent * len(items) // 100)]
+    return items[first[level[first] > 0]]
+
+
+def by_rare_shingles(docs: DataFrame, some: DataFrame, words: int, percent: int, tables: shared.Tables, often: int = 32, block: int = 4096) -> DataFrame:
+    """(a, b): the g of classes (some: hi, lo, c, g, n, sketch) that may be linked, g being different: exact but for the sketch.
+
+    Only classes that share one of their rarest shingles meet. Under a shingle that many share, those outside the
+    largest g are compared with all, blocks with blocks, so no task holds them all.
+    """
+    sets = tables.save(_full(docs, some, words, tables.spark).join(some, ["hi", "lo"]).select("c", "g", "n", "sketch", "items"))
+    total = some.agg(F.sum("n")).first()[0] or 0
+    width = min(28, max(16, int(total).bit_length() + 2))
+
+    def shingles(batches):
+        for b in batches:
+            for x in shared.as_bytes(b["items"]):
+                yield np.frombuffer(x, U)
+
+    spread = docs.sparkSession.sparkContext.broadcast([windows.merged_sketch(sets.select("items"), shingles, n, width, 1) for n in (2, often)])
+
+    def rare(batches):
+        for b in batches:
+            for at in range(0, len(b["c"]), 256):
+                part = {c: v.slice(at, 256) for c, v in b.items()}
+                got = [_rarest(np.frombuffer(x, U), spread.value, percent) for x in shared.as_bytes(part["items"])]
+                of = np.repeat(np.arange(len(got)), [len(x) for x in got])
+                yield {"token": np.concatenate([np.zeros(0, U), *got]).view(np.int64)} | {c: part[c].take(of) for c in ("g", "n", "sketch")}
+
+    rows = tables.save(shared.stream(sets, rare, "token long, g long, n long, sketch binary"))
+    tables.drop(sets)
+    each = rows.groupBy("token", "g").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = each.groupBy("token").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "g")).alias("most")).filter("rows > most.rows")
+    sizes = sizes.select("token", F.col("most.g").alias("main"), F.ceil(F.col("rows") / block).alias("lists"), F.ceil((F.col("rows") - F.col("most.rows")) / block).alias("asks"))
+    rows = tables.save(rows.join(sizes, "token"))
+    buckets = max(1, -(-rows.count() // (1 << 16)))
+    listed, asked = _dealt(rows, "token", F.col("g") != F.col("main"), F.xxhash64("sketch", "g"))
+    k = F.xxhash64("token", "list", "ask")
+    left, right = (x.select(k.alias("k"), "g", "n", "sketch").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets))) for x in (listed, asked))
+
+    def compare(left, right):
+        import pandas as pd
 
+        return pd.DataFrame(shared.relieved(_meeting)(left, right, percent / 100))
 
-def candidates(rows: DataFrame, lags: int, share: float) -> DataFrame:
+    return tables.save(left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(compare, "a long, b long"))
+
+
+def _dealt(rows: DataFrame, region: str, outside, salt) -> tuple[DataFrame, DataFrame]:
+    """Rows (region, lists, asks) as listed and as asking: each row outside the main part meets each of its region once, under (region, list, ask)."""
+    listed = rows.withColumn("list", F.pmod(salt, F.col("lists"))).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
+    asked = rows.filter(outside).withColumn("ask", F.pmod(salt, F.col("asks"))).withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists") - 1)))
+    return listed, asked
+
+
+def _meeting(left, right, share: float) -> dict[str, np.ndarray]:
+    """(a, b): different g of rows (k, g, n, sketch) that share k, are alike in size and agree in their sketches."""
+    def columns(x):
+        x = x.sort_values("k", kind="stable")
+        return x["k"].to_numpy(), x["g"].to_numpy(), x["n"].to_numpy(), np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(-1, SKETCH)
+
+    (k, g, n, s), (ok, og, on, os_) = columns(left), columns(right)
+    first = np.searchsorted(k, ok, "left")
+    count = np.searchsorted(k, ok, "right") - first
+    upto = np.concatenate([[0], np.cumsum(count)])
+    out = [np.zeros((0, 2), np.int64)]
+    at = 0
+    while at < len(ok):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + (1 << 17), "right")) - 1)
+        c = count[at:end]
+        j = np.repeat(np.arange(at, end), c)
+        i = np.arange(len(j)) - np.repeat(upto[at:end] - upto[at], c) + first[j]
+        near = (g[i] != og[j]) & (np.minimum(n[i], on[j]) >= share * np.maximum(n[i], on[j]))
+        i, j = i[near], j[near]
+        near = (s[i] == os_[j]).sum(1) >= MAYBE
+        out.append(np.unique(np.stack([np.minimum(g[i], og[j]), np.maximum(g[i], og[j])], 1)[near], axis=0))
+        at = end
+    a, b = np.unique(np.concatenate(out), axis=0).T
+    return {"a": a, "b": b}
+
+
+def _full(docs: DataFrame, classes: DataFrame, words: int, spark) -> DataFrame:
+    """(hi, lo, items): the full sets of these classes (hi, lo), one row each; a few others may be among them."""
+
+    def numbers(batches):
+        for b in batches:
+            yield np.asarray(b["hi"]).view(U)
+
+    sketch = spark.sparkContext.broadcast(windows.merged_sketch(classes.select("hi"), numbers, 1, 26, 1))
+
+    def full(batches):
+        known = WordHashes()
+        for batch in batches:
+            for at in range(0, len(batch["text"]), 1024):
+                if len(known) > 1 << 19:
+                    known = WordHashes()
+                out, have = {"hi": [], "lo": [], "items": []}, set()
+                for s in _sets(shared.as_bytes(batch["text"].slice(at, 1024)), known, words):
+                    h = xxhash.xxh3_128_intdigest(s.tobytes())
+                    if h not in have:
+                        have.add(h)
+                        out["hi"].append((h >> 64) - (1 << 63))
+                        out["lo"].append((h & (2**64 - 1)) - (1 << 63))
+                        out["items"].append(s.tobytes())
+                ok = sketch.value.passes(np.array(out["hi"], np.int64).view(U))
+                yield {c: [x for x, k in zip(v, ok.tolist(), strict=True) if k] for c, v in out.items()}
+
+    return shared.stream(docs.select("text"), full, "hi long, lo long, items binary").groupBy("hi", "lo").agg(F.first("items").alias("items"))
+
+
+def candidates(rows: DataFrame, lags: int, share: float, tables: shared.Tables) -> DataFrame:
     """(a, b): the c of rows that a tree holds near each other and whose sketches agree enough, a < b; as many as join them.
 
     Rows are dealt by ranges of each tree's order, in which a large group of look-alikes is spread by its
@@ -145,7 +268,7 @@ def candidates(rows: DataFrame, lags: int, share: float) -> DataFrame:
         none = [None] * len(p["a"])
         return p | {c: none for c in ("edge", "tree", "key", "sketch", "n", "c")}
 
-    found = shared.saved(shared.stream(rows, run, f"a long, b long, edge int, {ROW}"))
+    found = tables.save(shared.stream(rows, run, f"a long, b long, edge int, {ROW}"))
 
     def across(pdf):
         pdf = pdf.drop_duplicates(["tree", "key", "sketch", "c"]).sort_values(["tree", "key", "sketch", "c"])
@@ -156,10 +279,10 @@ def candidates(rows: DataFrame, lags: int, share: float) -> DataFrame:
         return pd.DataFrame(_pairs(rows, lags, 0, share))
 
     edges = found.filter("a is null and edge >= 0").groupBy("edge").applyInPandas(across, "a long, b long")
-    return found.filter("a is not null").select("a", "b").unionByName(edges).distinct()
+    return found.filter("a is not null").select("a", "b").unionByName(edges)
 
 
-def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: int = 20, depth: int = 4, lags: int = 16, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: int = 20, depth: int = 4, lags: int = 16, block: int = 1024, most: int = 1 << 22) -> DataFrame:
     """One row per row of docs (doc_id, text): its component of near-duplicates.
 
     A document's set holds its distinct shingles of `words` words (runs of bytes other than ASCII white space,
@@ -173,50 +296,29 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
     in the component: true), and rk, a key of id and text.
 
     trees, depth: a pair at the threshold escapes all trees with probability (1 - 0.8**depth)**trees, 3e-5 at the
-    defaults; what shares a key with more than lags + 1 rows is one group. block: where a group has more classes than this,
-    blocks of it, each with its first class, are compared in full, and then what that leaves open with the whole group.
+    defaults; below MAYBE equal bytes of SKETCH a pair is ruled out, which at the threshold is six standard deviations
+    away. lags: what shares a key with more than lags + 1 rows is found by rare shingles. block, most: where a group has
+    more classes or shingles than this, blocks of it, each with its first class, are compared in full, and then what that
+    leaves open with the whole group. Intermediate tables lie in the shared folder and are deleted as soon as they are read.
     """
     share = percent / 100
     docs = shared.keyed_documents(docs)
     if trees * depth < SKETCH:
         raise ValueError(f"trees * depth has to be {SKETCH} at least")
-    rows = shared.saved(_documents(docs, words, trees, depth))
-    classes = rows.groupBy("hi", "lo").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
-    classes = shared.saved(classes.withColumn("c", F.monotonically_increasing_id()))
-    group = _grouped(classes, trees, depth, lags, share)
+    tables = shared.Tables(docs.sparkSession, "near_dedup")
+    signed = tables.save(_documents(docs, words, trees, depth))
+    classes = signed.groupBy("hi", "lo").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
+    classes = tables.save(classes.withColumn("c", F.monotonically_increasing_id()))
+    rows = tables.save(signed.drop("sig"))
+    tables.drop(signed)
+    group = _grouped(docs, classes, words, percent, trees, depth, lags, tables)
     shared.sweep(docs.sparkSession)
-    sizes = group.groupBy("label").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    member = group.join(sizes, "label").withColumn("block", F.when(F.col("size") > block, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block))).otherwise(0).cast("long"))
-    member = shared.saved(member)
-    wanted = classes.join(member.select(F.col("node").alias("c")), "c", "left_semi").select("hi")
-
-    def numbers(batches):
-        for b in batches:
-            yield np.asarray(b["hi"]).view(U)
-
-    sketch = docs.sparkSession.sparkContext.broadcast(windows.merged_sketch(wanted, numbers, 1, 26, 1))
-
-    def full(batches):
-        known = WordHashes()
-        for batch in batches:
-            for at in range(0, len(batch["text"]), 1024):
-                if len(known) > 1 << 19:
-                    known = WordHashes()
-                out, have = {"hi": [], "lo": [], "items": []}, set()
-                for s in _sets(shared.as_bytes(batch["text"].slice(at, 1024)), known, words):
-                    h = xxhash.xxh3_128_intdigest(s.tobytes())
-                    if h not in have:
-                        have.add(h)
-                        out["hi"].append((h >> 64) - (1 << 63))
-                        out["lo"].append((h & (2**64 - 1)) - (1 << 63))
-                        out["items"].append(s.tobytes())
-                ok = sketch.value.passes(np.array(out["hi"], np.int64).view(U))
-                yield {c: [x for x, k in zip(v, ok.tolist(), strict=True) if k] for c, v in out.items()}
-
-    ids = classes.select("hi", "lo", "c").join(member.withColumnRenamed("node", "c"), "c")
-    sets = shared.stream(docs.select("text"), full, "hi long, lo long, items binary").groupBy("hi", "lo").agg(F.first("items").alias("items"))
-    sets = shared.saved(sets.join(ids, ["hi", "lo"]).select("label", "block", "c", "size", "items"))
-    first = sets.filter((F.col("c") == F.col("label")) & (F.col("size") > block)).select("label", "c", "items", F.col("block").alias("home"))
+    group = group.join(classes.select(F.col("c").alias("node"), "n"), "node")
+    sizes = group.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / most)).alias("blocks")).filter("size > 1")
+    member = tables.save(group.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    ids = classes.select("hi", "lo", "c").join(member.withColumnRenamed("node", "c").drop("n"), "c")
+    sets = tables.save(_full(docs, ids, words, docs.sparkSession).join(ids, ["hi", "lo"]).select("label", "block", "blocks", "c", "items"))
+    first = sets.filter((F.col("c") == F.col("label")) & (F.col("blocks") > 1)).select("label", "c", "items", F.col("block").alias("home"))
     leaders = first.join(member.select("label", "block").distinct(), "label").filter("block <> home").select("label", "block", "c", "items")
 
     def confirm(pdf):
@@ -225,17 +327,20 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
         return link(pdf["c"], pdf["items"], pdf["c"], pdf["items"], percent)
 
     links = sets.select("label", "block", "c", "items").unionByName(leaders).groupBy("label", "block").applyInPandas(confirm, "u long, v long")
-    links = shared.saved(links.distinct())
-    label = components.components(links)
-    more = _open(label, member.filter(F.col("size") > block).select("label", F.col("node").alias("c")), sets, percent, block)
+    links = tables.save(links)
+    label = components.components(links, tables)
+    more = _open(label, member.filter("blocks > 1").select("label", F.col("node").alias("c"), "n"), sets, percent, block, most, tables)
     if not more.isEmpty():
-        label = components.components(links.unionByName(more))
+        label = components.components(links.unionByName(more), tables)
     best = label.join(classes.select(F.col("c").alias("node"), "least"), "node")
     best = label.join(best.groupBy("label").agg(F.min("least").alias("component")), "label").select(F.col("node").alias("c"), "component")
     judged = classes.join(best, "c", "left").select("hi", "lo", F.coalesce("component", "least").alias("component"))
     out = rows.select("doc_id", "rk", "n", "hi", "lo").join(judged, ["hi", "lo"])
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "rk")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "rk")
+    out = tables.save(out)
+    tables.close(out)
+    return out
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -247,12 +352,6 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
 
 
-def _find(root: dict[int, int], x: int) -> int:
-    while root[x] != x:
-        root[x] = x = root[root[x]]
-    return x
-
-
 def _linked(labels, sets, of, its, percent: int):
     """Links (u, v) that join the components (labels) of sets and those (of) of its, all compared with each other."""
     import pandas as pd
@@ -274,7 +373,7 @@ def _linked(labels, sets, of, its, percent: int):
         at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
         both = np.bincount(owner[at], minlength=len(have))
         for other in np.unique(labels[100 * both >= percent * (len(x) + size - both)]).tolist():
-            a, b = _find(root, mine), _find(root, other)
+            a, b = components.find(root, mine), components.find(root, other)
             if a != b:
                 root[max(a, b)] = min(a, b)
                 left -= 1
@@ -283,37 +382,44 @@ def _linked(labels, sets, of, its, percent: int):
     return pd.DataFrame(out).astype("int64")
 
 
-def _grouped(classes: DataFrame, trees: int, depth: int, lags: int, share: float) -> DataFrame:
+def _grouped(docs: DataFrame, classes: DataFrame, words: int, percent: int, trees: int, depth: int, lags: int, tables: shared.Tables) -> DataFrame:
     """(node, label): groups of classes that candidates join.
 
     The first trees join most of a large group; for the others it is one node, so that it is no longer a
     multitude of links.
     """
-    few = range(min(4, trees))
-    first = components.components(shared.saved(candidates(_rows(classes, few, trees, depth), lags, share)).toDF("u", "v"))
-    joined = classes.join(first.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("label", "c").alias("g"), "n", "sig")
-    joined = shared.saved(joined)
+    few, share = range(min(4, trees)), percent / 100
+    first = components.components(candidates(_rows(classes, few, trees, depth), lags, share, tables).toDF("u", "v"), tables)
+    joined = tables.save(classes.join(first.withColumnRenamed("node", "c"), "c", "left").select("hi", "lo", "c", F.coalesce("label", "c").alias("g"), "n", "sig"))
     nodes = joined.select(F.col("g").alias("c"), "n", "sig")
-    pairs = candidates(_rows(nodes, range(len(few), trees), trees, depth), lags, share)
-    pairs = pairs.unionByName(crowds(_rows(nodes, range(trees), trees, depth), lags)).distinct()
-    second = components.components(shared.saved(pairs).toDF("u", "v")).withColumnRenamed("node", "g")
-    return joined.filter("sig is not null").join(second, "g", "left").select(F.col("c").alias("node"), F.coalesce("label", "g").alias("label"))
+    pairs = candidates(_rows(nodes, range(len(few), trees), trees, depth), lags, share, tables)
+    second = components.components(pairs.toDF("u", "v"), tables).withColumnRenamed("node", "g")
+    joined = tables.save(joined.join(second, "g", "left").select("hi", "lo", "c", F.coalesce("label", "g").alias("g"), "n", "sig"))
+    some = tables.save(crowded(joined, trees, depth, lags))
+    label = joined.select(F.col("c").alias("node"), F.col("g").alias("label"), "sig")
+    if not some.isEmpty():
+        some = joined.select("hi", "lo", "c").join(some, "c")
+        third = components.components(by_rare_shingles(docs, some, words, percent, tables).toDF("u", "v"), tables).toDF("label", "least")
+        label = label.join(third, "label", "left").select("node", F.coalesce("least", "label").alias("label"), "sig")
+    return tables.save(label.filter("sig is not null").select("node", "label"))
 
 
-def _open(label: DataFrame, large: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (u, v) that blocks have left out in large groups (label, c); label: of the components so far.
+def _open(label: DataFrame, large: DataFrame, sets: DataFrame, percent: int, block: int, most: int, tables: shared.Tables) -> DataFrame:
+    """Links (u, v) that blocks have left out in large groups (label, c, n); label: of the components so far.
 
     All classes of a group that are not in its largest component are compared with all of the group on full sets, blocks
     of the former with blocks of the latter; what is in one component needs no more. So the work grows with the open
     classes times the group, which is the price of leaving out no pair.
     """
     rows = large.withColumnRenamed("label", "region").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"))
-    sizes = sizes.select("region", F.col("main.label").alias("main"), F.ceil(F.col("n") / block).alias("lists"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("asks")).filter("asks > 0")
-    rows = shared.saved(rows.join(sizes, "region").join(sets.select("c", "items"), "c"))
-    salt = F.xxhash64("c")
-    listed = rows.withColumn("list", F.pmod(salt, F.col("lists"))).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
-    asked = rows.filter("label <> main").withColumn("ask", F.pmod(salt, F.col("asks"))).withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists") - 1)))
+    sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).groupBy("region").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "label", "n")).alias("main"))
+
+    def blocks(rows, n):
+        return F.greatest(F.ceil(rows / block), F.ceil(n / most))
+
+    sizes = sizes.select("region", F.col("main.label").alias("main"), blocks(F.col("rows"), F.col("n")).alias("lists"), blocks(F.col("rows") - F.col("main.rows"), F.col("n") - F.col("main.n")).alias("asks")).filter("asks > 0")
+    rows = tables.save(rows.join(sizes, "region").join(sets.select("c", "items"), "c"))
+    listed, asked = _dealt(rows, "region", F.col("label") != F.col("main"), F.xxhash64("c"))
 
     def compare(left, right):
         import pandas as pd
@@ -325,4 +431,4 @@ def _open(label: DataFrame, large: DataFrame, sets: DataFrame, percent: int, blo
     key = ("region", "list", "ask")
     asked = asked.select(*[F.col(k).alias(f"of_{k}") for k in key], F.col("label").alias("of"), F.col("items").alias("its"))
     both = listed.select(*key, "label", "items").groupBy(*key).cogroup(asked.groupBy(*[f"of_{k}" for k in key]))
-    return shared.saved(both.applyInPandas(compare, "u long, v long").distinct())
+    return tables.save(both.applyInPandas(compare, "u long, v long"))

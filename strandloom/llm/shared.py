@@ -62,6 +62,30 @@ def discard(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Tables:
+    """Parquet tables that one run writes to the shared folder, each deleted as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.held = spark, new_folder(spark, name), {}
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """df as a written table: it outlives executors and cuts the lineage."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for p, t in self.held.items() if any(t is x for x in tables)]:
+            discard(self.spark, path)
+            del self.held[path]
+
+    def close(self, *but: DataFrame) -> None:
+        """Deletes all tables but these."""
+        self.drop(*[t for t in self.held.values() if not any(t is x for x in but)])
+
+
 def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df in the shared folder: it outlives executors and cuts the lineage."""
     use_shared_folder(df.sparkSession)
