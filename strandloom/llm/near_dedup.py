@@ -23,7 +23,7 @@ from .substring_dedup import WordHashes
 
 U = np.uint64
 SKETCH = 64
-MAYBE = 32  # equal sketch bytes of 64; at a similarity of 0.8 fewer are 6 standard deviations away
+MAYBE = 36  # equal sketch bytes of 64; at a similarity of 0.8 fewer have a probability of 5e-6
 ROW = "tree int, key long, sketch binary, n long, c long"
 
 
@@ -296,8 +296,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
     in the component: true), and rk, a key of id and text.
 
     trees, depth: a pair at the threshold escapes all trees with probability (1 - 0.8**depth)**trees, 3e-5 at the
-    defaults; below MAYBE equal bytes of SKETCH a pair is ruled out, which at the threshold is six standard deviations
-    away. lags: what shares a key with more than lags + 1 rows is found by rare shingles. block, most: where a group has
+    defaults; below MAYBE equal bytes of SKETCH a pair is ruled out, which happens to one at the threshold with
+    probability 5e-6. lags: what shares a key with more than lags + 1 rows is found by rare shingles. block, most: where a group has
     more classes or shingles than this, blocks of it, each with its first class, are compared in full, and then what that
     leaves open with the whole group. Intermediate tables lie in the shared folder and are deleted as soon as they are read.
     """

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import chat, components, permutation_index, urls
@@ -118,7 +119,9 @@ def test_rotations(spark):
     assert chat.rotations(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [1 << 19, 20])
+def test_components(spark, monkeypatch, rows):
+    monkeypatch.setattr(components, "ROWS", rows)
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1040)]
     root: dict[int, int] = {}
