@@ -196,7 +196,7 @@ def merged_sketch(keys: DataFrame, read: Callable[[Iterator[dict]], Iterator[np.
 
     parts = shared.stream(keys, partial, "slice int, cells binary, counts binary").repartition(SLICES * rows, "slice")
     out = [bytearray((1 << width) // 8) for _ in range(rows)]
-    for r in shared.stream(parts, merge, "slice int, bits binary").toLocalIterator():
+    for r in shared.stream(parts, merge, "slice int, bits binary").collect():  # rows * 2**width bits, in one job
         at = r["slice"] % SLICES * per // 8
         out[r["slice"] // SLICES][at : at + per // 8] = r["bits"]
     return Sketch(tuple(bytes(x) for x in out), width)
