@@ -27,28 +27,36 @@ class RunLengthIndex:
 
     text: the texts, each with END behind it. heads, tails: first and last row of each run; at_head,
     at_tail: suffixes there; up, down: how far the suffix at a head (tail) agrees with that of the row
-    before (after). Suffixes are ordered by their first `reach` bytes; agreements are exact up to that.
+    before (after). Each text's END is a symbol of its own, so no two suffixes tie and their order is exact.
     """
 
-    def __init__(self, texts: list[bytes], reach: int):
+    def __init__(self, texts: list[bytes]):
         self.text = t = np.frombuffer(bytes([END]).join([*texts, b""]), np.uint8)
         n = len(t)
+        size = np.array([len(x) + 1 for x in texts])
+        ends = np.cumsum(size) - 1
+        which = np.repeat(np.arange(len(texts)), size)
+        left = ends[which] - np.arange(n)  # bytes before the text's end
         key = np.zeros(n, U)
         padded = np.concatenate([t, np.zeros(8, np.uint8)])
         for j in range(8):
             key = (key << U(8)) | padded[j : j + n].astype(U)
         levels = [(1, (key >> U(56)).astype(np.uint8)), (2, (key >> U(48)).astype(np.uint16)), (4, (key >> U(32)).astype(np.uint32))]
-        rank, span = self._ranks(key), 8
+        ended = left < 8
+        blank = U(8) * (U(7) - left[ended].astype(U))
+        key[ended] = key[ended] >> blank << blank
+        rank, span = self._ranks(self._ranks(key) * (len(texts) + 1) + np.where(ended, which + 1, 0)), 8
         levels.append((8, rank.astype(np.int32)))
-        while span < reach and rank.max() + 1 < n:
+        while rank.max() + 1 < n:
             behind = np.zeros(n, np.int64)
             behind[: n - span] = rank[span:] + 1
             rank = self._ranks(rank * (n + 1) + behind)
             span *= 2
             levels.append((span, rank.astype(np.int32)))
         order = np.argsort(rank, kind="stable")
-        bwt = t[order - 1].astype(np.int16)
-        bwt[order == 0] = -1
+        bwt = t[order - 1].astype(np.int64)
+        first = np.isin(order, ends - size + 1)
+        bwt[first] = -1 - which[order[first]]
         new = np.concatenate([[True], bwt[1:] != bwt[:-1]])
         self.heads = np.flatnonzero(new)
         self.tails = np.append(self.heads[1:] - 1, n - 1)
@@ -97,8 +105,7 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text, the starts of its strings of `length` bytes that start elsewhere in the texts too."""
     if not texts:
         return []
-    longest = max(map(len, texts))
-    stat = RunLengthIndex(texts, max(longest, length) + 1).matching_statistics()
+    stat = RunLengthIndex(texts).matching_statistics()
     out, at = [], 0
     for t in texts:
         room = len(t) - length + 1

@@ -111,6 +111,12 @@ def test_index_matches_brute_force():
     assert [x.tolist() for x in suffix_dedup.repeated_starts(texts, 40)] == want
 
 
+@pytest.mark.parametrize("letter", [b"a", b"\0"])
+def test_index_of_runs_that_tie_beyond_their_ends(letter):
+    texts = [letter * n for n in (13, 29, 30, 9)]  # the long ones lie side by side: what follows a run agrees further than any text is long
+    assert [x.tolist() for x in suffix_dedup.repeated_starts(texts, 20)] == [[], list(range(10)), list(range(11)), []]
+
+
 def sets_of(rows, n):
     for i, t, *_ in rows:
         w = (t or "").encode().lower().split()
