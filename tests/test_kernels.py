@@ -165,6 +165,15 @@ def test_nb_glm_finds_enriched_set():
     assert p < 1e-6 and 0.6 < beta < 1.3
 
 
+def test_set_model_without_dispersion_has_an_error():
+    expected = np.full(20000, 7.0)
+    hits = np.tile([5.0, 6, 7, 8, 9], 4000)  # less varied than Poisson counts
+    member = np.arange(20000) % 25 == 3
+    p, beta = enrich.nb1_glm(hits, expected, member)
+    assert beta == pytest.approx(math.log(hits[member].mean() / hits[~member].mean()), abs=1e-3)
+    assert 0 < p < 1
+
+
 def test_communities_split_cliques():
     e = [(a, b) for base in (0, 5) for a in range(base, base + 5) for b in range(base, base + 5) if a < b] + [(4, 5)]
     s, d = np.array(e).T
