@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import columns as fc
-from ..functions import special
+from ..functions import ordered, special
 
 
 def follow_up(rows: DataFrame, alive: str, last_seen: str, death: str, missing: str = "'--") -> DataFrame:
@@ -73,22 +74,45 @@ def cox_fit(x: np.ndarray, tte: np.ndarray, dead: np.ndarray, penalty: float = 1
     return 0.0, 1.0
 
 
-def cox_univariate(values: DataFrame, times: DataFrame, min_samples: int = 20, min_deaths: int = 3) -> DataFrame:
+def cox_univariate(values: DataFrame, times: DataFrame, min_samples: int = 20, min_deaths: int = 3, penalty: float = 1e-6) -> DataFrame:
     """values (feature, sample, value), times (sample, tte, dead): coefficient, hazard ratio, p, q, sign by feature.
 
-    One group per feature holds its samples only; times are the small side. A cohort too small gives no rows.
+    The fits are those of cox_fit(), as rounds over all features at once: a round sums the rows by feature and time before it
+    orders them, so neither the times nor a feature's samples have to be in one place. A cohort too small gives no rows.
     """
+    spark = values.sparkSession
     size = times.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dead").cast("int")).alias("d")).first()
-    schema = f"feature {dict(values.dtypes)['feature']}, coef double, p double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, p = cox_fit(pdf["value"].to_numpy(float), pdf["tte"].to_numpy(float), pdf["dead"].to_numpy(bool))
-        return pd.DataFrame({"feature": pdf["feature"].iloc[:1].to_numpy(), "coef": [b], "p": [p]})
-
-    rows = values.join(F.broadcast(times), "sample")
+    rows = values.select("feature", "sample", F.col("value").cast("double")).join(times.select("sample", F.col("tte").cast("double"), F.col("dead").cast("int").alias("d")), "sample").drop("sample")
     if size["n"] <= min_samples or (size["d"] or 0) <= min_deaths:
         rows = rows.limit(0)
-    out = fc.bh(rows.groupBy("feature").applyInPandas(fit, schema), "p")
+    rows, rows_path = session.stored(rows)
+    stats = rows.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.sum("d").alias("deaths"), F.count_if(F.col("value").isNull()).alias("none"))
+    fails = (F.col("none") > 0) | F.col("sd").isNull() | F.isnan("sd") | (F.col("sd") == 0) | (F.col("deaths") == 0)
+    state, path = session.stored(stats.select("feature", "mean", "sd", F.lit(0.0).alias("b"), F.lit(1.0).alias("p"), fails.alias("failed"), fails.alias("done")))
+    for _ in range(50):
+        left = state.filter("not done")
+        if left.isEmpty():
+            break
+        now = ordered.join_on(rows, left.select("feature", "mean", "sd", "b"), ["feature"]).withColumn("z", (F.col("value") - F.col("mean")) / F.col("sd"))
+        w = F.exp(F.least(F.greatest(F.col("b") * F.col("z"), F.lit(-50.0)), F.lit(50.0)))
+        each = now.groupBy("feature", "tte").agg(F.sum("d").alias("d"), F.sum(F.col("d") * F.col("z")).alias("zd"), *[F.sum(w * F.col("z") ** k).alias(f"w{k}") for k in range(3)])
+        later = Window.partitionBy("feature").orderBy(F.desc("tte")).rowsBetween(Window.unboundedPreceding, 0)
+        each = each.select("feature", "d", "zd", *[F.sum(f"w{k}").over(later).alias(f"s{k}") for k in range(3)])
+        mean = F.col("s1") / F.col("s0")
+        sums = each.groupBy("feature").agg(F.sum(F.col("zd") - F.col("d") * mean).alias("g"), F.sum(F.col("d") * (F.col("s2") / F.col("s0") - mean * mean)).alias("h"))
+        step = F.when(F.col("h") + penalty > 0, (F.col("g") - penalty * F.col("b")) / (F.col("h") + penalty))
+        told = ordered.join_on(state, sums, ["feature"], "left").withColumn("step", step)
+        lost = ~F.col("done") & (F.col("step").isNull() | F.isnan("step") | (F.abs("step") == float("inf")))
+        near = F.coalesce(F.abs(F.col("step")) < 1e-9, F.lit(False))
+        to = F.when(F.col("done") | lost, F.col("b")).otherwise(F.col("b") + F.least(F.greatest(F.col("step"), F.lit(-2.0)), F.lit(2.0)))
+        told = told.withColumns({"lost": lost, "near": near, "to": to})
+        p = F.when(~F.col("done") & F.col("near"), 2 * fc.norm_p(F.abs("to") * F.sqrt(F.col("h") + penalty))).otherwise(F.col("p"))
+        last = path
+        state, path = session.stored(told.select("feature", "mean", "sd", F.col("to").alias("b"), p.alias("p"), (F.col("failed") | F.col("lost")).alias("failed"), (F.col("done") | F.col("lost") | F.col("near")).alias("done")))
+        session.discard(spark, last)
+    session.discard(spark, rows_path)
+    bad = F.col("failed") | ~F.col("done")
+    out = fc.bh(state.select("feature", F.when(bad, 0.0).otherwise(F.col("b") / F.col("sd")).alias("coef"), F.when(bad, 1.0).otherwise(F.col("p")).alias("p")), "p")
     return out.withColumns({"hazard_ratio": F.exp("coef"), "prognostic": F.when(F.col("q") < 0.05, F.signum("coef")).otherwise(0.0)})
 
 
