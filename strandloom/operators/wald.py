@@ -1,7 +1,6 @@
 """Two-group differences of counts: negative-binomial fits with dispersions shrunk to their trend, and Wald tests.
 
-Features are dealt to lots; a lot is a dense matrix of features by samples, whose features go through every step at once.
-Between the passes over the lots only the trend (two numbers) and its spread come to the driver.
+Features are dealt to lots, whose features go through every step at once. Work is in proportion to the counts above zero. Between the passes over the lots only the trend (two numbers) and its spread come to the driver.
 """
 
 from __future__ import annotations
@@ -18,44 +17,89 @@ from ..functions import columns as fc
 from ..functions import special
 
 LOW, HIGH = math.log(1e-8), math.log(1e3)
-#: Samples are one vector in each task; a matrix of more of them isn't one of samples.
+#: Size factors are one vector in each task; a matrix of more of them isn't one of samples.
 MOST_SAMPLES = 1 << 20
 
 
-def _levels(k: np.ndarray, sf: np.ndarray, alpha: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Of one group's counts (features x samples): the level q of mu = sf q that is most likely at alpha, and its information about ln q."""
-    q = np.maximum((k / sf).mean(axis=1), 1e-8)
-    for _ in range(rounds):
-        mu = sf * q[:, None]
-        w = 1 / (1 + alpha[:, None] * mu)
-        step = np.clip(((k - mu) * w).sum(1) / np.maximum((mu * w).sum(1), 1e-300), -2, 2)
-        q = np.maximum(q * np.exp(step), 1e-8)
-        if np.abs(step).max(initial=0) < 1e-10:
-            break
-    mu = sf * q[:, None]
-    return q, (mu / (1 + alpha[:, None] * mu)).sum(1)
+class Group:
+    """Samples of one group by their size factors s, as two sums over them that all features share: of ln(1 + s e^u) and of s e^u / (1 + s e^u).
 
+    Both are smooth in u, and kept as Chebyshev series of 16 terms on intervals of length 1, which are exact to rounding. So a
+    feature's zeros cost nothing: what they add to its likelihood depends on u = ln(level times dispersion) alone.
+    """
 
-def _profile(k: np.ndarray, groups: list[np.ndarray], sf: np.ndarray, ln_alpha: np.ndarray, known: np.ndarray) -> np.ndarray:
+    LOW, HIGH, TERMS = -46, 60, 16
+
+    def __init__(self, s: np.ndarray):
+        self.n = len(s)
+        m = self.TERMS
+        angle = np.pi * (np.arange(m) + 0.5) / m
+        turn = 2 / m * np.cos(np.outer(np.arange(m), angle))
+        turn[0] /= 2
+        u = np.arange(self.LOW, self.HIGH)[:, None] + (np.cos(angle) + 1) / 2
+        logs, parts = np.zeros(u.shape), np.zeros(u.shape)
+        s, times = np.unique(s, return_counts=True)
+        for lo in range(0, len(s), 512):
+            x = np.exp(u)[:, :, None] * s[lo : lo + 512]
+            logs += np.log1p(x) @ times[lo : lo + 512]
+            parts += (x / (1 + x)) @ times[lo : lo + 512]
+        self.series = {"logs": logs @ turn.T, "parts": parts @ turn.T}
+
+    def sums(self, name: str, u: np.ndarray) -> np.ndarray:
+        u = np.clip(u, self.LOW, self.HIGH - 1e-9)
+        at = np.floor(u)
+        x = 2 * (u - at) - 1
+        c = self.series[name][(at - self.LOW).astype(int)].T
+        one, two = np.zeros_like(x), np.zeros_like(x)
+        for k in range(self.TERMS - 1, 0, -1):
+            one, two = c[k] + 2 * x * one - two, one
+        return c[0] + x * one - two
+
+
+class Counts:
+    """The counts above zero of n features in one group: row (feature), s (the sample's size factor), k."""
+
+    def __init__(self, group: Group, n: int, row: np.ndarray, s: np.ndarray, k: np.ndarray):
+        self.group, self.n, self.row, self.s, self.k = group, n, row, s, k
+        self.known = special.lgamma(k + 1.0)
+
+    def add(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, x, self.n)
+
+    def levels(self, alpha: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+        """The level q of mu = s q that is most likely at alpha, and its information about ln q."""
+        q = np.maximum(self.add(self.k / self.s) / self.group.n, 1e-8)
+        for _ in range(rounds):
+            own = self.k / (1 + alpha[self.row] * self.s * q[self.row])
+            info = self.group.sums("parts", np.log(q * alpha)) / alpha
+            step = np.clip((self.add(own) - info) / np.maximum(info, 1e-300), -2, 2)
+            q = np.maximum(q * np.exp(step), 1e-8)
+            if np.abs(step).max(initial=0) < 1e-10:
+                break
+        return q, self.group.sums("parts", np.log(q * alpha)) / alpha
+
+
+def _profile(counts: list[Counts], ln_alpha: np.ndarray) -> np.ndarray:
     """Log-likelihood of the dispersions with the levels at their best, less half the log of the levels' information."""
     a = np.exp(ln_alpha)
-    out = np.zeros(len(k))
-    for g in groups:
-        q, info = _levels(k[:, g], sf[g], a, 8)
-        mu, r = sf[g] * q[:, None], (1 / a)[:, None]
-        out += (special.lgamma(k[:, g] + r) - known[:, g] - special.lgamma(np.broadcast_to(r, mu.shape)) - r * np.log1p(mu / r) + k[:, g] * (np.log(mu) - np.log(mu + r))).sum(1) - 0.5 * np.log(info)
+    r = 1 / a
+    low = special.lgamma(r)
+    out = np.zeros(len(a))
+    for c in counts:
+        q, info = c.levels(a, 8)
+        mu, own = c.s * q[c.row], r[c.row]
+        out += c.add(special.lgamma(c.k + own) - c.known - low[c.row] + c.k * (np.log(mu) - np.log(mu + own))) - r * c.group.sums("logs", np.log(q * a)) - 0.5 * np.log(info)
     return out
 
 
-def _best(k: np.ndarray, groups: list[np.ndarray], sf: np.ndarray, prior: tuple[np.ndarray, float] | None = None) -> np.ndarray:
+def _best(counts: list[Counts], n: int, prior: tuple[np.ndarray, float] | None = None) -> np.ndarray:
     """ln dispersions of highest profile likelihood (and prior: means and variance): a grid, then golden sections around its best."""
-    known = special.lgamma(k + 1.0)
 
     def value(x: np.ndarray) -> np.ndarray:
-        return _profile(k, groups, sf, x, known) - (0 if prior is None else (x - prior[0]) ** 2 / (2 * prior[1]))
+        return _profile(counts, x) - (0 if prior is None else (x - prior[0]) ** 2 / (2 * prior[1]))
 
     grid = np.linspace(LOW, HIGH, 14)
-    at = np.argmax([value(np.full(len(k), x)) for x in grid], axis=0)
+    at = np.argmax([value(np.full(n, x)) for x in grid], axis=0)
     width = grid[1] - grid[0]
     lo, hi = grid[at] - width, grid[at] + width
     part = (math.sqrt(5) - 1) / 2
@@ -96,22 +140,25 @@ def wald(counts: DataFrame, samples: DataFrame, lot: int = 256, method: str = "b
     sf, treated = listed["sf"].to_numpy(), listed["treated"].to_numpy(bool)
     if min(treated.sum(), (~treated).sum()) < 2:
         raise ValueError("both groups need two samples")
-    groups, kind = [np.flatnonzero(~treated), np.flatnonzero(treated)], dict(counts.dtypes)["feature"]
+    groups, kind = [Group(sf[~treated]), Group(sf[treated])], dict(counts.dtypes)["feature"]
     place = spark.createDataFrame(pd.DataFrame({"sample": listed["sample"], "at": np.arange(n)}))
     summed = counts.join(F.broadcast(place), "sample").groupBy("feature", "at").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0")  # at most MOST_SAMPLES rows
-    rows = summed.groupBy("feature").agg(F.collect_list("at").alias("at"), F.collect_list("cnt").alias("cnt"))
+    rows, rows_path = session.stored(summed.groupBy("feature").agg(F.collect_list("at").alias("at"), F.collect_list("cnt").alias("cnt")))
     lots = max(1, -(-rows.count() // lot))
     rows = rows.withColumn("_lot", F.pmod(F.xxhash64("feature"), F.lit(lots)))
 
-    def matrix(pdf: pd.DataFrame) -> np.ndarray:
-        k = np.zeros((len(pdf), n))
-        for row, (at, cnt) in enumerate(zip(pdf["at"], pdf["cnt"], strict=True)):
-            k[row, at] = cnt
-        return k
+    def counted(pdf: pd.DataFrame) -> tuple[list[Counts], np.ndarray]:
+        row = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["at"]])
+        at, k = np.concatenate(pdf["at"].to_list()), np.concatenate(pdf["cnt"].to_list()).astype(float)
+        out = []
+        for g, which in zip(groups, (~treated, treated), strict=True):
+            own = which[at]
+            out.append(Counts(g, len(pdf), row[own], sf[at[own]], k[own]))
+        return out, np.bincount(row, k / sf[at], len(pdf)) / n
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = matrix(pdf)
-        return pd.DataFrame({"feature": pdf["feature"].to_numpy(), "mean": (k / sf).mean(1), "ln_alpha": _best(k, groups, sf)})
+        c, mean = counted(pdf)
+        return pd.DataFrame({"feature": pdf["feature"].to_numpy(), "mean": mean, "ln_alpha": _best(c, len(pdf))})
 
     own, path = session.stored(rows.groupBy("_lot").applyInPandas(first, f"feature {kind}, mean double, ln_alpha double"))
     told = own.withColumns({"a": F.exp("ln_alpha"), "x": 1 / F.col("mean")}).filter(F.col("ln_alpha") > LOW + 1)
@@ -135,15 +182,15 @@ def wald(counts: DataFrame, samples: DataFrame, lot: int = 256, method: str = "b
     variance = max(0.25, (1.4826 * spread) ** 2 - _trigamma((n - 2) / 2)) if spread is not None else 1.0
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = matrix(pdf)
-        mean = (k / sf).mean(1)
+        c, mean = counted(pdf)
         trend = a0 + a1 / mean
-        alpha = np.exp(_best(k, groups, sf, (np.log(trend), variance)))
-        (q0, i0), (q1, i1) = (_levels(k[:, g], sf[g], alpha) for g in groups)
+        alpha = np.exp(_best(c, len(pdf), (np.log(trend), variance)))
+        (q0, i0), (q1, i1) = (x.levels(alpha) for x in c)
         return pd.DataFrame({"feature": pdf["feature"].to_numpy(), "mean": mean, "dispersion": alpha, "trend": trend, "log2_fc": np.log2(q1 / q0), "se": np.sqrt(1 / i0 + 1 / i1) / math.log(2)})
 
     schema = f"feature {kind}, mean double, dispersion double, trend double, log2_fc double, se double"
     out, _ = session.stored(rows.groupBy("_lot").applyInPandas(second, schema))
-    session.discard(spark, path)
+    for x in (path, rows_path):
+        session.discard(spark, x)
     out = out.withColumn("z", F.col("log2_fc") / F.col("se"))
     return fc.adjust(out.withColumn("p", 2 * fc.norm_p(F.abs("z"))), "p", method=method)
