@@ -105,7 +105,10 @@ def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def detected_in(presence: DataFrame, categories: DataFrame) -> DataFrame:
-    """(category, consensus, experiments that have it)."""
+    """(category, consensus, experiments that have it).
+
+    Rows of presence may repeat: they are told apart here, once, and needn't be before.
+    """
     return presence.join(F.broadcast(categories), "experiment").groupBy("category", "consensus").agg(F.count_distinct("experiment").alias("experiments"))
 
 
