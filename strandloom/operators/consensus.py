@@ -7,9 +7,11 @@ worked on as independent groups, whatever the length of a chromosome.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,37 @@ def separators(summit: np.ndarray, weight: np.ndarray, width: float, size: int)
     return lo, heads[heads > 0]  # the first run is the space before the island
 
 
+def bounds(summit: np.ndarray, island: np.ndarray, length: np.ndarray, width: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cuts around each summit, as separators() has them, of many islands (0, 1, ...; sorted, then by summit) at once.
+
+    Islands are laid one behind the other, each with the kernel's size of room at both ends: no density reaches the next.
+    """
+    first = np.flatnonzero(np.diff(island, prepend=-1))
+    lo = summit[first] - size
+    room = summit[np.append(first[1:], len(summit)) - 1] + size - lo + 1
+    base = np.cumsum(room) - room
+    place = summit - lo[island] + base[island]
+    _, heads = separators(place, np.ones(len(place)), width, size)
+    of = np.searchsorted(base, heads, side="right") - 1
+    cuts, far = heads - base[of] + lo[of], length[first]
+    cuts = np.clip(cuts, 0, far[of])
+    at = np.searchsorted(heads, place, side="right")
+    none = np.full(1, -1)
+    before, after = np.concatenate([none, of])[at], np.concatenate([of, none])[at]
+    left = np.where(before == island, np.concatenate([none, cuts])[at], 0)
+    return left, np.where(after == island, np.concatenate([cuts, none])[at], far[island])
+
+
+def _runs(summit: np.ndarray, first: np.ndarray, size: int, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring islands, which begin at `first`, as many as first reach `most` places."""
+    stop = np.append(first[1:], len(summit))
+    ends, at = np.cumsum(summit[stop - 1] - summit[first] + 2 * size + 1), 0
+    while at < len(first):
+        to = min(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1, len(first))
+        yield int(first[at]), int(stop[to - 1])
+        at = to
+
+
 class ConsensusBuilder:
     """chrom_sizes: chrom, length. Chromosomes that are absent from it are left out; absent() reports them."""
 
@@ -79,9 +112,6 @@ class ConsensusBuilder:
         islands = with_runs(peaks.withColumn("_to", F.col("summit")), ["strand", "chrom"], "summit", "_to", gap=size, name="island").drop("_to")
 
         def cuts_of(s: np.ndarray, reach: np.ndarray) -> np.ndarray:
-            if per_peak is None:
-                lo, heads = separators(s, np.ones(len(s)), width, size)
-                return heads + lo
             lo, hi = int(s[0]) - size, int(s[-1]) + size
             x, density = np.arange(lo, hi + 1), np.zeros(hi - lo + 1)
             for c, w in zip(s, reach, strict=True):
@@ -92,23 +122,34 @@ class ConsensusBuilder:
             heads = np.flatnonzero(low & ~np.concatenate([[False], low[:-1]]))
             return heads[heads > 0] + lo
 
-        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["island", "summit", "start", "end"], kind="stable")
-            summit, island = pdf["summit"].to_numpy(np.int64), pdf["island"].to_numpy()
-            reach = (pdf["end"] - pdf["start"]).to_numpy() * (per_peak or 0)
-            length = int(pdf["length"].iloc[0])
-            first = np.flatnonzero(np.concatenate([[True], island[1:] != island[:-1]]))
+        columns, keys = islands.columns, ("strand", "chrom")
+
+        def cut(t: pa.Table) -> pa.Table:
+            t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in (*keys, "island", "summit", "start", "end")]))
+            summit, island, start, end, length = (t[c].to_numpy().astype(np.int64) for c in ("summit", "island", "start", "end", "length"))
+            other = island[1:] != island[:-1]
+            for k in keys:
+                codes = t[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                other |= codes[1:] != codes[:-1]
+            first = np.flatnonzero(np.concatenate([[True], other]))
             left, right = np.zeros(len(summit), np.int64), np.zeros(len(summit), np.int64)
-            for i, j in zip(first, np.append(first[1:], len(summit)), strict=True):
-                cuts = cuts_of(summit[i:j], reach[i:j])
-                edges = np.concatenate([[0], np.clip(cuts, 0, length), [length]])
-                at = np.searchsorted(cuts, summit[i:j], side="right")
-                left[i:j], right[i:j] = edges[at], edges[at + 1]
-            return pdf.drop(columns="_lot").assign(sep_l=left, sep_r=right)
+            if per_peak is None:
+                at = np.zeros(len(summit), np.int64)
+                at[first[1:]] = 1
+                for i, j in _runs(summit, first, size, 1 << 22):
+                    left[i:j], right[i:j] = bounds(summit[i:j], np.cumsum(at[i:j]) - at[i], length[i:j], width, size)
+            else:
+                reach = (end - start) * per_peak
+                for i, j in zip(first, np.append(first[1:], len(summit)), strict=True):
+                    cuts = cuts_of(summit[i:j], reach[i:j])
+                    edges = np.concatenate([[0], np.clip(cuts, 0, length[i]), [length[i]]])
+                    at = np.searchsorted(cuts, summit[i:j], side="right")
+                    left[i:j], right[i:j] = edges[at], edges[at + 1]
+            return t.select(columns).append_column("sep_l", pa.array(left)).append_column("sep_r", pa.array(right))
 
         schema = islands.schema.simpleString()[7:-1].replace(":", " ") + ",sep_l bigint,sep_r bigint"
-        lots = islands.withColumn("_lot", F.floor(F.col("island") / 256))  # islands are small; a task call takes many
-        return lots.groupBy("strand", "chrom", "_lot").applyInPandas(cut, schema)
+        lots = islands.withColumn("_lot", F.floor(F.col("island") / 16384))  # islands are small; a task call takes many
+        return lots.groupBy("strand", "chrom", "_lot").applyInArrow(cut, schema)
 
     def build(self, peaks: DataFrame, sigma_: str | float = "auto_1", min_overlap: int = 2, per_peak: float | None = None, unstranded: bool = False) -> tuple[DataFrame, DataFrame]:
         """(consensus, presence): regions with at least min_overlap peaks, and which experiment has which."""
